@@ -21,7 +21,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch_of, id_of, map_batches, text_of
@@ -123,9 +123,14 @@ def repaired(bpe: PreTokenEncoder, raw: bytes, parts: list[Segment]) -> np.ndarr
     return np.concatenate(out)
 
 
+def text_key(text: Column) -> Column:
+    return F.coalesce(F.unhex(F.sha2(text, 256)), F.lit(bytearray()))
+
+
 def distinct_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``key`` (SHA-256 of the text) and ``text``, one row per text; copies collapse before the exchange."""
-    return docs.select(text_of(text_col).alias("text")).select(F.unhex(F.sha2("text", 256)).alias("key"), "text").dropDuplicates(["key"])
+    # A key that cannot be null needs no null test, which would keep the two uses of this exchange from sharing it.
+    return docs.select(text_of(text_col).alias("text")).select(text_key(F.col("text")).alias("key"), "text").dropDuplicates(["key"])
 
 
 def encode(docs: DataFrame, vocab: str | None = None, text_col: str = "text") -> DataFrame:
@@ -201,5 +206,5 @@ def digests(encoded: DataFrame, vocab: str | None = None) -> DataFrame:
 def op2_chunk_bpe(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = digests(encode(docs))
-    keyed = docs.select(id_of().alias("doc_id"), F.unhex(F.sha2(text_of(), 256)).alias("key"))
+    keyed = docs.select(id_of().alias("doc_id"), text_key(text_of()).alias("key"))
     return keyed.join(found.hint("merge"), "key").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
