@@ -5,7 +5,7 @@ rolling hash over the ids.  The store has three Parquet parts, written by Spark'
 
 * ``chunks``: ``hash`` (BLAKE2b-128 of the payload), ``n`` and ``payload`` (little-endian ids, 16 bits wide where the
   vocabulary allows it), one row per distinct chunk;
-* ``recipes``: documents in ascending (doc_id, text key) order, null ids first, with ``start``, ``n_tokens``, the
+* ``recipes``: documents in ascending (doc_id, recipe hash) order, null ids first, with ``start``, ``n_tokens``, the
   chunk hashes and lengths one after another, and the Merkle root of the chunk hashes;
 * ``manifest``: per recipe range its first start, rows, ids and the Merkle root of its documents, and the store's root.
 
@@ -53,35 +53,39 @@ def merkle_root(leaves: list[bytes]) -> bytes:
 
 
 @lru_cache(maxsize=64)
-def _zero_bytes_operator(power: int) -> list[list[int]]:
+def _zero_bytes_operator(power: int) -> np.ndarray:
     """CRC-32 register after 2**power zero bytes, as four tables of 256 entries (one per register byte)."""
     if power == 0:
-        table = []
-        for byte in range(256):
-            for _ in range(8):
-                byte = (byte >> 1) ^ (0xEDB88320 if byte & 1 else 0)
-            table.append(byte)
-        return [table, *([[(b << 8 * (k - 1)) for b in range(256)] for k in (1, 2, 3)])]
+        lowest = np.arange(256, dtype=np.uint32)
+        for _ in range(8):
+            lowest = (lowest >> np.uint32(1)) ^ np.where(lowest & np.uint32(1), np.uint32(0xEDB88320), np.uint32(0))
+        shifted = np.arange(256, dtype=np.uint32)
+        return np.stack([lowest, shifted, shifted << np.uint32(8), shifted << np.uint32(16)])
     half = _zero_bytes_operator(power - 1)
-    return [[_advance(half, b << 8 * k, half) for b in range(256)] for k in range(4)]
+    register = np.arange(256, dtype=np.uint32)[None, :] << (np.uint32(8) * np.arange(4, dtype=np.uint32)[:, None])
+    return _apply(half, _apply(half, register))
 
 
-def _apply(operator: list[list[int]], crc: int) -> int:
-    return operator[0][crc & 255] ^ operator[1][crc >> 8 & 255] ^ operator[2][crc >> 16 & 255] ^ operator[3][crc >> 24]
+def _apply(operator: np.ndarray, crc: np.ndarray) -> np.ndarray:
+    byte = np.uint32(255)
+    return operator[0][crc & byte] ^ operator[1][(crc >> np.uint32(8)) & byte] ^ operator[2][(crc >> np.uint32(16)) & byte] ^ operator[3][crc >> np.uint32(24)]
 
 
-def _advance(first: list[list[int]], crc: int, second: list[list[int]]) -> int:
-    return _apply(second, _apply(first, crc))
+def crc32_joined(crcs: np.ndarray, sizes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """CRC-32 of byte strings cut into pieces, from the pieces' CRC-32 and sizes in bytes.
 
-
-def crc32_join(crc: int, next_crc: int, next_bytes: int) -> int:
-    """CRC-32 of two byte strings one after the other, from theirs and the length of the second."""
+    ``starts`` has the number of each string's first piece; every string has one at least.  CRC-32 is linear, so the
+    whole is the exclusive or of the pieces' values, each moved on by the bytes that follow it in its string.
+    """
+    crcs, ends = crcs.astype(np.uint32), np.cumsum(sizes)
+    last = np.append(starts[1:], len(sizes)) - 1
+    after = np.repeat(ends[last], np.diff(np.append(starts, len(sizes)))) - ends
     power = 0
-    while next_bytes >> power:
-        if next_bytes >> power & 1:
-            crc = _apply(_zero_bytes_operator(power), crc)
+    while (after >> power).any():
+        moved = (after >> power & 1).astype(bool)
+        crcs[moved] = _apply(_zero_bytes_operator(power), crcs[moved])
         power += 1
-    return crc ^ next_crc
+    return np.bitwise_xor.reduceat(crcs, starts)
 
 
 def write_store(docs: DataFrame, path: str, vocab: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> str:
@@ -93,23 +97,29 @@ def write_store(docs: DataFrame, path: str, vocab: str | None = None, end_id: in
         end = np.array([end_id], dtype=bpe.dtype).tobytes()
         width = bpe.dtype.itemsize
         for part in slices(batches):
-            rows: list[tuple] = []
+            kinds, keys, ids, sizes, bodies, lens = [], [], [], [], [], []
             for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 raw = bpe.encode(text) + end
-                hashes, lengths, start = [], [], 0
-                for cut in content_cuts(bpe.ids(raw), MASK_BITS, LEAST, MOST):
-                    payload = raw[start * width : cut * width]
-                    h = chunk_hash(payload)
-                    hashes.append(h)
-                    lengths.append(cut - start)
-                    start = cut
+                cuts = content_cuts(bpe.ids(raw), MASK_BITS, LEAST, MOST)
+                payloads = [raw[a * width : b * width] for a, b in zip([0, *cuts], cuts)]
+                hashes, lengths = [chunk_hash(x) for x in payloads], [b - a for a, b in zip([0, *cuts], cuts)]
+                for h, n, payload in zip(hashes, lengths, payloads):
                     if h not in sent:  # once per task here, once per store after the exchange by hash
                         sent.add(h)
-                        rows.append((1, h, None, lengths[-1], payload, None))
-                digest = hashlib.blake2b(raw, digest_size=HASH).digest()
-                rows.append((0, digest, doc_id, start, b"".join(hashes), np.array(lengths, dtype="<u2").tobytes()))
-            kind, h, ids, n, body, lens = map(list, zip(*rows))
-            yield batch_of(kind=pa.array(kind, pa.int32()), hash=pa.array(h, pa.binary()), doc_id=pa.array(ids, pa.int64()), n=pa.array(n, pa.int64()), body=pa.array(body, pa.binary()), lengths=pa.array(lens, pa.binary()))
+                        kinds.append(1)
+                        keys.append(h)
+                        ids.append(None)
+                        sizes.append(n)
+                        bodies.append(payload)
+                        lens.append(None)
+                recipe = b"".join(hashes)
+                kinds.append(0)
+                keys.append(chunk_hash(recipe))
+                ids.append(doc_id)
+                sizes.append(cuts[-1])
+                bodies.append(recipe)
+                lens.append(np.array(lengths, dtype="<u2").tobytes())
+            yield batch_of(kind=pa.array(kinds, pa.int32()), hash=pa.array(keys, pa.binary()), doc_id=pa.array(ids, pa.int64()), n=pa.array(sizes, pa.int64()), body=pa.array(bodies, pa.binary()), lengths=pa.array(lens, pa.binary()))
 
     schema = "kind int, hash binary, doc_id long, n long, body binary, lengths binary"
     rows = docs.select(id_of(id_col).alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, schema)
@@ -188,16 +198,7 @@ def _recipes(spark: SparkSession, path: str) -> DataFrame:
 def _chunk_refs(recipes: DataFrame) -> DataFrame:
     """One row per chunk of a document: ``start`` names the document, as no two documents start at the same id."""
 
-    def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        starts, numbers, hashes = [], [], []
-        for start, body in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-            for number in range(len(body) // HASH):
-                starts.append(start)
-                numbers.append(number)
-                hashes.append(body[number * HASH : (number + 1) * HASH])
-        return batch_of(start=pa.array(starts, pa.int64()), number=pa.array(numbers, pa.int32()), hash=pa.array(hashes, pa.binary()))
-
-    return map_batches(recipes.select("start", "hashes"), run, "start long, number int, hash binary")
+    return recipes.select("start", F.posexplode(F.expr(f"transform(sequence(0, length(hashes) - {HASH}, {HASH}), i -> substring(hashes, i + 1, {HASH}))")).alias("number", "hash"))
 
 
 def _chunks(spark: SparkSession, path: str) -> DataFrame:
@@ -222,16 +223,18 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
     used = _chunk_refs(recipes).join(checked.hint("merge"), "hash").groupBy("start").agg(F.collect_list(F.struct("number", "hash", "n", "crc")).alias("used"))
 
     def fold(part: pa.RecordBatch) -> pa.RecordBatch:
-        crcs = []
-        for start, n, root, used_chunks in zip(*(c.to_pylist() for c in part.columns[1:])):
-            parts = sorted(used_chunks, key=lambda x: x["number"])
-            if merkle_root([x["hash"] for x in parts]) != root or sum(x["n"] for x in parts) != n:
-                raise ValueError(f"the document at {start} does not match its recipe")
-            crc = 0
-            for x in parts:
-                crc = crc32_join(crc, x["crc"], 4 * x["n"])
-            crcs.append(crc)
-        return batch_of(doc_id=part.column(0), start=part.column(1), n_tokens=part.column(2), ids_crc32=pa.array(crcs, pa.int64()))
+        lists = part.column(4)
+        sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        starts = np.cumsum(sizes) - sizes
+        number, h, n, crc = (lists.flatten().field(k) for k in range(4))
+        order = np.lexsort((number.to_numpy(), np.repeat(np.arange(len(sizes)), sizes)))
+        hashes, lengths = h.take(pa.array(order)).to_pylist(), n.to_numpy()[order]
+        whole = np.add.reduceat(lengths, starts) if len(starts) else lengths
+        for at, start, size, expected, root in zip(range(len(sizes)), starts.tolist(), sizes.tolist(), part.column(2).to_pylist(), part.column(3).to_pylist()):
+            if whole[at] != expected or merkle_root(hashes[start : start + size]) != root:
+                raise ValueError(f"the document at {part.column(1)[at].as_py()} does not match its recipe")
+        crcs = crc32_joined(crc.to_numpy()[order], 4 * lengths, starts)
+        return batch_of(doc_id=part.column(0), start=part.column(1), n_tokens=part.column(2), ids_crc32=pa.array(crcs.astype(np.int64), pa.int64()))
 
     return map_batches(recipes.join(used, "start").select("doc_id", "start", "n_tokens", "root", "used"), fold, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
