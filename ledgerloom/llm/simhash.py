@@ -1,8 +1,12 @@
 """SimHash near-duplicates through deletion-variant signatures.
 
 A fingerprint is cut into three segments.  Two fingerprints that differ in at most four bits differ in at most one bit
-in some segment, so there they agree on a *variant*: the segment with one wildcard bit.  All 64 variants of every
-distinct fingerprint are indexed; equal variants meet by an equality join and the whole distance verifies them.
+in some segment, so there they agree on a *variant*: the segment with one wildcard bit.  If no segment is equal, two of
+them differ in exactly one bit, so variants of the first two segments are enough, beside the three segments as they are.
+To keep unlike fingerprints apart in a large corpus, a key also holds a block of the bits outside its segment: of five
+blocks one is equal if the segment is (four differences are left at most), of four blocks one is equal beside a variant
+whose wildcard bit differs (three are left).  All 183 keys of every distinct fingerprint are indexed; equal keys, of
+about 30 bits, meet by an equality join and the whole distance verifies them.
 
 Groups: copies collapse to one fingerprint before the index.  Inside a variant group every member is first compared
 with the group's smallest fingerprint only; the pairs join then emits a pair only if its members are still in
@@ -55,13 +59,36 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return map_batches(docs.select(id_of(id_col).alias("doc_id"), F.xxhash64(text_of(text_col)).alias("tie"), text_of(text_col).alias("text")), run, "doc_id long, tie long, fp long")
 
 
+def _blocks(fp: Column, segment: int, count: int) -> list[tuple[Column, int]]:
+    """The bits outside a segment in ``count`` blocks: (value, bits)."""
+    lowest, width = SEGMENTS[segment]
+    below = fp.bitwiseAND(F.lit((1 << lowest) - 1).cast("long"))
+    rest = F.shiftleft(F.shiftrightunsigned(fp, lowest + width), lowest).bitwiseOR(below) if lowest + width < 64 else below
+    left, made = 64 - width, []
+    for at in range(count):
+        bits = -(-left // (count - at))
+        left -= bits
+        made.append((F.shiftrightunsigned(rest, left).bitwiseAND(F.lit((1 << bits) - 1).cast("long")), bits))
+    return made
+
+
 def variants(fp: Column) -> Column:
-    """The 64 variant keys of a fingerprint: variant number above, the segment with its wildcard bit cleared below."""
-    keys = []
-    for lowest, width in SEGMENTS:
+    """The keys of a fingerprint: table number, then the segment (with its wildcard bit cleared, if any), then a block."""
+    keys: list[Column] = []
+
+    def add(segment: Column, width: int, block: tuple[Column, int]) -> None:
+        value, bits = block
+        keys.append(F.shiftleft(segment, bits).bitwiseOR(value).bitwiseOR(F.lit(len(keys) << (width + 16)).cast("long")))
+
+    for at, (lowest, width) in enumerate(SEGMENTS):
         segment = F.shiftrightunsigned(fp, lowest).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
-        for bit in range(width):
-            keys.append(segment.bitwiseAND(F.lit(~(1 << bit)).cast("long")).bitwiseOR(F.lit((lowest + bit) << 24).cast("long")))
+        for block in _blocks(fp, at, DISTANCE + 1):
+            add(segment, 22, block)
+        if at < 2:
+            for bit in range(width):
+                cleared = segment.bitwiseAND(F.lit(~(1 << bit)).cast("long"))
+                for block in _blocks(fp, at, DISTANCE):
+                    add(cleared, 22, block)
     return F.array(*keys)
 
 
@@ -97,11 +124,12 @@ def classes(signed: DataFrame) -> DataFrame:
     distinct = signed.select("fp").distinct()
     indexed = distinct.select("fp", F.explode(variants(F.col("fp"))).alias("key"))
     group = Window.partitionBy("key")
-    groups = indexed.withColumn("n", F.count(F.lit(1)).over(group)).withColumn("centre", F.min("fp").over(group)).filter("n > 1").drop("n")
+    groups = indexed.withColumn("n", F.count(F.lit(1)).over(group)).withColumn("centre", F.min("fp").over(group)).filter("n > 1")
     groups = materialise(groups, "simhash-groups")
+    # A group of two needs no more than this comparison.
     stars = groups.filter((F.col("fp") != F.col("centre")) & (_apart("fp", "centre") <= DISTANCE)).select(F.col("fp").alias("a"), F.col("centre").alias("b")).distinct()
     starred = connected_components(stars)
-    labelled = groups.select("key", "fp").join(starred.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
+    labelled = groups.filter("n > 2").select("key", "fp").join(starred.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
     left, right = labelled.alias("l"), labelled.alias("r")
     pairs = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.root") < F.col("r.root")) & (_apart("l.fp", "r.fp") <= DISTANCE)).select(F.col("l.root").alias("a"), F.col("r.root").alias("b")).distinct()
     merged = connected_components(pairs)
