@@ -123,11 +123,11 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.nd
 
 def tf_idf(texts: list[str], idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """(features, values) of each text."""
-    made, rows = ngram_features(texts), []
-    for at in range(len(texts)):
-        own = np.concatenate([f[s[at] : e[at]] for f, s, e in made]) if made else np.empty(0, np.int32)
+    rows = []
+    for text in texts:
+        own = np.concatenate([f[s[0] : e[0]] for f, s, e in ngram_features([text])])
         features, counts = np.unique(own, return_counts=True)
-        rows.append((features, SCALE * counts / max(1, len(own)) * idf[features]))
+        rows.append((features, (SCALE * counts / max(1, len(own)) * idf[features]).astype(np.float32)))
     return rows
 
 
@@ -137,8 +137,8 @@ def train(texts: list[str], langs: list[str], idf: np.ndarray, epochs: int = EPO
     if not languages:
         return LanguageModel([], np.zeros((SIZE, 0), np.float32), np.zeros(0), 1.0)
     rows, target = tf_idf(texts, idf), [languages.index(x) for x in langs]
-    fit = [i for i in range(len(rows)) if i % CALIBRATION_SHARE or len(rows) < 10 * CALIBRATION_SHARE]
-    held = [i for i in range(len(rows)) if not i % CALIBRATION_SHARE]
+    fit = [i for i in range(len(target)) if i % CALIBRATION_SHARE or len(target) < 10 * CALIBRATION_SHARE]
+    held = [i for i in range(len(target)) if not i % CALIBRATION_SHARE]
     k = len(languages)
     z, n = np.zeros((SIZE + 1, k)), np.zeros((SIZE + 1, k))
 
@@ -147,7 +147,8 @@ def train(texts: list[str], langs: list[str], idf: np.ndarray, epochs: int = EPO
         return np.where(np.abs(zz) <= L1, 0.0, -(zz - np.sign(zz) * L1) / ((BETA + np.sqrt(nn)) / ALPHA + L2))
 
     order = np.random.default_rng(0)
-    with_bias = [(np.append(f, SIZE), np.append(x, 1.0)) for f, x in rows]
+    with_bias = [(np.append(f, SIZE).astype(np.int32), np.append(x, np.float32(1.0))) for f, x in rows]
+    del rows
     for _ in range(epochs):
         for i in order.permutation(fit):
             at, x = with_bias[i]
