@@ -59,37 +59,36 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return map_batches(docs.select(id_of(id_col).alias("doc_id"), F.xxhash64(text_of(text_col)).alias("tie"), text_of(text_col).alias("text")), run, "doc_id long, tie long, fp long")
 
 
-def _blocks(fp: Column, segment: int, count: int) -> list[tuple[Column, int]]:
-    """The bits outside a segment in ``count`` blocks: (value, bits)."""
-    lowest, width = SEGMENTS[segment]
-    below = fp.bitwiseAND(F.lit((1 << lowest) - 1).cast("long"))
-    rest = F.shiftleft(F.shiftrightunsigned(fp, lowest + width), lowest).bitwiseOR(below) if lowest + width < 64 else below
-    left, made = 64 - width, []
-    for at in range(count):
-        bits = -(-left // (count - at))
-        left -= bits
-        made.append((F.shiftrightunsigned(rest, left).bitwiseAND(F.lit((1 << bits) - 1).cast("long")), bits))
-    return made
-
+def tables() -> list[dict[str, int]]:
+    """The index's tables: how a key is taken from a fingerprint.
 
-def variants(fp: Column) -> Column:
-    """The keys of a fingerprint: table number, then the segment (with its wildcard bit cleared, if any), then a block."""
-    keys: list[Column] = []
+    ``lowest`` and ``mask`` name the segment (its wildcard bit left out of the mask), ``above``, ``below`` and ``raised``
+    bring the bits outside the segment together, ``shift``, ``bits`` and ``block`` name a block of them.
+    """
+    made: list[dict[str, int]] = []
+    for at, (lowest, width) in enumerate(SEGMENTS):
+        wildcards = [None, *range(width)] if at < 2 else [None]
+        for wildcard in wildcards:
+            count = DISTANCE + 1 if wildcard is None else DISTANCE
+            left = 64 - width
+            for number in range(count):
+                bits = -(-left // (count - number))
+                left -= bits
+                made.append({
+                    "lowest": lowest, "mask": ((1 << width) - 1) & ~(0 if wildcard is None else 1 << wildcard), "above": (lowest + width) % 64,
+                    "raised": (1 << (64 - width)) - (1 << lowest) if lowest + width < 64 else 0, "below": (1 << lowest) - 1, "shift": left, "bits": bits, "block": (1 << bits) - 1, "table": len(made) << 40,
+                })
+    return made
 
-    def add(segment: Column, width: int, block: tuple[Column, int]) -> None:
-        value, bits = block
-        keys.append(F.shiftleft(segment, bits).bitwiseOR(value).bitwiseOR(F.lit(len(keys) << (width + 16)).cast("long")))
 
-    for at, (lowest, width) in enumerate(SEGMENTS):
-        segment = F.shiftrightunsigned(fp, lowest).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
-        for block in _blocks(fp, at, DISTANCE + 1):
-            add(segment, 22, block)
-        if at < 2:
-            for bit in range(width):
-                cleared = segment.bitwiseAND(F.lit(~(1 << bit)).cast("long"))
-                for block in _blocks(fp, at, DISTANCE):
-                    add(cleared, 22, block)
-    return F.array(*keys)
+def variants(fp: str) -> Column:
+    """Array of a fingerprint column's keys: table number, then the segment (its wildcard bit cleared, if any), then a block."""
+    wide = {"mask", "raised", "below", "block", "table"}
+    structs = [", ".join(f"'{k}', {v}{'L' if k in wide else ''}" for k, v in t.items()) for t in tables()]
+    listed = "array(" + ", ".join(f"named_struct({x})" for x in structs) + ")"
+    rest = f"((shiftleft(shiftrightunsigned({fp}, t.above), t.lowest) & t.raised) | ({fp} & t.below))"
+    key = f"t.table | shiftleft(shiftrightunsigned({fp}, t.lowest) & t.mask, t.bits) | (shiftrightunsigned({rest}, t.shift) & t.block)"
+    return F.expr(f"transform({listed}, t -> {key})")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -122,7 +121,9 @@ def _apart(a: str, b: str) -> Column:
 def classes(signed: DataFrame) -> DataFrame:
     """``fp, root``: every distinct fingerprint of ``signed`` and its component's name."""
     distinct = signed.select("fp").distinct()
-    indexed = distinct.select("fp", F.explode(variants(F.col("fp"))).alias("key"))
+    # Fingerprints are small but become 183 rows each, so they are dealt by number and not by size.
+    tasks = int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    indexed = distinct.repartition(tasks, F.xxhash64("fp")).select("fp", F.explode(variants("fp")).alias("key"))
     group = Window.partitionBy("key")
     groups = indexed.withColumn("n", F.count(F.lit(1)).over(group)).withColumn("centre", F.min("fp").over(group)).filter("n > 1")
     groups = materialise(groups, "simhash-groups")
