@@ -37,8 +37,8 @@ def standardised(fit: DataFrame, rows: DataFrame, features: list[str]) -> tuple[
     """Signed logs, centred and scaled on ``fit``; a missing value is 0 with a flag of its own."""
     finite = {f: F.when(~F.isnan(f) & F.col(f).isNotNull(), signed_log(f)) for f in features}
     m = fit.agg(*[F.avg(v).alias(f"m_{f}") for f, v in finite.items()], *[F.stddev_pop(v).alias(f"s_{f}") for f, v in finite.items()]).first()
-    scale = {f: s if (s := m[f"s_{f}"] or 0.0) > 1e-9 else 1.0 for f in features}  # a constant column is only centred
-    out = rows.withColumns({f"z_{f}": F.coalesce((finite[f] - F.lit(m[f"m_{f}"] or 0.0)) / F.lit(scale[f]), F.lit(0.0)) for f in features})
+    scale = {f: s if (s := m[f"s_{f}"] or 0.0) > 1e-9 else None for f in features}  # a constant column tells nothing: 0
+    out = rows.withColumns({f"z_{f}": F.lit(0.0) if s is None else F.coalesce((finite[f] - F.lit(m[f"m_{f}"])) / F.lit(s), F.lit(0.0)) for f, s in scale.items()})
     return out.withColumns({f"missing_{f}": F.when(F.isnan(f) | F.col(f).isNull(), 1.0).otherwise(0.0) for f in features}), [f"{k}_{f}" for k in ("z", "missing") for f in features]
 
 
