@@ -1,0 +1,132 @@
+"""Evaluation around the alerts: guards, probes, feasibility, disposition audit, registry and the capacity plan."""
+
+from __future__ import annotations
+
+import hashlib
+import json
+import math
+from dataclasses import dataclass
+from statistics import NormalDist
+
+import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ledgerloom.operators.metrics import auc_ap
+
+
+def sensitivity(auc: float) -> float:
+    """d' of an AUC: how far two unit normals stand apart."""
+    return math.sqrt(2) * NormalDist().inv_cdf(min(max(auc, 1e-9), 1 - 1e-9))
+
+
+def guard_verdict(gain: float, low: float, high: float, margin: float, n_positive: int, least_positive: int) -> str:
+    """Verdict on a group of features from its gain in d' and the gain's interval."""
+    if not low <= gain <= high:
+        raise ValueError("the interval must hold the gain")
+    if n_positive < least_positive:
+        return "too_few"
+    if low > margin:
+        return "leak"
+    if low > 0:
+        return "suspicious" if high > margin else "small_gain"
+    return "inconclusive" if high > margin else "clean"
+
+
+def group_gain(rows: DataFrame, baseline: str, score: str, fold: str) -> DataFrame:
+    """Per fold: AUC of a baseline and of a score, and the gain in average precision over the prevalence."""
+    a = auc_ap(rows, baseline, "y", fold).select(fold, "n", "n_pos", F.col("auc").alias("auc_base"), F.col("ap").alias("ap_base"))
+    b = auc_ap(rows, score, "y", fold).select(fold, F.col("auc").alias("auc_score"), F.col("ap").alias("ap_score"))
+    return a.join(b, fold).withColumn("gain", F.round(F.try_divide(F.col("ap_score") - F.col("ap_base"), F.col("n_pos") / F.col("n")), 6))
+
+
+def check_embargo(folds: list[tuple[str, str, str, str]], least_days: int) -> None:
+    """(name, fit end, evaluation start, evaluation end): fitting ends ``least_days`` before evaluation begins."""
+    from datetime import date
+
+    for name, fit_end, start, end in folds:
+        if not date.fromisoformat(start) < date.fromisoformat(end) or (date.fromisoformat(start) - date.fromisoformat(fit_end)).days < least_days:
+            raise ValueError(f"fold {name} has no embargo of {least_days} days")
+
+
+def permutation_null(rows: DataFrame, block: str, key: str, permutations: int, seed: int = 0, most_rows: int = 1_000_000) -> DataFrame:
+    """``permutation, ap``: labels shuffled inside blocks; permutations are spread over tasks, checked for their size."""
+    import pandas as pd
+
+    from ledgerloom.operators.metrics import weighted_auc_ap
+
+    n = rows.count()
+    if n > most_rows:
+        raise ValueError(f"{n} rows are more than a task may hold ({most_rows})")
+    data = rows.select(F.col(block).cast("string").alias("b"), F.col(key).cast("string").alias("k"), F.col("score").cast("double").alias("s"), F.col("y").cast("double").alias("y")).toPandas().sort_values(["b", "k"])
+    groups, s, y = list(data.groupby("b").indices.values()), data["s"].to_numpy(), data["y"].to_numpy()
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for r in batch["permutation"]:
+                draw, moved = np.random.default_rng([seed, int(r)]), y.copy()
+                for g in groups:
+                    moved[g] = draw.permutation(moved[g])
+                out.append((int(r), weighted_auc_ap(s, moved, np.ones(len(s)))[1]))
+            yield pd.DataFrame(out, columns=["permutation", "ap"])
+
+    return rows.sparkSession.range(permutations).withColumnRenamed("id", "permutation").mapInPandas(run, "permutation long, ap double")
+
+
+def seen_arms(fit: DataFrame, check: DataFrame, account: str = "account_key") -> DataFrame:
+    """Whether an account of ``check`` occurs in ``fit``, and the mean label it had there (label memory)."""
+    memory = fit.groupBy(account).agg(F.avg("y").alias("memory"))
+    return check.join(memory, account, "left").withColumn("seen", F.col("memory").isNotNull())
+
+
+def top_payment(scored: DataFrame, alert: str = "alert_id") -> DataFrame:
+    """Largest payment score of each alert, and whether its top payment launders."""
+    return scored.groupBy(alert).agg(F.max("score").alias("top_score"), F.max_by("y", F.struct("score", "y")).alias("top_y"), F.max("y").alias("any_y"))
+
+
+def disposition_audit(rows: DataFrame) -> DataFrame:
+    """Accuracy, misses, false alarms, precision of confirmations and median delay of every group and of all."""
+    confirmed, true = F.col("disposition") == "confirmed", F.col("is_true_positive")
+    tagged = rows.withColumn("group", F.explode(F.array(F.lit("all"), F.when(true, "true").otherwise("false"), F.concat(F.lit("rules_"), F.col("n_rules_triggered").cast("string")))))
+    return tagged.groupBy("group").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg((confirmed == true).cast("int")), 6).alias("accuracy"), F.round(F.avg(F.when(true, (~confirmed).cast("int"))), 6).alias("miss_rate"),
+        F.round(F.avg(F.when(~true, confirmed.cast("int"))), 6).alias("false_alarm_rate"), F.round(F.avg(F.when(confirmed, true.cast("int"))), 6).alias("confirmed_precision"), F.median(F.timestamp_diff("MINUTE", F.col("created_at"), F.col("closed_at"))).alias("median_minutes"),
+    )
+
+
+def feasibility(counts: dict[str, int], least: dict[str, int]) -> dict[str, bool]:
+    """Gates on counts; a gate on an unknown count raises."""
+    if set(least) - set(counts):
+        raise KeyError(f"no count for {sorted(set(least) - set(counts))}")
+    return {name: counts[name] >= bound for name, bound in least.items()}
+
+
+@dataclass(frozen=True)
+class Feature:
+    name: str
+    group: str
+    definition: str
+    inputs: tuple[str, ...]
+    lookback_hours: int = 24
+
+
+def registry_hash(features: list[Feature]) -> str:
+    if len({f.name for f in features}) != len(features):
+        raise ValueError("a feature is registered twice")
+    body = json.dumps([[f.name, f.group, f.definition, list(f.inputs), f.lookback_hours] for f in features], separators=(",", ":"))
+    return hashlib.sha256(body.encode()).hexdigest()
+
+
+def check_registry(df: DataFrame, features: list[Feature], keys: list[str]) -> None:
+    if [c for c in df.columns if c not in keys] != [f.name for f in features]:
+        raise ValueError("the table's features are not the registered ones, in order")
+
+
+def plan_capacity(per_minute: int, per_day: int, calls_per_case: float, designs: list[tuple[str, int]], reserve: float) -> tuple[str, int]:
+    """The first design (name, cases) that fits a day's requests after a reserve; raises if none does."""
+    budget = min(per_day, per_minute * 1440) * (1 - reserve)
+    for name, cases in designs:
+        if cases * calls_per_case <= budget:
+            return name, cases
+    raise ValueError(f"no design fits {budget:.0f} requests")

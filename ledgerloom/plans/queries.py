@@ -554,3 +554,115 @@ def v05_point_in_time_check(spark, sf):
 @query()
 def v07_store_fingerprint(spark, sf):
     return audit.store_fingerprint(_fired(spark, sf).select("account_key", "window_start", "n_txn", "n_rules_triggered"))
+
+
+# ---- joins and windows of their own (J, W), evaluation
+
+_KYC = "known AS (SELECT concat(lpad(bank_id, 3, '0'), '|', account_number) AS account_key, entity_type FROM accounts)"
+
+
+def _known(spark, sf):
+    return ledger.accounts(spark, sf).select(F.concat(F.lpad("bank_id", 3, "0"), F.lit("|"), "account_number").alias("account_key"), "entity_type")
+
+
+@query("SELECT l.row_id, p.txn FROM ledger l JOIN (SELECT row_id AS txn, ts, from_bank, from_account, to_bank, to_account, amount_received, receiving_currency, amount_paid, payment_currency, payment_format FROM ledger WHERE attempt_id IS NOT NULL) p USING (ts, from_bank, from_account, to_bank, to_account, amount_received, receiving_currency, amount_paid, payment_currency, payment_format)", LEDGER)
+def j02_pattern_join(spark, sf):
+    t, keys = ledger.ledger(spark, sf), ["ts", "from_bank", "from_account", "to_bank", "to_account", "amount_received", "receiving_currency", "amount_paid", "payment_currency", "payment_format"]
+    return t.select("row_id", *keys).join(t.filter("attempt_id IS NOT NULL").select(F.col("row_id").alias("txn"), *keys), keys).select("row_id", "txn")
+
+
+@query("SELECT s.account_key, s.window_start, coalesce(entity_type, 'unknown') AS peer_group, p.account_key IS NOT NULL AS is_pos FROM stats s LEFT JOIN known k ON s.account_key = k.account_key LEFT JOIN positive p ON s.account_key = p.account_key AND s.window_start = p.window_start", STATS + ", " + _POSITIVE + ", " + ACCOUNTS + ", " + _KYC)
+def j06_j07_peer_and_label(spark, sf):
+    s = _stats(spark, sf).select("account_key", "window_start").join(_known(spark, sf), "account_key", "left")
+    p = _positive(spark, sf).select("account_key", "window_start", F.lit(True).alias("hit"))
+    return s.join(p, ["account_key", "window_start"], "left").select("account_key", "window_start", F.coalesce("entity_type", F.lit("unknown")).alias("peer_group"), F.coalesce("hit", F.lit(False)).alias("is_pos"))
+
+
+@query("SELECT (SELECT count(*) FROM known WHERE account_key IN (SELECT from_key FROM ledger UNION SELECT to_key FROM ledger)) AS n_known_used, (SELECT count(*) FROM (SELECT from_key AS k FROM ledger UNION SELECT to_key FROM ledger) u WHERE k IN (SELECT account_key FROM known)) AS n_used_known", LEDGER + ", " + ACCOUNTS + ", " + _KYC)
+def j17_semi_joins(spark, sf):
+    used, known = ledger.ledger(spark, sf).select(F.explode(F.array("from_key", "to_key")).alias("account_key")).distinct(), _known(spark, sf)
+    a = known.join(used, "account_key", "left_semi").agg(F.count(F.lit(1)).alias("n_known_used"))
+    return a.withColumn("n_used_known", F.lit(used.join(known, "account_key", "left_semi").count()).cast("long"))
+
+
+@query("SELECT k.account_key, entity_type, round(coalesce(v, 0), 4) AS volume_usd FROM known k LEFT JOIN (SELECT account_key, sum(usd) AS v FROM legs WHERE window_start = TIMESTAMP '2024-01-01' GROUP BY 1) b USING (account_key)", LEGS + ", " + ACCOUNTS + ", " + _KYC)
+def j15_burn_in_volume(spark, sf):
+    v = ledger.usd_legs(spark, sf).filter(F.col("window_start") == F.lit("2024-01-01").cast("timestamp_ntz")).groupBy("account_key").agg(F.sum("usd").alias("v"))
+    return _known(spark, sf).join(v, "account_key", "left").select("account_key", "entity_type", F.round(F.coalesce("v", F.lit(0.0)), 4).alias("volume_usd"))
+
+
+@query("SELECT payment_currency, receiving_currency, m AS mode_ratio, round(avg((r = m)::int), 6) AS share FROM (SELECT payment_currency, receiving_currency, r, first_value(r) OVER (PARTITION BY payment_currency, receiving_currency ORDER BY c DESC, r) AS m FROM (SELECT payment_currency, receiving_currency, round(amount_received / amount_paid, 4) AS r, count(*) OVER (PARTITION BY payment_currency, receiving_currency, round(amount_received / amount_paid, 4)) AS c FROM ledger WHERE payment_currency <> receiving_currency AND amount_paid > 0) x) y GROUP BY 1, 2, 3", LEDGER)
+def j22_a34_mode_share(spark, sf):
+    pair = ["payment_currency", "receiving_currency"]
+    counts = ledger.ledger(spark, sf).filter("payment_currency <> receiving_currency AND amount_paid > 0").groupBy(*pair, F.round(F.col("amount_received") / F.col("amount_paid"), 4).alias("r")).agg(F.count(F.lit(1)).alias("c"))
+    return counts.groupBy(*pair).agg(F.max_by("r", F.struct("c", -F.col("r"))).alias("mode_ratio"), F.round(F.max("c") / F.sum("c"), 6).alias("share"))
+
+
+@query("SELECT account_key, entity_type, round((rank() OVER (PARTITION BY entity_type ORDER BY n) + (count(*) OVER (PARTITION BY entity_type, n) - 1) / 2.0) / count(*) OVER (PARTITION BY entity_type), 6) AS pct FROM (SELECT k.account_key, entity_type, count(l.row_id) AS n FROM known k LEFT JOIN legs l ON k.account_key = l.account_key GROUP BY 1, 2) t", LEGS + ", " + ACCOUNTS + ", " + _KYC)
+def w02_rank_within_type(spark, sf):
+    n = ledger.usd_legs(spark, sf).groupBy("account_key").agg(F.count(F.lit(1)).alias("legs"))
+    rows = _known(spark, sf).join(n, "account_key", "left").withColumn("n", F.coalesce("legs", F.lit(0)))
+    return rows.select("account_key", "entity_type", F.round(features.average_rank("n", "entity_type") / F.count(F.lit(1)).over(Window.partitionBy("entity_type")), 6).alias("pct"))
+
+
+@query("SELECT account_key, window_start, CASE WHEN n_cross_currency > 0 THEN round((rank() OVER (PARTITION BY window_start ORDER BY n_cross_currency) + (count(*) OVER (PARTITION BY window_start, n_cross_currency) - 1) / 2.0) / count(*) OVER (PARTITION BY window_start), 6) ELSE 0 END AS pct FROM stats", STATS)
+def w03_positive_percentile(spark, sf):
+    n = F.count(F.lit(1)).over(Window.partitionBy("window_start"))
+    return _stats(spark, sf).select("account_key", "window_start", F.when(F.col("n_cross_currency") > 0, F.round(features.average_rank("n_cross_currency", "window_start") / n, 6)).otherwise(0.0).alias("pct"))
+
+
+@query(f"SELECT period, count(*) AS n, count(DISTINCT k) AS n_accounts, count(DISTINCT k) FILTER (k IN (SELECT from_key FROM ledger WHERE ({PERIOD}) = 'TRAIN')) AS n_seen FROM (SELECT from_key AS k, {PERIOD} AS period FROM ledger) t GROUP BY 1", LEDGER)
+def a36_seen_unseen(spark, sf):
+    rows = ledger.refuse_outside(ledger.ledger(spark, sf)).select(F.col("from_key").alias("k"), "period")
+    seen = rows.filter("period = 'TRAIN'").select("k").distinct().withColumn("seen", F.lit(True))
+    return rows.join(seen, "k", "left").groupBy("period").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("k").alias("n_accounts"), F.count_distinct(F.when(F.col("seen"), F.col("k"))).alias("n_seen"))
+
+
+@query(f"SELECT period, min(window_start) AS first_window, max(window_start) AS last_window, count(*) AS n FROM (SELECT window_start, {PERIOD.replace('ts ', 'window_start ')} AS period FROM stats) t GROUP BY 1", STATS)
+def a39_boundary_margins(spark, sf):
+    return ledger.refuse_outside(_stats(spark, sf), "window_start").groupBy("period").agg(F.min("window_start").alias("first_window"), F.max("window_start").alias("last_window"), F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def a37_disposition_audit(spark, sf):
+    from ledgerloom.operators import evaluation
+
+    made = labels.label_alerts(stats.alerts(_fired(spark, sf)), _positive(spark, sf))
+    return evaluation.disposition_audit(made.join(profiles.dispositions(made).select("alert_id", "disposition", "closed_at"), "alert_id"))
+
+
+@query("SELECT cast(lang AS varchar) AS lang, count(*) AS n, cast(sum(y) AS bigint) AS n_pos FROM scored GROUP BY 1", SCORED)
+def a30_counts_by_group(spark, sf):
+    return _scored(spark, sf).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("y").cast("long").alias("n_pos"))
+
+
+@query()
+def m13_m14_group_gain(spark, sf):
+    from ledgerloom.operators import evaluation
+
+    rows = labels.label_alerts(_alerts(spark, sf), _positive(spark, sf)).select(F.col("is_true_positive").cast("int").alias("y"), F.col("n_rules_triggered").cast("double").alias("base"), F.col("volume_usd").alias("score"), ledger.period_of("window_start").alias("fold"))
+    return evaluation.group_gain(rows, "base", "score", "fold")
+
+
+@query()
+def m16_permutation_null(spark, sf):
+    from ledgerloom.operators import evaluation
+
+    return evaluation.permutation_null(_scored(spark, sf), "lang", "doc_id", 50)
+
+
+@query("SELECT account_key, window_start, t.m IS NOT NULL AS seen, round(t.m, 6) AS memory FROM (SELECT a.account_key, a.window_start, b.m FROM (SELECT account_key, window_start FROM alerts WHERE n_rules_triggered > 0 AND window_start >= TIMESTAMP '2024-01-15') a LEFT JOIN (SELECT account_key, avg((n_laundering_txns IS NOT NULL)::int) AS m FROM alerts x LEFT JOIN positive p USING (account_key, window_start) WHERE n_rules_triggered > 0 AND window_start < TIMESTAMP '2024-01-14' GROUP BY 1) b ON a.account_key = b.account_key) t", FIRED + ", " + _POSITIVE)
+def m17_label_memory(spark, sf):
+    from ledgerloom.operators import evaluation
+
+    rows = labels.label_alerts(_alerts(spark, sf), _positive(spark, sf)).select("account_key", "window_start", F.col("is_true_positive").cast("int").alias("y"))
+    fit, check = (rows.filter(F.col("window_start") < F.lit("2024-01-14").cast("timestamp_ntz")), rows.filter(F.col("window_start") >= F.lit("2024-01-15").cast("timestamp_ntz")))
+    return evaluation.seen_arms(fit, check).select("account_key", "window_start", "seen", F.round("memory", 6).alias("memory"))
+
+
+@query("SELECT account_key, window_start, round(max(usd), 4) AS top_score, arg_max(is_laundering, struct_pack(u := usd, y := is_laundering)) AS top_y, max(is_laundering) AS any_y FROM legs GROUP BY 1, 2", LEGS)
+def m20_top_payment(spark, sf):
+    from ledgerloom.operators import evaluation
+
+    legs = ledger.usd_legs(spark, sf).select(F.struct("account_key", "window_start").alias("alert_id"), F.col("usd").alias("score"), F.col("is_laundering").alias("y"))
+    return evaluation.top_payment(legs).select("alert_id.account_key", "alert_id.window_start", F.round("top_score", 4).alias("top_score"), "top_y", "any_y")
