@@ -30,6 +30,19 @@ def test_op1_equals_search(docs, rows, empty):
     assert license_scan.digest(license_scan.scan(empty)).count() == 0
 
 
+def test_op1_equals_its_sql(spark):
+    import duckdb
+
+    from ledgerloom.llm.queries import oracle_sql
+
+    folder = "/root/testdata/sf0.001"
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+    expected = db.sql(f"SELECT {', '.join(names)} FROM ({oracle_sql()['op1_license_scan']}) ORDER BY doc_id").fetchall()
+    assert [tuple(r) for r in license_scan.op1_license_scan(spark, folder).select(*names).orderBy("doc_id").collect()] == expected
+
+
 def test_op1_filters_lose_no_block():
     r = random.Random(1)
     made = license_scan.templates()
