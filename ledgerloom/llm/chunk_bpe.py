@@ -7,7 +7,7 @@ ends only.  Each join is therefore re-encoded in a window that reaches into both
 and last pre-tokens have exactly the ids that the neighbours hold for them.  Window ends are places where a space
 stands before a letter: byte-level BPE splits there whatever the context, so agreement there is agreement everywhere.
 
-Scale: texts are exchanged once, by their SHA-256; copies of a text collapse before that exchange.  Chunk lists carry
+Scale: texts are exchanged once, by a hash of them; copies of a text collapse before that exchange.  Chunk lists carry
 16-byte hashes only, and ids move only for chunks that occur more than once.
 
 Edge cases: null and empty texts have no ids and decode to the empty text; repeated rows each give their row; a text
@@ -29,6 +29,7 @@ from .tokens import PreTokenEncoder, content_cuts, encoder, vocab_path
 
 #: A cut falls on one byte in 2**MASK_BITS; chunks hold LEAST to MOST bytes.
 MASK_BITS, LEAST, MOST = 10, 256, 8192
+KEY_BYTES = 16
 
 
 def chunks_of(raw: bytes) -> list[tuple[int, int]]:
@@ -124,11 +125,12 @@ def repaired(bpe: PreTokenEncoder, raw: bytes, parts: list[Segment]) -> np.ndarr
 
 
 def text_key(text: Column) -> Column:
-    return F.coalesce(F.unhex(F.sha2(text, 256)), F.lit(bytearray()))
+    """The first KEY_BYTES bytes of the text's SHA-256."""
+    return F.coalesce(F.substring(F.unhex(F.sha2(text, 256)), 1, KEY_BYTES), F.lit(bytearray()))
 
 
 def distinct_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``key`` (SHA-256 of the text) and ``text``, one row per text; copies collapse before the exchange."""
+    """``key`` (from the SHA-256 of the text) and ``text``, one row per text; copies collapse before the exchange."""
     # A key that cannot be null needs no null test, which would keep the two uses of this exchange from sharing it.
     return docs.select(text_of(text_col).alias("text")).select(text_key(F.col("text")).alias("key"), "text").dropDuplicates(["key"])
 
@@ -196,15 +198,15 @@ def digests(encoded: DataFrame, vocab: str | None = None) -> DataFrame:
         for raw in part.column(1).to_pylist():
             ids = bpe.ids(raw)
             n.append(len(ids))
-            ids_sha.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
-            text_sha.append(hashlib.sha256(bpe.decode(ids).encode("utf-8")).hexdigest())
-        return batch_of(key=part.column(0), n_tokens=pa.array(n, pa.int64()), ids_sha256=pa.array(ids_sha, pa.string()), decoded_sha256=pa.array(text_sha, pa.string()))
+            ids_sha.append(hashlib.sha256(ids.astype("<u4").tobytes()).digest())
+            text_sha.append(hashlib.sha256(bpe.decode(ids).encode("utf-8")).digest())
+        return batch_of(key=part.column(0), n_tokens=pa.array(n, pa.int64()), ids_sha256=pa.array(ids_sha, pa.binary()), decoded_sha256=pa.array(text_sha, pa.binary()))
 
-    return map_batches(encoded.select("key", "ids"), run, "key binary, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_batches(encoded.select("key", "ids"), run, "key binary, n_tokens long, ids_sha256 binary, decoded_sha256 binary")
 
 
 def op2_chunk_bpe(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = digests(encode(docs))
     keyed = docs.select(id_of().alias("doc_id"), text_key(text_of()).alias("key"))
-    return keyed.join(found.hint("merge"), "key").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return keyed.join(found.hint("merge"), "key").select("doc_id", "n_tokens", F.lower(F.hex("ids_sha256")).alias("ids_sha256"), F.lower(F.hex("decoded_sha256")).alias("decoded_sha256"))
