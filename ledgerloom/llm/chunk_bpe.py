@@ -18,6 +18,7 @@ the input are ignored, whatever their names.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,7 @@ from .tokens import PreTokenEncoder, content_cuts, encoder, vocab_path
 #: A cut falls on one byte in 2**MASK_BITS; chunks hold LEAST to MOST bytes.
 MASK_BITS, LEAST, MOST = 10, 256, 8192
 KEY_BYTES = 16
+DIGESTS = "key binary, n_tokens long, ids_sha256 binary, decoded_sha256 binary"
 
 
 def chunks_of(raw: bytes) -> list[tuple[int, int]]:
@@ -137,7 +139,25 @@ def distinct_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def encode(docs: DataFrame, vocab: str | None = None, text_col: str = "text") -> DataFrame:
     """``key, ids``: the little-endian ids of every distinct text, each shared chunk being encoded once."""
-    vocab = vocab or vocab_path()
+    return _encoded(docs, vocab or vocab_path(), text_col, _ids_rows, "key binary, ids binary")
+
+
+def encode_digests(docs: DataFrame, vocab: str | None = None, text_col: str = "text") -> DataFrame:
+    """``digests(encode(docs))`` in one Python stage, so a task holds one encoder and ids don't leave their worker."""
+    return _encoded(docs, vocab or vocab_path(), text_col, _digest_rows, DIGESTS)
+
+
+def _ids_rows(bpe: PreTokenEncoder, keys: pa.Array, ids: list[np.ndarray]) -> pa.RecordBatch:
+    return batch_of(key=keys, ids=pa.array([x.tobytes() for x in ids], pa.binary()))
+
+
+def _digest_rows(bpe: PreTokenEncoder, keys: pa.Array, ids: list[np.ndarray]) -> pa.RecordBatch:
+    ids_sha = [hashlib.sha256(x.astype("<u4").tobytes()).digest() for x in ids]
+    text_sha = [hashlib.sha256(bpe.decode(x).encode("utf-8")).digest() for x in ids]
+    return batch_of(key=keys, n_tokens=pa.array([len(x) for x in ids], pa.int64()), ids_sha256=pa.array(ids_sha, pa.binary()), decoded_sha256=pa.array(text_sha, pa.binary()))
+
+
+def _encoded(docs: DataFrame, vocab: str, text_col: str, rows_of: Callable[[PreTokenEncoder, pa.Array, list[np.ndarray]], pa.RecordBatch], schema: str) -> DataFrame:
     texts = distinct_texts(docs, text_col)
 
     def cut(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -170,12 +190,11 @@ def encode(docs: DataFrame, vocab: str | None = None, text_col: str = "text") ->
     reused = uses.join(once.hint("merge"), "hash").groupBy("key").agg(F.collect_list(F.struct("number", "ids")).alias("shared"))
 
     def finish(part: pa.RecordBatch) -> pa.RecordBatch:
-        bpe, ids = encoder(vocab), []
-        for text, given in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
-            ids.append(assemble(bpe, text.encode("utf-8"), {x["number"]: x["ids"] for x in given or ()}).tobytes())
-        return batch_of(key=part.column(0), ids=pa.array(ids, pa.binary()))
+        bpe = encoder(vocab)
+        ids = [assemble(bpe, text.encode("utf-8"), {x["number"]: x["ids"] for x in given or ()}) for text, given in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
+        return rows_of(bpe, part.column(0), ids)
 
-    return map_batches(texts.join(reused, "key", "left").select("key", "text", "shared"), finish, "key binary, ids binary")
+    return map_batches(texts.join(reused, "key", "left").select("key", "text", "shared"), finish, schema)
 
 
 def decode(encoded: DataFrame, vocab: str | None = None) -> DataFrame:
@@ -194,19 +213,14 @@ def digests(encoded: DataFrame, vocab: str | None = None) -> DataFrame:
     vocab = vocab or vocab_path()
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        bpe, n, ids_sha, text_sha = encoder(vocab), [], [], []
-        for raw in part.column(1).to_pylist():
-            ids = bpe.ids(raw)
-            n.append(len(ids))
-            ids_sha.append(hashlib.sha256(ids.astype("<u4").tobytes()).digest())
-            text_sha.append(hashlib.sha256(bpe.decode(ids).encode("utf-8")).digest())
-        return batch_of(key=part.column(0), n_tokens=pa.array(n, pa.int64()), ids_sha256=pa.array(ids_sha, pa.binary()), decoded_sha256=pa.array(text_sha, pa.binary()))
+        bpe = encoder(vocab)
+        return _digest_rows(bpe, part.column(0), [bpe.ids(x) for x in part.column(1).to_pylist()])
 
-    return map_batches(encoded.select("key", "ids"), run, "key binary, n_tokens long, ids_sha256 binary, decoded_sha256 binary")
+    return map_batches(encoded.select("key", "ids"), run, DIGESTS)
 
 
 def op2_chunk_bpe(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = digests(encode(docs))
+    found = encode_digests(docs)
     keyed = docs.select(id_of().alias("doc_id"), text_key(text_of()).alias("key"))
     return keyed.join(found.hint("merge"), "key").select("doc_id", "n_tokens", F.lower(F.hex("ids_sha256")).alias("ids_sha256"), F.lower(F.hex("decoded_sha256")).alias("decoded_sha256"))

@@ -60,6 +60,7 @@ def test_repaired_joins_equal_whole_text(library, bpe):
 def test_op2_equals_library(spark, docs, rows, library):
     encoded = chunk_bpe.encode(docs)
     found = {bytes(r["key"]): r for r in chunk_bpe.digests(encoded).collect()}
+    assert sorted(map(str, chunk_bpe.encode_digests(docs).collect())) == sorted(map(str, found.values()))
     back = {bytes(r["key"]): r["text"] for r in chunk_bpe.decode(encoded).collect()}
     for text in {r[1] or "" for r in rows}:
         ids, key = ids_of(library, text), hashlib.sha256(text.encode()).digest()[: chunk_bpe.KEY_BYTES]
