@@ -58,6 +58,10 @@ def ngram_features(texts: list[str]) -> list[tuple[np.ndarray, list[int], list[i
     return made
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in LETTER.finditer(text))  # a word character may also be a number such as a superscript
+
+
 @dataclass
 class LanguageModel:
     """``weights`` (feature, language) already hold the IDF and the scale."""
@@ -80,7 +84,7 @@ class LanguageModel:
         return e / e.sum(axis=1, keepdims=True)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        readable = [bool(t) and LETTER.search(t) is not None for t in texts]
+        readable = [bool(t) and has_letter(t) for t in texts]
         asked = [t for t, ok in zip(texts, readable) if ok]
         if not self.languages or not asked:
             return [UNDETERMINED] * len(texts), [0.0] * len(texts)
@@ -121,22 +125,21 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.nd
     return found, n_docs
 
 
-def tf_idf(texts: list[str], idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(features, values) of each text."""
-    rows = []
-    for text in texts:
-        own = np.concatenate([f[s[0] : e[0]] for f, s, e in ngram_features([text])])
-        features, counts = np.unique(own, return_counts=True)
-        rows.append((features, (SCALE * counts / max(1, len(own)) * idf[features]).astype(np.float32)))
-    return rows
+def feature_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """A text's features and how often each occurs."""
+    return np.unique(np.concatenate([f[s[0] : e[0]] for f, s, e in ngram_features([text])]), return_counts=True)
+
 
+def tf_idf(features: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    return (SCALE * counts / max(1, counts.sum()) * idf[features]).astype(np.float32)
 
-def train(texts: list[str], langs: list[str], idf: np.ndarray, epochs: int = EPOCHS) -> LanguageModel:
-    """FTRL-proximal with one weight vector a language, softmax loss, then a temperature on every fifth row."""
+
+def train(counted: list[tuple[np.ndarray, np.ndarray]], langs: list[str], idf: np.ndarray, epochs: int = EPOCHS) -> LanguageModel:
+    """``counted`` has the features and counts of each text.  FTRL-proximal with one weight vector a language, softmax loss, then a temperature on every fifth row."""
     languages = sorted(set(langs))
     if not languages:
         return LanguageModel([], np.zeros((SIZE, 0), np.float32), np.zeros(0), 1.0)
-    rows, target = tf_idf(texts, idf), [languages.index(x) for x in langs]
+    target = [languages.index(x) for x in langs]
     fit = [i for i in range(len(target)) if i % CALIBRATION_SHARE or len(target) < 10 * CALIBRATION_SHARE]
     held = [i for i in range(len(target)) if not i % CALIBRATION_SHARE]
     k = len(languages)
@@ -147,8 +150,7 @@ def train(texts: list[str], langs: list[str], idf: np.ndarray, epochs: int = EPO
         return np.where(np.abs(zz) <= L1, 0.0, -(zz - np.sign(zz) * L1) / ((BETA + np.sqrt(nn)) / ALPHA + L2))
 
     order = np.random.default_rng(0)
-    with_bias = [(np.append(f, SIZE).astype(np.int32), np.append(x, np.float32(1.0))) for f, x in rows]
-    del rows
+    with_bias = [(np.append(f, SIZE).astype(np.int32), np.append(tf_idf(f, n, idf), np.float32(1.0))) for f, n in counted]
     for _ in range(epochs):
         for i in order.permutation(fit):
             at, x = with_bias[i]
@@ -178,9 +180,20 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     frequencies, n_docs = document_frequencies(usable)
     idf = np.log((1.0 + n_docs) / (1.0 + frequencies)) + 1.0
     chosen = usable.select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(sample_docs).select("doc_id").distinct()
-    sample = usable.join(F.broadcast(chosen), "doc_id", "left_semi").select("doc_id", "lang", "text").limit(4 * sample_docs).collect()
-    sample = sorted(sample, key=lambda r: (r["doc_id"] * 0x9E3779B97F4A7C15 % (1 << 64), r["lang"], r["text"]))[:sample_docs]
-    return train([r["text"] for r in sample], [r["lang"] for r in sample], idf)
+    picked = usable.join(F.broadcast(chosen), "doc_id", "left_semi").select("doc_id", "lang", "text")
+
+    def counted(part: pa.RecordBatch) -> pa.RecordBatch:
+        found = [feature_counts(t) for t in part.column(2).to_pylist()]
+        return batch_of(doc_id=part.column(0), lang=part.column(1), features=pa.array([f for f, _ in found], pa.list_(pa.int32())), counts=pa.array([n for _, n in found], pa.list_(pa.int32())))
+
+    # The driver gets feature counts, at most one a hashed feature and document, however long the texts are.
+    table = map_batches(picked, counted, "doc_id long, lang string, features array<int>, counts array<int>").limit(4 * sample_docs).toArrow()
+    rows = []
+    for batch in table.to_batches():
+        ids, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        rows += [((i * 0x9E3779B97F4A7C15) % (1 << 64), lang, f.values.to_numpy(), n.values.to_numpy()) for i, lang, f, n in zip(ids, langs, batch.column(2), batch.column(3))]
+    rows = sorted(rows, key=lambda r: (r[0], r[1], r[2].tobytes(), r[3].tobytes()))[:sample_docs]
+    return train([(f, n) for _, _, f, n in rows], [lang for _, lang, _, _ in rows], idf)
 
 
 def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

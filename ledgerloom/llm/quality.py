@@ -131,8 +131,8 @@ def gradients(net: Network, chunks: np.ndarray, starts: np.ndarray, sizes: np.nd
     return loss, [d_embedding, d_filters, d_h.sum(axis=0), ds @ both, ds.sum(keepdims=True)]
 
 
-def train(texts: list[str], labels: list[int], share_of_ones: float | None = None, epochs: int = EPOCHS, seed: int = 0) -> Network:
-    """``share_of_ones``: of class 1 among all labels; the sample's classes are weighted to it."""
+def train(data: list[np.ndarray], labels: list[int], share_of_ones: float | None = None, epochs: int = EPOCHS, seed: int = 0) -> Network:
+    """``data``: chunks of each document; ``share_of_ones``: of class 1 among all labels, to which the sample's classes are weighted."""
     net, y = Network.fresh(seed), np.array(labels, dtype=np.float32)
     ones = float(y.mean()) if len(y) else 0.5
     if len(y) == 0 or ones in (0.0, 1.0):
@@ -141,7 +141,6 @@ def train(texts: list[str], labels: list[int], share_of_ones: float | None = Non
         return net
     share = ones if share_of_ones is None else share_of_ones
     weight = np.where(y == 1, share / ones, (1 - share) / (1 - ones)).astype(np.float32)
-    data = [chunks_of(t, SAMPLE_CHUNKS) for t in texts]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in net.parameters()]
     r, step = np.random.default_rng(seed), 0
     total = epochs * -(-len(data) // BATCH_DOCS)
@@ -173,11 +172,17 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     usable = labels.select(id_of(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out("doc_id")).groupBy("doc_id").agg(F.max("y").alias("y"))
     counts = {r["y"]: r["n"] for r in usable.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     chosen = [usable.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs) for y in (0, 1)]
-    texts = docs.select(id_of(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    rows = texts.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").limit(4 * sample_docs).collect()
-    rows = sorted(rows, key=lambda r: (r["doc_id"], r["text"]))
+    picked = docs.select(id_of(id_col).alias("doc_id"), text_of(text_col).alias("text")).join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").select("doc_id", "y", "text")
+
+    def sampled(part: pa.RecordBatch) -> pa.RecordBatch:
+        chunks = [np.ascontiguousarray(chunks_of(t, SAMPLE_CHUNKS)).tobytes() for t in part.column(2).to_pylist()]
+        return batch_of(doc_id=part.column(0), y=part.column(1), chunks=pa.array(chunks, pa.binary()))
+
+    # The driver gets SAMPLE_CHUNKS chunks a document at most, however long its text is.
+    rows = map_batches(picked, sampled, "doc_id long, y int, chunks binary").limit(4 * sample_docs).collect()
+    rows = sorted(rows, key=lambda r: (r["doc_id"], bytes(r["chunks"])))
     ones = counts.get(1, 0) / max(1, sum(counts.values()))
-    return train([r["text"] for r in rows], [r["y"] for r in rows], ones)
+    return train([np.frombuffer(r["chunks"], dtype=np.uint8).reshape(-1, CHUNK) for r in rows], [r["y"] for r in rows], ones)
 
 
 def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
