@@ -71,3 +71,19 @@ def normal_quantile(p: Column) -> Column:
         return values.map(lambda v: inverse(min(max(v, 1e-12), 1 - 1e-12)))
 
     return run(p)
+
+
+def group_key(variable: str | None = None, public: str | None = None, environ: dict[str, str] | None = None) -> tuple[str, dict[str, str]]:
+    """The key of a group draw and what may be recorded of it: where it comes from and its SHA-256, never the key.
+
+    A secret key stands in the environment as 64 lower-case hex digits; otherwise ``public`` is used as it is.
+    """
+    import os
+    import re
+
+    if (variable is None) == (public is None):
+        raise ValueError("name either an environment variable or a public key")
+    key = public if variable is None else (os.environ if environ is None else environ).get(variable, "")
+    if variable is not None and not re.fullmatch("[0-9a-f]{64}", key):
+        raise ValueError(f"{variable} does not hold 64 lower-case hex digits")
+    return key, {"source": "public" if variable is None else "environment", "sha256": hashlib.sha256(key.encode()).hexdigest()}

@@ -146,3 +146,22 @@ def store_fingerprint(df: DataFrame) -> DataFrame:
     """Order-free fingerprint of a table: rows and two sums of row hashes, reduced so that no sum overflows."""
     h = F.xxhash64(*[F.col(c) for c in df.columns])
     return df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(h), F.lit(0)).alias("x"), F.coalesce(F.sum(F.shiftrightunsigned(h, 32)), F.lit(0)).alias("s"))
+
+
+def footprint(df: DataFrame) -> DataFrame:
+    """Bytes of a table in memory, over all rows: strings as they are (with an 8-byte offset), and as 4-byte codes of a dictionary.
+
+    Other columns count their width, 8 bytes unless they are narrower.  Values are first counted per column, so the
+    dictionary's size comes from distinct values.
+    """
+    narrow = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "float": 4, "date": 4}
+    texts = [c for c, kind in df.dtypes if kind == "string"]
+    width = sum(narrow.get(kind, 8) for _, kind in df.dtypes if kind != "string")
+    rows = df.agg(F.count(F.lit(1)).alias("n_rows"))
+    if not texts:
+        return rows.select("n_rows", (F.col("n_rows") * width).alias("string_bytes"), (F.col("n_rows") * width).alias("dictionary_bytes"))
+    values = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.coalesce(F.col(c), F.lit("")).alias("v")) for c in texts])).alias("x")).groupBy("x.c", "x.v").agg(F.count(F.lit(1)).alias("n"))
+    size = F.octet_length("v").cast("long")
+    sums = values.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("cells"), F.coalesce(F.sum(size * F.col("n")), F.lit(0)).alias("all_bytes"), F.coalesce(F.sum(size + 8), F.lit(0)).alias("distinct_bytes"))
+    n = F.expr(f"cells div {len(texts)}")
+    return sums.select(n.alias("n_rows"), (n * width + F.col("cells") * 8 + F.col("all_bytes")).alias("string_bytes"), (n * width + F.col("cells") * 4 + F.col("distinct_bytes")).alias("dictionary_bytes"))

@@ -10,9 +10,18 @@ from pyspark.sql import types as T
 
 #: Conditions that hold for every alert.
 ALERT = {
-    "composite key": "account_key LIKE '%|%'", "one rule at least": "n_rules_triggered >= 1", "window in order": "window_start <= window_end", "window closed": "window_end < as_of", "id": "alert_id RLIKE '^A[0-9a-f]+$'",
+    "composite key": "account_key RLIKE '^[^|]+[|][^|]+$'", "one rule at least": "n_rules_triggered >= 1", "window in order": "window_start <= window_end", "window closed": "window_end < as_of", "id": "alert_id RLIKE '^A[0-9a-f]+$'",
 }
-FORBIDDEN = {"islaundering", "label", "typology", "attemptid", "istruepositive"}
+#: Names of ground truth, which no visible table or payload may carry.
+FORBIDDEN = {
+    "is_laundering", "is_true_positive", "label", "labels", "pattern_id", "pattern_instance_id", "typology_truth", "gt_typology", "ground_truth",
+    "label_definition_id", "attempt_id", "attempt_ids", "has_unattributed", "n_laundering_txns", "is_pos", "planted", "laundering_account", "agent_group",
+}
+
+
+def normal_sql(name: str) -> str:
+    """A field's name in lower case, its spaces and dashes as underscores, in SQL."""
+    return f"translate(lower(trim({name})), ' -', '__')"
 
 
 def violations(df: DataFrame, contract: dict[str, str]) -> DataFrame:
@@ -26,12 +35,12 @@ def repeated(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def forbidden_fields(schema: T.DataType, path: str = "") -> list[str]:
-    """Paths of fields whose name, without case and signs, is forbidden; nested types are walked."""
+    """Paths of fields whose name, in lower case and with underscores, is forbidden; nested types are walked."""
     if isinstance(schema, T.StructType):
         found = []
         for f in schema.fields:
             at = f"{path}.{f.name}".lstrip(".")
-            found += [at] if re.sub(r"[^a-z0-9]", "", f.name.lower()) in FORBIDDEN else []
+            found += [at] if re.sub("[ -]", "_", f.name.strip().lower()) in FORBIDDEN else []
             found += forbidden_fields(f.dataType, at)
         return found
     if isinstance(schema, T.ArrayType):

@@ -87,7 +87,7 @@ def top_payment(scored: DataFrame, alert: str = "alert_id") -> DataFrame:
 
 def disposition_audit(rows: DataFrame) -> DataFrame:
     """Accuracy, misses, false alarms, precision of confirmations and median delay of every group and of all."""
-    confirmed, true = F.col("disposition") == "confirmed", F.col("is_true_positive")
+    confirmed, true = F.col("disposition") == "confirmed_suspicious", F.col("is_true_positive")
     tagged = rows.withColumn("group", F.explode(F.array(F.lit("all"), F.when(true, "true").otherwise("false"), F.concat(F.lit("rules_"), F.col("n_rules_triggered").cast("string")))))
     return tagged.groupBy("group").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg((confirmed == true).cast("int")), 6).alias("accuracy"), F.round(F.avg(F.when(true, (~confirmed).cast("int"))), 6).alias("miss_rate"),

@@ -76,7 +76,7 @@ def dispositions(labelled: DataFrame, seed: int = 0, median_hours: float = 48.0,
 
     confirm = F.when(F.col("is_true_positive"), anchored_probability(0.7, 0.5, "n_rules_triggered")).otherwise(anchored_probability(0.03, 0.2, "n_rules_triggered"))
     hours = F.least(F.lit(limits[1]), F.greatest(F.lit(limits[0]), median_hours * F.exp(spread * normal_quantile(u("delay")))))
-    decided = labelled.withColumns({"disposition": F.when(u("decision") < confirm, "confirmed").otherwise("dismissed"), "delay_minutes": F.floor(hours * 60).cast("int")})
+    decided = labelled.withColumns({"disposition": F.when(u("decision") < confirm, "confirmed_suspicious").otherwise("closed_legitimate"), "delay_minutes": F.floor(hours * 60).cast("int")})
     return decided.withColumn("closed_at", F.expr("timestampadd(MINUTE, delay_minutes, created_at)")).select("alert_id", "account_key", "disposition", "closed_at")
 
 
@@ -89,3 +89,33 @@ def flagged_counterparties(legs: DataFrame, alerts: DataFrame) -> DataFrame:
     flagged = alerts.groupBy(F.col("account_key").alias("counterparty")).agg(F.min("window_start").alias("first_alert"))
     met = legs.select("account_key", "window_start", "counterparty").distinct().join(flagged, "counterparty").filter("first_alert < window_start")
     return met.groupBy("account_key", "window_start").agg(F.count(F.lit(1)).alias("n_flagged"))
+
+
+def planting_realisation(alerts: DataFrame, labels: DataFrame, planting: DataFrame) -> DataFrame:
+    """One row for accounts with a true alert and one for the others: how many were planted, and how often a planted behaviour is one of the account's own rules.
+
+    ``alerts``: alert_id, account_key, triggered_rules; ``labels``: alert_id, is_true_positive; ``planting``: account_key,
+    planted, dominant_behaviour.  Rules are collected per account, at most one of each rule.
+    """
+    rules = alerts.join(labels.select("alert_id", "is_true_positive"), "alert_id").select("account_key", "is_true_positive", F.explode_outer("triggered_rules").alias("rule"))
+    account = rules.groupBy("account_key").agg(F.bool_or("is_true_positive").alias("laundering_account"), F.collect_set("rule").alias("rules"))
+    met = account.join(planting.select("account_key", "planted", "dominant_behaviour"), "account_key", "left").withColumn("planted", F.coalesce("planted", F.lit(False)))
+    own = F.col("planted") & F.coalesce(F.array_contains("rules", F.col("dominant_behaviour")), F.lit(False))
+    return met.groupBy("laundering_account").agg(F.count(F.lit(1)).alias("n_accounts"), F.round(F.avg(F.col("planted").cast("int")), 6).alias("planted_rate"), F.round(F.avg(own.cast("int")), 6).alias("explains_own_alert_rate"))
+
+
+def alert_lift(accounts: DataFrame, fit_alerts: DataFrame, later_alerts: DataFrame, flags: list[str]) -> DataFrame:
+    """``flag``, share of accounts that have it, and rates of later alerts and true alerts with and without it.
+
+    Only accounts without an alert in ``fit_alerts`` count; ``later_alerts`` has account_key and is_true_positive.
+    """
+    later = later_alerts.groupBy("account_key").agg(F.bool_or("is_true_positive").alias("hit"))
+    pool = accounts.join(fit_alerts.select("account_key").distinct(), "account_key", "left_anti").join(later, "account_key", "left")
+    long = pool.select(F.col("hit").isNotNull().cast("int").alias("alerted"), F.coalesce("hit", F.lit(False)).cast("int").alias("true"), F.explode(F.array(*[F.struct(F.lit(f).alias("flag"), F.coalesce(F.col(f), F.lit(False)).alias("has")) for f in flags])).alias("f")).select("alerted", "true", "f.*")
+
+    def rate(column: str, has: bool):
+        return F.avg(F.when(F.col("has") == has, F.col(column)))
+
+    found = long.groupBy("flag").agg(F.count(F.lit(1)).alias("n_accounts"), F.avg(F.col("has").cast("int")).alias("share"), *[rate(c, h).alias(f"{c}_rate_{'with' if h else 'without'}") for c in ("alerted", "true") for h in (True, False)])
+    lifts = [F.round(F.try_divide(F.col(f"{c}_rate_with"), F.col(f"{c}_rate_without")), 6).alias(f"{c}_lift") for c in ("alerted", "true")]
+    return found.select("flag", "n_accounts", *[F.round(c, 6).alias(c) for c in found.columns[2:]], *lifts)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import hashing
-from ledgerloom.operators import audit, contracts, features, fx, graph, labels, ledger, metrics, models, profiles, stats
+from ledgerloom.operators import audit, contracts, features, fx, graph, labels, ledger, metrics, models, profiles, records, selection, stats
 from ledgerloom.plans.oracle_base import ACCOUNTS, BY_SCORE, EDGES, FIRED, LEDGER, LEGS, PERIOD, SCORED, STATS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -666,3 +666,89 @@ def m20_top_payment(spark, sf):
 
     legs = ledger.usd_legs(spark, sf).select(F.struct("account_key", "window_start").alias("alert_id"), F.col("usd").alias("score"), F.col("is_laundering").alias("y"))
     return evaluation.top_payment(legs).select("alert_id.account_key", "alert_id.window_start", F.round("top_score", 4).alias("top_score"), "top_y", "any_y")
+
+
+# ---- planting, footprint, record contracts, model selection
+
+_RULES = ["R01_LARGE_SINGLE_TXN", "R02_PEER_VOLUME_OUTLIER", "R03_STRUCTURING", "R04_FAN_IN", "R05_FAN_OUT", "R06_RAPID_IN_OUT", "R07_HIGH_RISK_CHANNEL", "R08_CROSS_CURRENCY_CHURN", "R09_ROUND_AMOUNTS"]
+
+
+def _labelled(spark, sf):
+    return labels.label_alerts(_alerts(spark, sf), _positive(spark, sf)).withColumns({"y": F.col("is_true_positive").cast("int"), "key": F.concat_ws("|", "account_key", F.col("window_start").cast("string")), "fold": ledger.period_of("window_start")})
+
+
+@query("SELECT hit AS laundering_account, count(*) AS n_accounts, round(avg(planted::int), 6) AS planted_rate, round(avg((planted AND own)::int), 6) AS explains_own_alert_rate FROM (SELECT a.account_key, bool_or(p.n_laundering_txns IS NOT NULL) AS hit, bool_or(coalesce(k.entity_type = 'BUILDING', false)) AS planted, bool_or(f2) AS own FROM alerts a LEFT JOIN positive p USING (account_key, window_start) LEFT JOIN known k ON a.account_key = k.account_key WHERE n_rules_triggered > 0 GROUP BY 1) t GROUP BY 1", FIRED + ", " + _POSITIVE + ", " + ACCOUNTS + ", " + _KYC)
+def a32_planting_realisation(spark, sf):
+    rows = _labelled(spark, sf)
+    planting = _known(spark, sf).select("account_key", (F.col("entity_type") == "BUILDING").alias("planted"), F.lit(_RULES[1]).alias("dominant_behaviour"))
+    return profiles.planting_realisation(rows.select(F.col("key").alias("alert_id"), "account_key", "triggered_rules"), rows.select(F.col("key").alias("alert_id"), "is_true_positive"), planting)
+
+
+_TEXTS = ("from_account", "to_account", "payment_currency", "payment_format")
+
+
+@query("SELECT (SELECT count(*) FROM ledger) AS n_rows, cast(sum(n) * 8 + sum(strlen(v) * n) + 16 * (SELECT count(*) FROM ledger) AS bigint) AS string_bytes, cast(sum(n) * 4 + sum(strlen(v) + 8) + 16 * (SELECT count(*) FROM ledger) AS bigint) AS dictionary_bytes FROM (SELECT c, v, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS c, {c} AS v FROM ledger" for c in _TEXTS) + ") x GROUP BY 1, 2) t", LEDGER)
+def a40_footprint(spark, sf):
+    return audit.footprint(ledger.ledger(spark, sf).select("ts", "amount_paid", *_TEXTS))
+
+
+@query("SELECT * FROM (VALUES ('alert', 0::bigint), ('graph_query', 0::bigint), ('historical_disposition', 0::bigint)) t(kind, n_violations)")
+def v01_record_contracts(spark, sf):
+    made = stats.alerts(_fired(spark, sf)).withColumns({c: F.col(c).cast("timestamp") for c in ("window_start", "window_end", "as_of", "created_at")}).withColumn("rule_features", F.to_json(F.struct("n_txn", "volume_usd")))
+    asked = made.select("account_key", "as_of", F.lit(24.0).alias("lookback_hours"), F.lit(2).alias("max_hops"))
+    closed = profiles.dispositions(labels.label_alerts(stats.alerts(_fired(spark, sf)), _positive(spark, sf))).withColumn("closed_at", F.col("closed_at").cast("timestamp"))
+    tables = {"alert": made.select(*records.schema_of("alert").names), "graph_query": asked, "historical_disposition": closed}
+    counts = [records.broken_records(t, kind).agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n_violations")) for kind, t in tables.items()]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+@query("SELECT row_id, coalesce((SELECT count(*) FROM cats WHERE cats.v < x.v), 0)::double * (x.v IN (SELECT v FROM cats))::int - (x.v NOT IN (SELECT v FROM cats))::int AS code FROM (SELECT row_id, concat(payment_currency, '/', receiving_currency, '/', payment_format) AS v FROM ledger) x", LEDGER + ", cats AS (SELECT DISTINCT concat(payment_currency, '/', receiving_currency, '/', payment_format) AS v FROM ledger WHERE ts < TIMESTAMP '2024-01-02')")
+def m25_category_codes(spark, sf):
+    t = ledger.ledger(spark, sf).select("row_id", "ts", F.concat_ws("/", "payment_currency", "receiving_currency", "payment_format").alias("v"))
+    return selection.category_codes(t.filter(F.col("ts") < F.lit("2024-01-02").cast("timestamp_ntz")), t, ["v"]).select("row_id", F.nanvl("code_v", F.lit(-1.0)).alias("code"))
+
+
+_LATER = "later AS (SELECT a.account_key, bool_or(p.n_laundering_txns IS NOT NULL) AS hit FROM alerts a LEFT JOIN positive p USING (account_key, window_start) WHERE n_rules_triggered > 0 AND window_start >= TIMESTAMP '2024-01-15' AND window_start < TIMESTAMP '2024-01-19' GROUP BY 1), pool AS (SELECT k.account_key, entity_type = 'BUILDING' AS building, k.account_key < '003' AS first_banks, (hit IS NOT NULL)::int AS alerted, coalesce(hit, false)::int AS tp FROM known k LEFT JOIN later l ON k.account_key = l.account_key WHERE k.account_key NOT IN (SELECT account_key FROM alerts WHERE n_rules_triggered > 0 AND window_start >= TIMESTAMP '2024-01-02' AND window_start < TIMESTAMP '2024-01-14'))"
+
+
+@query("SELECT flag, count(*) AS n_accounts, round(avg(has::int), 6) AS share, round(avg(alerted) FILTER (has), 6) AS alerted_rate_with, round(avg(alerted) FILTER (NOT has), 6) AS alerted_rate_without, round(avg(tp) FILTER (has), 6) AS true_rate_with, round(avg(tp) FILTER (NOT has), 6) AS true_rate_without, round(avg(alerted) FILTER (has) / nullif(avg(alerted) FILTER (NOT has), 0), 6) AS alerted_lift, round(avg(tp) FILTER (has) / nullif(avg(tp) FILTER (NOT has), 0), 6) AS true_lift FROM (SELECT 'building' AS flag, building AS has, alerted, tp FROM pool UNION ALL SELECT 'first_banks', first_banks, alerted, tp FROM pool) t GROUP BY 1", FIRED + ", " + _POSITIVE + ", " + ACCOUNTS + ", " + _KYC + ", " + _LATER)
+def m26_alert_lift(spark, sf):
+    rows = _labelled(spark, sf)
+    accounts = _known(spark, sf).select("account_key", (F.col("entity_type") == "BUILDING").alias("building"), (F.col("account_key") < "003").alias("first_banks"))
+    return profiles.alert_lift(accounts, rows.filter("fold = 'TRAIN'"), rows.filter("fold = 'VALIDATION'"), ["building", "first_banks"])
+
+
+@query()
+def m21_paired_gain(spark, sf):
+    rows = _labelled(spark, sf).select("fold", "key", "y", F.col("volume_usd").alias("a"), F.col("n_rules_triggered").cast("double").alias("b")).filter("fold IN ('VALIDATION', 'CALIBRATION')")
+    return selection.paired_gain(rows, "a", "b", "fold", "key", replicates=100)
+
+
+@query()
+def m22_learning_curve(spark, sf):
+    rows = _labelled(spark, sf)
+
+    def build(part):
+        weights = models.rule_weights(part)
+        return lambda table: models.weighted_score(table, weights)
+
+    return selection.learning_curve(rows.filter("fold = 'TRAIN'"), rows.filter("fold = 'VALIDATION'"), [0.25, 0.5, 1.0], "account_key", build)
+
+
+@query()
+def m22_permutation_importance(spark, sf):
+    rows = _labelled(spark, sf)
+    weights = models.rule_weights(rows)
+    return selection.permutation_importance(rows, sorted(weights)[:3], lambda table: models.weighted_score(table, weights), "key", 1)
+
+
+@query()
+def m23_leakage_ceilings(spark, sf):
+    rows = _labelled(spark, sf).select("key", "y", F.col("n_rules_triggered").cast("double").alias("rules"), "volume_usd", F.col("n_txn").cast("double").alias("n_txn"))
+    return selection.ceilings(rows, {"volume_only": ("volume_usd", None, 3.0), "volume_over_rules": ("volume_usd", "rules", 1.0)}, "key", 100, least_positive=1)
+
+
+@query()
+def m26_ablation(spark, sf):
+    rows = _labelled(spark, sf).withColumns({c: F.col(c).cast("double") for c in ("n_txn", "volume_usd", "n_distinct_senders")})
+    return selection.ablation(rows.filter("fold = 'TRAIN'"), rows.filter("fold = 'VALIDATION'"), {"size": ["n_txn"], "size and volume": ["n_txn", "volume_usd"]}, kind="tree")

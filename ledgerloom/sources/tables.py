@@ -161,3 +161,14 @@ def csv_profile(spark: SparkSession, path: str) -> DataFrame:
 def line_templates(spark: SparkSession, path: str) -> DataFrame:
     """Lines with their digits masked, by frequency."""
     return spark.read.text(path).groupBy(F.regexp_replace("value", r"\d+", "#").alias("template")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "template")
+
+
+def head_tail(spark: SparkSession, path: str, n_head: int = 5, n_tail: int = 5) -> DataFrame:
+    """``part, position, line``: the first lines of a file and its last that are not empty, in order.
+
+    Each end is a top-k over positions, so a task sends at most ``n_head`` or ``n_tail`` lines.
+    """
+    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("position"), F.rtrim(F.col("value"), F.lit("\r")).alias("line"))
+    head = lines.orderBy("position").limit(n_head).select(F.lit("head").alias("part"), "position", "line")
+    tail = lines.filter("line <> ''").orderBy(F.col("position").desc()).limit(n_tail).select(F.lit("tail").alias("part"), "position", "line")
+    return head.unionByName(tail).orderBy("part", "position")
