@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.lineage import use_shared_folder
+
 DAY = "window_start"
 
 
@@ -52,14 +54,7 @@ def components(e: DataFrame, group: str = DAY) -> DataFrame:
 
     Labels are checkpointed each round; the loop ends when no label changes.
     """
-    spark = e.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        found = spark.conf.get("spark.checkpoint.dir", None)
-        if not found and not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-        spark.sparkContext.setCheckpointDir(found or tempfile.mkdtemp(prefix="ledgerloom-"))
+    use_shared_folder(e.sparkSession)
     both = e.select(group, F.col("src").alias("node"), F.col("dst").alias("other")).unionByName(e.select(group, F.col("dst").alias("node"), F.col("src").alias("other"))).distinct().checkpoint()
     labels = both.groupBy(group, "node").agg(F.least(F.col("node"), F.min("other")).alias("root")).checkpoint()
     while True:

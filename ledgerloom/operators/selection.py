@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.hashing import keyed_uniform
+from ledgerloom.functions.lineage import checkpointed
 from ledgerloom.operators.metrics import auc_ap, weighted_auc_ap
 
 AUC, AP = 0, 1
@@ -146,7 +147,7 @@ def permutation_importance(rows: DataFrame, features: list[str], score: Callable
     """
     from pyspark.sql import Window
 
-    spark = rows.sparkSession
+    spark, rows = rows.sparkSession, checkpointed(rows)
     whole = auc_ap(score(rows), "score", "y").first()
     base, bucket = whole["ap"], F.pmod(F.xxhash64(key), F.lit(max(1, whole["n"] // BUCKET_ROWS)))
     if base is None:
@@ -167,7 +168,8 @@ def permutation_importance(rows: DataFrame, features: list[str], score: Callable
 
 def learning_curve(fit: DataFrame, check: DataFrame, fractions: list[float], key: str, build: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], seed: int = 0) -> DataFrame:
     """``fraction, n_fit, ap_fit, ap_check`` of models that learn from growing keyed shares of ``fit``; larger shares hold the smaller ones."""
-    drawn = fit.withColumn("__u", keyed_uniform("learning_curve", seed, "share")(F.col(key).cast("string")))
+    check = checkpointed(check)
+    drawn = checkpointed(fit.withColumn("__u", keyed_uniform("learning_curve", seed, "share")(F.col(key).cast("string"))))
     found = []
     for fraction in fractions:
         part = drawn.filter(F.col("__u") < fraction).drop("__u")
@@ -184,7 +186,7 @@ def ablation(fit: DataFrame, check: DataFrame, sets: dict[str, list[str]], kind:
     """``features, ap, times_prevalence`` on ``check`` of a model for each named set of columns."""
     from ledgerloom.operators.models import fit_model, positive_score
 
-    found = []
+    fit, check, found = checkpointed(fit), checkpointed(check), []
     for name, columns in sets.items():
         r = auc_ap(positive_score(fit_model(kind, fit, columns, **options), check), "score", "y").first()
         found.append((name, r["ap"], None if r["ap"] is None else round(r["ap"] * r["n"] / r["n_pos"], 6)))

@@ -708,14 +708,14 @@ def m25_category_codes(spark, sf):
     return selection.category_codes(t.filter(F.col("ts") < F.lit("2024-01-02").cast("timestamp_ntz")), t, ["v"]).select("row_id", F.nanvl("code_v", F.lit(-1.0)).alias("code"))
 
 
-_LATER = "later AS (SELECT a.account_key, bool_or(p.n_laundering_txns IS NOT NULL) AS hit FROM alerts a LEFT JOIN positive p USING (account_key, window_start) WHERE n_rules_triggered > 0 AND window_start >= TIMESTAMP '2024-01-15' AND window_start < TIMESTAMP '2024-01-19' GROUP BY 1), pool AS (SELECT k.account_key, entity_type = 'BUILDING' AS building, k.account_key < '003' AS first_banks, (hit IS NOT NULL)::int AS alerted, coalesce(hit, false)::int AS tp FROM known k LEFT JOIN later l ON k.account_key = l.account_key WHERE k.account_key NOT IN (SELECT account_key FROM alerts WHERE n_rules_triggered > 0 AND window_start >= TIMESTAMP '2024-01-02' AND window_start < TIMESTAMP '2024-01-14'))"
+_LATER = "later AS (SELECT a.account_key, bool_or(p.n_laundering_txns IS NOT NULL) AS hit FROM alerts a LEFT JOIN positive p USING (account_key, window_start) WHERE n_rules_triggered > 0 AND window_start >= TIMESTAMP '2024-01-15' AND window_start < TIMESTAMP '2024-01-19' GROUP BY 1), pool AS (SELECT k.account_key, entity_type = 'BUILDING' AS building, k.account_key < '003' AS first_banks, (hit IS NOT NULL)::int AS alerted, coalesce(hit, false)::int AS tp FROM known k LEFT JOIN later l ON k.account_key = l.account_key WHERE k.account_key NOT IN (SELECT account_key FROM alerts WHERE n_rules_triggered > 0 AND window_start < TIMESTAMP '2024-01-03'))"
 
 
 @query("SELECT flag, count(*) AS n_accounts, round(avg(has::int), 6) AS share, round(avg(alerted) FILTER (has), 6) AS alerted_rate_with, round(avg(alerted) FILTER (NOT has), 6) AS alerted_rate_without, round(avg(tp) FILTER (has), 6) AS true_rate_with, round(avg(tp) FILTER (NOT has), 6) AS true_rate_without, round(avg(alerted) FILTER (has) / nullif(avg(alerted) FILTER (NOT has), 0), 6) AS alerted_lift, round(avg(tp) FILTER (has) / nullif(avg(tp) FILTER (NOT has), 0), 6) AS true_lift FROM (SELECT 'building' AS flag, building AS has, alerted, tp FROM pool UNION ALL SELECT 'first_banks', first_banks, alerted, tp FROM pool) t GROUP BY 1", FIRED + ", " + _POSITIVE + ", " + ACCOUNTS + ", " + _KYC + ", " + _LATER)
 def m26_alert_lift(spark, sf):
     rows = _labelled(spark, sf)
     accounts = _known(spark, sf).select("account_key", (F.col("entity_type") == "BUILDING").alias("building"), (F.col("account_key") < "003").alias("first_banks"))
-    return profiles.alert_lift(accounts, rows.filter("fold = 'TRAIN'"), rows.filter("fold = 'VALIDATION'"), ["building", "first_banks"])
+    return profiles.alert_lift(accounts, rows.filter("window_start < timestamp_ntz '2024-01-03'"), rows.filter("fold = 'VALIDATION'"), ["building", "first_banks"])
 
 
 @query()
@@ -751,4 +751,4 @@ def m23_leakage_ceilings(spark, sf):
 @query()
 def m26_ablation(spark, sf):
     rows = _labelled(spark, sf).withColumns({c: F.col(c).cast("double") for c in ("n_txn", "volume_usd", "n_distinct_senders")})
-    return selection.ablation(rows.filter("fold = 'TRAIN'"), rows.filter("fold = 'VALIDATION'"), {"size": ["n_txn"], "size and volume": ["n_txn", "volume_usd"]}, kind="tree")
+    return selection.ablation(rows.filter("fold = 'TRAIN'"), rows.filter("fold = 'VALIDATION'"), {"size": ["n_txn"], "size and volume": ["n_txn", "volume_usd"]}, kind="logistic")
