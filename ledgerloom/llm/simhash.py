@@ -152,16 +152,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return named.join(smallest, "component").select("doc_id", "tie", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: of each near-duplicate group the one with the smallest (id, text hash), once."""
-    signed = materialise(signatures(docs, id_col, text_col), "simhash")
-    stay = components(signed).groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("s")).select(F.col("s.doc_id").alias("stay_id"), F.col("s.tie").alias("stay_tie"))
+def keep_smallest(docs: DataFrame, named: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay: of each ``component`` of ``named`` (with ``doc_id, tie``) the smallest, once."""
+    stay = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("s")).select(F.col("s.doc_id").alias("stay_id"), F.col("s.tie").alias("stay_tie"))
     tie = F.xxhash64(text_of(text_col))
     keyed = docs.select(*[F.col(f"`{c}`") for c in docs.columns], tie.alias("__tie"))
     kept = keyed.join(stay, id_of(id_col).eqNullSafe(F.col("stay_id")) & (F.col("__tie") == F.col("stay_tie")), "left_semi")
     return kept.withColumn("__row", F.row_number().over(Window.partitionBy(id_col, "__tie").orderBy(F.lit(0)))).filter("__row = 1").drop("__tie", "__row")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay: of each near-duplicate group the one with the smallest (id, text hash), once."""
+    return keep_smallest(docs, components(materialise(signatures(docs, id_col, text_col), "simhash")), id_col, text_col)
+
+
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
