@@ -325,6 +325,12 @@ def d22_w06_capped_sample(spark, sf):
     return per.filter("w = 1").drop("w")
 
 
+@query("SELECT account_key, window_start, n_pos + least(neg, 2) AS n, n_pos, (n_pos + neg)::double AS total_weight FROM (SELECT account_key, window_start, count(*) FILTER (is_laundering = 1) AS n_pos, count(*) FILTER (is_laundering = 0) AS neg FROM legs GROUP BY 1, 2) t", LEGS)
+def d22_w06_capped_sample_all(spark, sf):
+    kept = features.capped_sample(ledger.usd_legs(spark, sf), 2, "row_id")
+    return kept.groupBy("account_key", "window_start").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("is_laundering") == 1, 1)).alias("n_pos"), F.round(F.sum("weight"), 6).alias("total_weight"))
+
+
 @query("SELECT account_key, window_start, round(usd / t, 6) AS share FROM (SELECT account_key, window_start, usd, sum(usd) OVER (PARTITION BY account_key, window_start) AS t FROM legs WHERE direction = 'out') x WHERE t > 0", LEGS)
 def w05_share_of_total(spark, sf):
     out = ledger.usd_legs(spark, sf).filter("direction = 'out'")
