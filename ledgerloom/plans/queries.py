@@ -745,7 +745,7 @@ def m22_learning_curve(spark, sf):
 def m22_permutation_importance(spark, sf):
     rows = _labelled(spark, sf)
     weights = models.rule_weights(rows)
-    return selection.permutation_importance(rows, sorted(weights)[:3], lambda table: models.weighted_score(table, weights), "key", 1)
+    return selection.permutation_importance(rows, sorted(weights), lambda table: models.weighted_score(table, weights), "key", 5)
 
 
 @query()
