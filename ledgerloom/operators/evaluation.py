@@ -49,29 +49,63 @@ def check_embargo(folds: list[tuple[str, str, str, str]], least_days: int) -> No
             raise ValueError(f"fold {name} has no embargo of {least_days} days")
 
 
-def permutation_null(rows: DataFrame, block: str, key: str, permutations: int, seed: int = 0, most_rows: int = 1_000_000) -> DataFrame:
-    """``permutation, ap``: labels shuffled inside blocks; permutations are spread over tasks, checked for their size."""
+def refit_null(folds: list[tuple[DataFrame, DataFrame]], block: str, key: str, columns: list[str], build, permutations: int = 200, seed: int = 0, most_rows: int = 1_000_000) -> DataFrame:
+    """``permutation, ap, p``: a model is fitted anew on shuffled labels; permutation -1 is the observed statistic.
+
+    Fit and evaluation labels are shuffled inside blocks; ``build(fit, check)`` makes features and model from both tables
+    with the labels of that round, so labels that leak through either are seen, and returns the scores of ``check``.  The
+    statistic is the mean average precision of the folds, weighted by their positives.
+    """
     import pandas as pd
 
-    from ledgerloom.operators.metrics import weighted_auc_ap
+    from ledgerloom.operators.metrics import permutation_p, weighted_auc_ap
+
+    def table(rows: DataFrame):
+        n = rows.count()
+        if n > most_rows:
+            raise ValueError(f"{n} rows are more than a task may hold ({most_rows})")
+        return rows.select(F.col(block).cast("string").alias("block"), F.col(key).cast("string").alias("key"), F.col("y").cast("double").alias("y"), *columns).toPandas().sort_values(["block", "key"]).reset_index(drop=True)
+
+    tables = [(table(a), table(b)) for a, b in folds]
+    if any(b["y"].nunique() < 2 for _, b in tables):
+        raise ValueError("every fold's evaluation rows need both classes")
 
-    n = rows.count()
-    if n > most_rows:
-        raise ValueError(f"{n} rows are more than a task may hold ({most_rows})")
-    data = rows.select(F.col(block).cast("string").alias("b"), F.col(key).cast("string").alias("k"), F.col("score").cast("double").alias("s"), F.col("y").cast("double").alias("y")).toPandas().sort_values(["b", "k"])
-    groups, s, y = list(data.groupby("b").indices.values()), data["s"].to_numpy(), data["y"].to_numpy()
+    def shuffled(rows, draw):
+        y = rows["y"].to_numpy().copy()
+        for g in rows.groupby("block").indices.values():
+            y[g] = draw.permutation(y[g])
+        return rows.assign(y=y)
+
+    def statistic(pairs) -> float:
+        found = []
+        for a, b in pairs:
+            score = build(a, b) if a["y"].nunique() > 1 else np.zeros(len(b))
+            y = b["y"].to_numpy()
+            found.append((weighted_auc_ap(np.asarray(score, dtype=float), y, np.ones(len(y)))[1], y.sum()))
+        return float(sum(v * w for v, w in found) / sum(w for _, w in found))
 
     def run(batches):
         for batch in batches:
             out = []
             for r in batch["permutation"]:
-                draw, moved = np.random.default_rng([seed, int(r)]), y.copy()
-                for g in groups:
-                    moved[g] = draw.permutation(moved[g])
-                out.append((int(r), weighted_auc_ap(s, moved, np.ones(len(s)))[1]))
+                draw = np.random.default_rng([seed, int(r) + 1])
+                out.append((int(r), statistic(tables if r < 0 else [(shuffled(a, draw), shuffled(b, draw)) for a, b in tables])))
             yield pd.DataFrame(out, columns=["permutation", "ap"])
 
-    return rows.sparkSession.range(permutations).withColumnRenamed("id", "permutation").mapInPandas(run, "permutation long, ap double")
+    spark = folds[0][0].sparkSession
+    found = {r["permutation"]: r["ap"] for r in spark.range(-1, permutations).withColumnRenamed("id", "permutation").mapInPandas(run, "permutation long, ap double").collect()}
+    p = float(permutation_p(found[-1], [v for r, v in found.items() if r >= 0]))
+    return spark.createDataFrame([(r, v, p) for r, v in sorted(found.items())], "permutation long, ap double, p double")
+
+
+def fit_rule_weights(fit, check):
+    """Scores of ``check`` by the log of smoothed precision over smoothed prevalence of each ``fired_`` column of ``fit``."""
+    y, score = fit["y"].to_numpy(), np.zeros(len(check))
+    base = (y.sum() + 1) / (len(y) + 2)
+    for c in (c for c in fit.columns if c.startswith("fired_")):
+        on = fit[c].to_numpy(dtype=bool)
+        score += check[c].to_numpy(dtype=bool) * math.log((y[on].sum() + 1) / (on.sum() + 2) / base)
+    return score
 
 
 def seen_arms(fit: DataFrame, check: DataFrame, account: str = "account_key") -> DataFrame:

@@ -654,7 +654,9 @@ def m13_m14_group_gain(spark, sf):
 def m16_permutation_null(spark, sf):
     from ledgerloom.operators import evaluation
 
-    return evaluation.permutation_null(_scored(spark, sf), "lang", "doc_id", 50)
+    rows = _labelled(spark, sf).filter("fold = 'TRAIN'")
+    folds = [(rows.filter(F.col("window_start") < F.lit(end).cast("timestamp_ntz")), rows.filter((F.col("window_start") > F.lit(end).cast("timestamp_ntz")) & (F.col("window_start") < F.lit(until).cast("timestamp_ntz")))) for end, until in (("2024-01-07", "2024-01-10"), ("2024-01-11", "2024-01-14"))]
+    return evaluation.refit_null(folds, "window_start", "key", [f"fired_{r}" for r in _RULES], evaluation.fit_rule_weights)
 
 
 @query("SELECT account_key, window_start, t.m IS NOT NULL AS seen, round(t.m, 6) AS memory FROM (SELECT a.account_key, a.window_start, b.m FROM (SELECT account_key, window_start FROM alerts WHERE n_rules_triggered > 0 AND window_start >= TIMESTAMP '2024-01-15') a LEFT JOIN (SELECT account_key, avg((n_laundering_txns IS NOT NULL)::int) AS m FROM alerts x LEFT JOIN positive p USING (account_key, window_start) WHERE n_rules_triggered > 0 AND window_start < TIMESTAMP '2024-01-14' GROUP BY 1) b ON a.account_key = b.account_key) t", FIRED + ", " + _POSITIVE)
