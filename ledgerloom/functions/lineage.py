@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +19,15 @@ def use_shared_folder(spark: SparkSession) -> None:
     sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="ledgerloom-"))
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The same rows from Parquet files in the shared folder, for plans that read some columns of them many times."""
+    spark = df.sparkSession
+    use_shared_folder(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The same rows, written once, for plans that read them many times."""
     use_shared_folder(df.sparkSession)

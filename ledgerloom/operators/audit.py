@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.ranks import with_neighbour
+
 
 def _n(condition: Column | str) -> Column:
     return F.count(F.when(F.expr(condition) if isinstance(condition, str) else condition, 1))
@@ -46,9 +48,11 @@ def category_counts(ledger: DataFrame, column: str) -> DataFrame:
 
 
 def label_rates(ledger: DataFrame) -> DataFrame:
-    """Label rate and lift of several categories in one pass with grouping sets."""
-    rows = ledger.select("is_laundering", "payment_format", "payment_currency", "receiving_currency", F.hour("ts").cast("string").alias("hour"), (F.col("payment_currency") != F.col("receiving_currency")).cast("string").alias("cross"))
-    names = ["payment_format", "payment_currency", "receiving_currency", "hour", "cross"]
+    """Label rate and lift of eight categories in one pass with grouping sets."""
+    derived = {"cross_currency": F.col("payment_currency") != F.col("receiving_currency"), "self_transfer": F.col("from_key") == F.col("to_key"), "integer_amount": F.col("amount_paid") == F.round("amount_paid"), "hour": F.hour("ts"), "minute": F.minute("ts")}
+    plain = ["payment_format", "payment_currency", "receiving_currency"]
+    names = [*plain, *derived]
+    rows = ledger.select("is_laundering", *plain, *[v.cast("string").alias(k) for k, v in derived.items()])
     total = rows.agg(F.avg("is_laundering").alias("r")).first()["r"]
     sets = rows.groupingSets([[F.col(c)] for c in names], *[F.col(c) for c in names]).agg(F.grouping_id().alias("gid"), F.count(F.lit(1)).alias("n"), F.sum("is_laundering").cast("long").alias("n_pos"))
     which, value = F.lit(names[-1]), F.col(names[-1])
@@ -83,12 +87,23 @@ def counts_by_period(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy(period_of().alias("period")).agg(F.count(F.lit(1)).alias("n"), F.sum("is_laundering").cast("long").alias("n_laundering"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
-def attempts(ledger: DataFrame) -> DataFrame:
-    """Structure of laundering attempts: payments, span and distinct accounts on both sides."""
+def attempts(ledger: DataFrame, typologies: DataFrame | None = None) -> DataFrame:
+    """Structure of laundering attempts: payments, span and distinct accounts on both sides, and with ``typologies``
+    (``attempt_id, typology``) what they are."""
     rows = ledger.filter("attempt_id IS NOT NULL")
     base = rows.groupBy("attempt_id").agg(F.count(F.lit(1)).alias("n_txns"), F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.round((F.timestamp_diff("SECOND", F.min("ts"), F.max("ts")) / 3600.0), 6).alias("hours"))
-    people = rows.select("attempt_id", F.explode(F.array("from_key", "to_key")).alias("a")).groupBy("attempt_id").agg(F.count_distinct("a").alias("n_accounts"))
-    return base.join(people, "attempt_id")
+    people = rows.select("attempt_id", F.explode(F.array("from_key", "to_key")).alias("a")).distinct().groupBy("attempt_id").agg(F.count(F.lit(1)).alias("n_accounts"))
+    found = base.join(people, "attempt_id")
+    return found if typologies is None else found.join(typologies, "attempt_id")
+
+
+def typology_audit(attempts: DataFrame, span_end: str) -> DataFrame:
+    """Sizes, accounts and durations of each typology's attempts, and how many go on past the calendar's end."""
+    q = [F.percentile("hours", F.lit(0.9)).alias("p90_hours"), F.percentile("hours", F.lit(0.99)).alias("p99_hours")]
+    return attempts.groupBy("typology").agg(
+        F.count(F.lit(1)).alias("n_attempts"), F.sum("n_txns").alias("n_txns"), F.median("n_txns").alias("median_txns"), F.max("n_txns").alias("most_txns"), F.median("n_accounts").alias("median_accounts"),
+        F.max("n_accounts").alias("most_accounts"), F.median("hours").alias("median_hours"), *q, F.max("hours").alias("most_hours"), _n(F.col("end_ts") >= F.lit(span_end).cast("timestamp_ntz")).alias("n_past_span"),
+    )
 
 
 def roles(ledger: DataFrame) -> DataFrame:
@@ -97,10 +112,32 @@ def roles(ledger: DataFrame) -> DataFrame:
     return per.groupBy(F.when(F.col("o") + F.col("i") == 2, "both").when(F.col("o") == 1, "out_only").otherwise("in_only").alias("role")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def identifier_leakage(ledger: DataFrame, top: int = 5, support: int = 20) -> DataFrame:
-    """Label rate by the last character of account numbers: the ``top`` rates with enough support."""
-    base = ledger.groupBy(F.substring("from_account", -1, 1).alias("suffix")).agg(F.count(F.lit(1)).alias("n"), F.sum("is_laundering").cast("long").alias("n_pos")).filter(F.col("n") >= support)
-    return base.withColumn("rate", F.round(F.col("n_pos") / F.col("n"), 9)).orderBy(F.col("rate").desc(), "suffix").limit(top)
+def account_labels(ledger: DataFrame) -> DataFrame:
+    """``bank, account, y``: every account of the ledger and whether a laundering payment touches it."""
+    ends = F.array(*[F.struct(F.col(f"{side}_bank").alias("bank"), F.col(f"{side}_account").alias("account")) for side in ("from", "to")])
+    return ledger.select("is_laundering", F.explode(ends).alias("e")).groupBy("e.bank", "e.account").agg(F.max("is_laundering").alias("y"))
+
+
+def identifier_leakage(accounts: DataFrame, attributes: DataFrame | None = None, support: int = 20, top: int = 5) -> DataFrame:
+    """``what, value, n, n_pos, rate, lift`` of labelled accounts by parts of their identifiers.
+
+    Last character, length, and where ``attributes`` (``bank, account`` and more columns, banks without leading zeros) are
+    given, each of its columns, nulls last; of two-character prefixes and of banks the ``top`` lifts with enough ``support``.
+    """
+    from ledgerloom.operators.ledger import strip_zeros
+
+    rows = accounts.withColumn("bank", strip_zeros("bank"))
+    extra = [] if attributes is None else [c for c in attributes.columns if c not in ("bank", "account")]
+    if attributes is not None:
+        rows = rows.join(attributes, ["bank", "account"], "left")
+    parts = {"last_character": F.substring("account", -1, 1), "length": F.char_length("account").cast("string"), "prefix": F.substring("account", 1, 2), "bank": F.col("bank")} | {c: F.col(c).cast("string") for c in extra}
+    total = rows.agg(F.avg("y").alias("r")).first()["r"]
+    long = rows.select("y", F.explode(F.array(*[F.struct(F.lit(k).alias("what"), v.alias("value")) for k, v in parts.items()])).alias("p")).select("y", "p.*")
+    counts = long.groupBy("what", "value").agg(F.count(F.lit(1)).alias("n"), F.sum("y").cast("long").alias("n_pos"))
+    rated = counts.withColumns({"rate": F.round(F.col("n_pos") / F.col("n"), 9), "lift": F.round(F.try_divide(F.col("n_pos") / F.col("n"), F.lit(total)), 6)})
+    listed = F.col("what").isin("prefix", "bank")
+    best = [rated.filter((F.col("what") == w) & (F.col("n") >= support)).orderBy(F.col("lift").desc(), "value").limit(top) for w in ("prefix", "bank")]
+    return rated.filter(~listed).unionByName(best[0]).unionByName(best[1]).orderBy("what", F.col("value").asc_nulls_last())
 
 
 def position_deciles(ledger: DataFrame) -> DataFrame:
@@ -109,23 +146,15 @@ def position_deciles(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy(F.floor(F.col("row_id") * 10 / F.lit(last + 1)).cast("int").alias("decile")).agg(F.count(F.lit(1)).alias("n"), F.sum("is_laundering").cast("long").alias("n_pos"))
 
 
-def contiguity(ledger: DataFrame, blocks: int = 64) -> DataFrame:
-    """Share of laundering rows whose next row by id launders too.  The next row is met by its id's order inside blocks
-    of ids; a block also gets the first row of the next, so no window covers the whole table."""
-    bounds = ledger.agg(F.min("row_id").alias("lo"), F.max("row_id").alias("hi")).first()
-    width = max(1, -(-((bounds["hi"] or 0) - (bounds["lo"] or 0) + 1) // blocks))
-    block = F.floor((F.col("row_id") - F.lit(bounds["lo"] or 0)) / width).cast("long")
-    rows = ledger.select("row_id", "is_laundering", block.alias("block"))
-    heads = rows.groupBy("block").agg(F.min_by(F.struct("row_id", "is_laundering"), "row_id").alias("h"))
-    borders = heads.select(F.lag("block").over(Window.orderBy("block")).alias("block"), "h.*").filter("block IS NOT NULL").withColumn("extra", F.lit(True))  # one row a block
-    both = rows.withColumn("extra", F.lit(False)).unionByName(borders)
-    following = both.withColumn("next", F.lead("is_laundering").over(Window.partitionBy("block").orderBy("row_id"))).filter("NOT extra AND is_laundering = 1")
-    return following.agg(F.count("next").alias("n"), F.round(F.avg("next"), 9).alias("p_next"))
+def contiguity(ledger: DataFrame) -> DataFrame:
+    """Share of laundering rows whose next row by id launders too."""
+    following = with_neighbour(ledger.select("row_id", "is_laundering"), "row_id", ["is_laundering"], 1).filter("is_laundering = 1")
+    return following.agg(F.count("near_is_laundering").alias("n"), F.round(F.avg("near_is_laundering"), 9).alias("p_next"))
 
 
 def order_inversions(ledger: DataFrame) -> DataFrame:
-    """Rows that stand after a row with a later time, by position; one task, as file order is one sequence."""
-    return ledger.withColumn("before", F.lag("ts").over(Window.orderBy("row_id"))).agg(_n("ts < before").alias("n_inversions"))
+    """Rows whose time is before that of the row just above them in the file."""
+    return with_neighbour(ledger.select("row_id", "ts"), "row_id", ["ts"], -1).agg(_n("ts < near_ts").alias("n_inversions"))
 
 
 def pattern_coverage(ledger: DataFrame, patterns: DataFrame, keys: list[str]) -> DataFrame:
@@ -138,7 +167,10 @@ def pattern_coverage(ledger: DataFrame, patterns: DataFrame, keys: list[str]) ->
 
 def bank_forms(accounts: DataFrame) -> DataFrame:
     """Counts of the forms of bank names."""
-    form = F.when(F.col("bank_name").startswith("Crypto Bank #"), "crypto").when(F.col("bank_name").rlike(r"^.+ Bank #\d+$"), "country").otherwise("domestic")
+    from ledgerloom.operators.profiles import CRYPTO_NAMES, numbered_place
+
+    place = numbered_place("bank_name")
+    form = F.when(place.isin(*CRYPTO_NAMES), "crypto").when(place.isNotNull(), "country").otherwise("domestic")
     return accounts.groupBy(form.alias("form")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.element_at(F.split("bank_name", " "), -1)).alias("n_last_words"))
 
 

@@ -62,3 +62,38 @@ def differences(a: DataFrame, b: DataFrame, keys: list[str], tolerance: float =
 
     wrong = F.array_compact(F.array(*[F.when(apart(c), c) for c in names]))
     return joined.select(*keys, wrong.alias("differs")).filter(F.size("differs") > 0)
+
+
+def stored_integrity(stored: DataFrame, recomputed: DataFrame, columns: list[str], tolerance: float = 1e-6) -> DataFrame:
+    """``n_stats, n_rules``: stored alerts whose statistics, or whose rules, are not those recomputed (or have none)."""
+    keys = ["account_key", "window_start"]
+    both = stored.select(*keys, *columns, "triggered_rules").alias("a").join(recomputed.select(*keys, *columns, "triggered_rules", F.lit(True).alias("known")).alias("b"), keys, "left")
+    apart = [~(F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) | F.coalesce(F.abs(F.col(f"a.{c}") - F.col(f"b.{c}")) <= tolerance, F.lit(False))) for c in columns]
+    wrong = F.col("known").isNull()
+    for c in apart:
+        wrong = wrong | c
+    return both.agg(F.count(F.when(wrong, 1)).alias("n_stats"), F.count(F.when(~F.col("a.triggered_rules").eqNullSafe(F.col("b.triggered_rules")), 1)).alias("n_rules"))
+
+
+def ground_truth_names(source: str) -> list[str]:
+    """Names of ground truth that a module's source uses: as names, attributes, arguments, keywords or strings."""
+    import ast
+
+    found = set()
+    for node in ast.walk(ast.parse(source)):
+        names = [getattr(node, "id", None), getattr(node, "attr", None), getattr(node, "arg", None), getattr(node, "value", None) if isinstance(node, ast.Constant) else None]
+        found |= {n for n in names if isinstance(n, str) and re.sub("[ -]", "_", n.strip().lower()) in FORBIDDEN}
+    return sorted(found)
+
+
+def evaluation_imports(source: str, packages: tuple[str, ...]) -> list[str]:
+    """Modules of ``packages`` that a module's source imports."""
+    import ast
+
+    found = set()
+    for node in ast.walk(ast.parse(source)):
+        if isinstance(node, ast.Import):
+            found |= {a.name for a in node.names}
+        elif isinstance(node, ast.ImportFrom):
+            found |= {node.module or "", *(f"{node.module}.{a.name}" for a in node.names)}
+    return sorted(n for n in found if any(n == p or n.startswith(p + ".") for p in packages))

@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.hashing import keyed_hex
+from ledgerloom.operators.ranks import average_percentiles
+from ledgerloom.operators.stats import BAND, is_round
+
 #: Payment formats of the mix features.
 FORMATS = ["Cheque", "Credit Card", "ACH", "Cash", "Reinvestment", "Wire", "Bitcoin"]
+#: Statistics of the peer percentiles.
 PEER_STATS = ["volume_usd", "n_txn", "n_distinct_senders", "n_distinct_receivers", "max_txn_usd"]
 KEYS = ["account_key", "window_start"]
 
@@ -20,13 +25,6 @@ def minutes(later: str | Column, earlier: str | Column) -> Column:
     return F.timestamp_diff("SECOND", b, a).cast("double") / 60.0
 
 
-def average_rank(value: str, *partition: str) -> Column:
-    """Rank of a value, ties sharing their mean rank; nulls stay unranked."""
-    within = Window.partitionBy(*partition, F.col(value).isNull())
-    ties = Window.partitionBy(*partition, value)
-    return F.when(F.col(value).isNotNull(), F.rank().over(within.orderBy(value)) + (F.count(F.lit(1)).over(ties) - 1) / F.lit(2.0))
-
-
 def concentration(legs: DataFrame) -> DataFrame:
     """Counterparties: their number, Herfindahl index of USD and most legs with one; two aggregations, no join."""
     pairs = legs.groupBy(*KEYS, "counterparty").agg(F.sum("usd").alias("usd"), F.count(F.lit(1)).alias("n"))
@@ -65,8 +63,7 @@ def dynamics(legs: DataFrame) -> DataFrame:
 
 def peers(stats: DataFrame) -> DataFrame:
     """Average-rank percentile of five statistics among all accounts of the day."""
-    n = F.count(F.lit(1)).over(Window.partitionBy("window_start"))
-    return stats.select(*KEYS, *[(average_rank(s, "window_start") / n).alias(f"pct_{s}") for s in PEER_STATS])
+    return average_percentiles(stats, PEER_STATS, KEYS, "window_start")
 
 
 def feature_table(ledger: DataFrame, legs: DataFrame, fired: DataFrame, graph: DataFrame, targets: DataFrame) -> DataFrame:
@@ -82,21 +79,64 @@ def feature_table(ledger: DataFrame, legs: DataFrame, fired: DataFrame, graph: D
     return out.select(*KEYS, *[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c) for c in names])
 
 
-def leg_features(legs: DataFrame) -> DataFrame:
-    """Payment-level context from windows instead of joins: account, pair, counterparty degree, equal amounts."""
+#: Names of the payment features, without those of the formats.
+LEG_FEATURES = [
+    "log10_usd", "is_out", "cross_currency", "cross_bank", "near_threshold", "round_amount", "log10_ratio_to_account_median", "share_of_account_volume", "log10_account_n_legs",
+    "log10_cp_n_legs", "log10_cp_out_deg", "log10_cp_in_deg", "log10_pair_n_txn", "log10_same_amount_n",
+]
+
+
+def leg_feature_names() -> list[str]:
+    return [*LEG_FEATURES, *(f"leg_fmt_{slug(f)}" for f in FORMATS)]
+
+
+def leg_features(legs: DataFrame, targets: DataFrame) -> DataFrame:
+    """The payments of the target account-days (``account_key, window_start``), one row a leg, with all features.
+
+    Own amount and flags, place in the account's day, the counterparty's day, payments of the pair, payments of the same paid
+    amount and currency that day, and the format.  Context counts all legs of the day, not only those of targets.
+    """
+    pairs = legs.groupBy(*KEYS, "counterparty").agg(F.count(F.lit(1)).alias("pair_n"), F.sum("usd").alias("usd"), F.max(F.col("direction") == "out").alias("out"), F.max(F.col("direction") == "in").alias("in"))
+    day = pairs.groupBy(*KEYS).agg(F.sum("pair_n").alias("n"), F.sum("usd").alias("volume"), F.count(F.when(F.col("out"), 1)).alias("out_deg"), F.count(F.when(F.col("in"), 1)).alias("in_deg"))
+    same = legs.filter("direction = 'out'").groupBy("window_start", "amount_paid", "payment_currency").agg(F.count(F.lit(1)).alias("same_n"))
+    mine = legs.join(targets.select(*KEYS).distinct(), KEYS, "left_semi")
+    middle = mine.groupBy(*KEYS).agg(F.median("usd").alias("middle"))
+    other = day.select(F.col("account_key").alias("counterparty"), "window_start", F.col("n").alias("cp_n"), F.col("out_deg").alias("cp_out"), F.col("in_deg").alias("cp_in"))
+    j = mine.join(day.select(*KEYS, "n", "volume"), KEYS).join(middle, KEYS).join(other, ["counterparty", "window_start"]).join(pairs.select(*KEYS, "counterparty", "pair_n"), [*KEYS, "counterparty"]).join(same, ["window_start", "amount_paid", "payment_currency"])
+
+    def bank(key: str) -> Column:
+        return F.split(key, r"\|", 2)[0]
+
+    def number(condition: Column) -> Column:
+        return condition.cast("double")
+
+    values = {
+        "log10_usd": F.log10("usd"), "is_out": number(F.col("direction") == "out"), "cross_currency": number(F.col("cross")), "cross_bank": number(bank("account_key") != bank("counterparty")),
+        "near_threshold": number((F.col("usd") >= BAND[0]) & (F.col("usd") < BAND[1])), "round_amount": number(is_round()), "log10_ratio_to_account_median": F.log10(F.col("usd") / F.col("middle")),
+        "share_of_account_volume": F.col("usd") / F.col("volume"), "log10_account_n_legs": F.log10("n"), "log10_cp_n_legs": F.log10("cp_n"), "log10_cp_out_deg": F.log10(F.col("cp_out") + 1),
+        "log10_cp_in_deg": F.log10(F.col("cp_in") + 1), "log10_pair_n_txn": F.log10("pair_n"), "log10_same_amount_n": F.log10("same_n"),
+    }
+    formats = {f"leg_fmt_{slug(f)}": number(F.col("payment_format") == f) for f in FORMATS}
+    return j.select("row_id", *KEYS, "direction", "is_laundering", *[v.alias(k) for k, v in (values | formats).items()])
+
+
+def leg_context(legs: DataFrame) -> DataFrame:
+    """Counts around every leg from windows instead of joins: rank in the account's day, legs of the pair, equal amounts."""
     account, pair = Window.partitionBy(*KEYS), Window.partitionBy(*KEYS, "counterparty")
-    degree = legs.groupBy(F.col("counterparty"), "window_start").agg(F.count_distinct("account_key").alias("d"))
-    out = legs.withColumns({
-        "leg_log10_usd": F.log10("usd"), "leg_share_of_day": F.try_divide(F.col("usd"), F.sum("usd").over(account)), "leg_rank_in_day": F.rank().over(account.orderBy(F.col("usd").desc())).cast("double"),
-        "pair_n": F.count(F.lit(1)).over(pair).cast("double"), "same_amount_n": F.count(F.lit(1)).over(Window.partitionBy("window_start", "direction", "amount", "currency")).cast("double"),
+    return legs.withColumns({
+        "leg_rank_in_day": F.rank().over(account.orderBy(F.col("usd").desc())).cast("double"), "pair_n": F.count(F.lit(1)).over(pair).cast("double"),
+        "same_amount_n": F.count(F.lit(1)).over(Window.partitionBy("window_start", "direction", "amount", "currency")).cast("double"),
     })
-    return out.join(degree, ["counterparty", "window_start"], "left").withColumn("cp_log10_degree", F.log10(F.col("d") + 1)).drop("d")
 
 
-def capped_sample(legs: DataFrame, cap: int, order: str) -> DataFrame:
-    """All positive legs and at most ``cap`` negative ones a day and account, by a hash; weights restore the total."""
-    account = Window.partitionBy(*KEYS)
-    negative = F.when(F.col("is_laundering") == 0, 1)
-    ranked = legs.withColumn("nth", F.sum(negative).over(account.orderBy(F.xxhash64(order), order).rowsBetween(Window.unboundedPreceding, 0))).withColumn("negatives", F.count(negative).over(account))
-    kept = ranked.filter((F.col("is_laundering") == 1) | (F.col("nth") <= cap))
-    return kept.withColumn("weight", F.when(F.col("is_laundering") == 1, 1.0).otherwise(F.col("negatives") / F.least(F.col("negatives"), F.lit(cap)))).drop("nth", "negatives")
+def capped_sample(legs: DataFrame, cap: int, order: str, seed: int = 0) -> DataFrame:
+    """All positive legs and at most ``cap`` negative ones a day and account, by a keyed hash; weights restore the total.
+
+    Only the first ``cap`` of a group are dealt for their order, so a busy account fills no task.
+    """
+    negatives = legs.filter("is_laundering = 0")
+    counts = negatives.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("__n"))
+    drawn = negatives.withColumn("__h", keyed_hex("capped_sample", seed)(F.col(order).cast("string")))
+    first = drawn.withColumn("__nth", F.row_number().over(Window.partitionBy(*KEYS).orderBy("__h", order))).filter(F.col("__nth") <= cap)
+    kept = first.join(counts, KEYS).withColumn("weight", F.col("__n") / F.least(F.col("__n"), F.lit(cap))).drop("__h", "__nth", "__n")
+    return legs.filter("is_laundering = 1").withColumn("weight", F.lit(1.0)).unionByName(kept.select(*legs.columns, "weight"))

@@ -25,7 +25,10 @@ def derive_rates(ledger: DataFrame, reporting: str = REPORTING, most_pairs: int
     rows = pair_ratios(ledger).limit(most_pairs + 1).collect()
     if len(rows) > most_pairs:
         raise ValueError("too many currency pairs")
-    seen = {r[0] for r in ledger.select(F.explode(F.array("payment_currency", "receiving_currency"))).distinct().limit(most_pairs).collect()}
+    names = ledger.select(F.explode(F.array("payment_currency", "receiving_currency"))).distinct().limit(most_pairs + 1).collect()
+    if len(names) > most_pairs:
+        raise ValueError("too many currencies")
+    seen = {r[0] for r in names}
     linked, grown = {reporting}, True
     while grown:
         more = {c for r in rows for c in (r["payment_currency"], r["receiving_currency"]) if {r["payment_currency"], r["receiving_currency"]} & linked} - linked

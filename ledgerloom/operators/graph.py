@@ -19,13 +19,29 @@ def _hop(e: DataFrame, a: str, b: str) -> DataFrame:
     return e.select(DAY, F.col("src").alias(a), F.col("dst").alias(b))
 
 
-def reciprocal(e: DataFrame) -> DataFrame:
-    return _hop(e, "v", "u").join(_hop(e, "u", "v"), [DAY, "u", "v"]).groupBy(DAY, F.col("v").alias("account_key")).agg(F.count(F.lit(1)).cast("double").alias("reciprocal_cp"))
+def reciprocal(e: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """Counterparties of an account with payments both ways; targets are cut out before the join."""
+    first = _hop(e, "v", "u")
+    if targets is not None:
+        first = first.join(targets.select(DAY, F.col("account_key").alias("v")), [DAY, "v"], "left_semi")
+    return first.join(_hop(e, "u", "v"), [DAY, "u", "v"]).groupBy(DAY, F.col("v").alias("account_key")).agg(F.count(F.lit(1)).cast("double").alias("reciprocal_cp"))
 
 
-def cycles3(e: DataFrame) -> DataFrame:
-    """Paths v -> u -> w -> v."""
-    return _hop(e, "v", "u").join(_hop(e, "u", "w"), [DAY, "u"]).join(_hop(e, "w", "v"), [DAY, "w", "v"]).groupBy(DAY, F.col("v").alias("account_key")).agg(F.count(F.lit(1)).cast("double").alias("cycles3"))
+def cycles3(e: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """Paths v -> u -> w -> v.
+
+    A cycle is found once, at its account of the fewest edges (then the smallest name): only edges to accounts of more edges
+    are paired there, so a hub's edges are never paired with each other.  Each account of a cycle then counts it.
+    """
+    degree = e.select(DAY, F.explode(F.array("src", "dst")).alias("k")).groupBy(DAY, "k").agg(F.count(F.lit(1)).alias("d"))
+    named = e.select(DAY, "src", "dst").join(degree.select(DAY, F.col("k").alias("src"), F.struct("d", "k").alias("a")), [DAY, "src"]).join(degree.select(DAY, F.col("k").alias("dst"), F.struct("d", "k").alias("b")), [DAY, "dst"])
+    out = named.filter("a < b").select(DAY, F.col("src").alias("v"), F.col("dst").alias("u"))
+    back = named.filter("b < a").select(DAY, F.col("dst").alias("v"), F.col("src").alias("w"))
+    closed = out.join(back, [DAY, "v"]).filter("u <> w").join(_hop(e, "u", "w"), [DAY, "u", "w"])
+    members = closed.select(DAY, F.explode(F.array("v", "u", "w")).alias("account_key"))
+    if targets is not None:
+        members = members.join(targets.select(DAY, "account_key"), [DAY, "account_key"], "left_semi")
+    return members.groupBy(DAY, "account_key").agg(F.count(F.lit(1)).cast("double").alias("cycles3"))
 
 
 def reach2(e: DataFrame, targets: DataFrame | None = None) -> DataFrame:
@@ -78,6 +94,6 @@ def graph_features(e: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     nodes = e.select(DAY, F.explode(F.array("src", "dst")).alias("account_key")).distinct()
     nodes = nodes.join(targets, keys, "left_semi") if targets is not None else nodes
     out = nodes
-    for block in (reciprocal(e), cycles3(e), reach2(e, targets)):
+    for block in (reciprocal(e, targets), cycles3(e, targets), reach2(e, targets)):
         out = out.join(block, keys, "left").fillna(0.0)
     return out.join(neighbour_degrees(e), keys, "left").join(component_sizes(components(e)), keys, "left")

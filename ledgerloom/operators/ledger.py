@@ -42,11 +42,16 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, n = spark.read.parquet(f"{sf_dir}/customer.parquet"), spark.read.parquet(f"{sf_dir}/nation.parquet")
-    name = F.when(F.col("c_nationkey") % 3 == 0, F.concat(F.lit("First Bank of "), "n_name")).when(F.col("c_nationkey") == 1, F.concat(F.lit("Crypto Bank #"), F.col("c_custkey").cast("string"))).otherwise(F.concat("n_name", F.lit(" Bank #"), F.col("c_nationkey").cast("string")))
+    name = F.when(F.col("c_nationkey") % 3 == 0, F.concat(F.lit("First Bank of "), "n_name")).when(F.col("c_nationkey") == 1, F.concat(F.lit("Crytpo Bank #"), F.col("c_custkey").cast("string"))).otherwise(F.concat("n_name", F.lit(" Bank #"), F.col("c_nationkey").cast("string")))
     joined = c.join(n, F.col("c_nationkey") == F.col("n_nationkey"))
     return joined.select((F.col("c_custkey") % 7).cast("string").alias("bank_id"), F.concat(F.lit("U"), F.col("c_custkey").cast("string")).alias("account_number"), name.alias("bank_name"), F.col("c_mktsegment").alias("entity_type"))
 
 
+def countries(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The fixture's countries, one for each nation."""
+    return sorted(r[0] for r in spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_name").collect())
+
+
 def account_key(bank: str, account: str) -> Column:
     """``bank|account``; banks keep their leading zeros."""
     return F.concat_ws("|", bank, account)
@@ -80,6 +85,12 @@ def refuse_outside(df: DataFrame, ts: str = "ts") -> DataFrame:
     return df.withColumn("period", F.coalesce(period_of(ts), F.raise_error(F.concat(F.lit("no period holds "), F.col(ts).cast("string")))))
 
 
+def require_period(df: DataFrame, period: str) -> DataFrame:
+    """The same rows; a row that is not of ``period`` (or of none) fails the job."""
+    found = F.coalesce(F.col("period"), F.lit("no period"))
+    return df.withColumn("period", F.when(found == period, F.col("period")).otherwise(F.raise_error(F.concat(F.lit("a row of "), found, F.lit(f" where only {period} may be"))).cast("string")))
+
+
 def strict_lookup(column: str, table: dict, default=None) -> Column:
     """The value of a key; an unknown key fails the job unless there is a default."""
     found = F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.lit(v))])[F.col(column)]
@@ -97,8 +108,8 @@ def legs(df: DataFrame, channels: tuple[str, ...] = ("Cash", "Bitcoin")) -> Data
         return F.struct(F.col(key).alias("account_key"), F.col(other).alias("counterparty"), F.lit(way).alias("direction"), F.col(usd).alias("usd"), F.col(amount).alias("amount"), F.col(currency).alias("currency"))
 
     both = F.array(leg("from_key", "to_key", "out", "usd_paid", "amount_paid", "payment_currency"), leg("to_key", "from_key", "in", "usd_received", "amount_received", "receiving_currency"))
-    flags = df.filter("from_key <> to_key").select("row_id", "ts", "payment_format", "is_laundering", "attempt_id", (F.col("payment_currency") != F.col("receiving_currency")).alias("cross"), F.col("payment_format").isin(*channels).alias("high_risk"), F.explode(both).alias("leg"))
-    return flags.select("row_id", "ts", F.date_trunc("DAY", "ts").cast("timestamp_ntz").alias("window_start"), "payment_format", "is_laundering", "attempt_id", "cross", "high_risk", "leg.*")
+    flags = df.filter("from_key <> to_key").select("row_id", "ts", "payment_format", "is_laundering", "attempt_id", "amount_paid", "payment_currency", (F.col("payment_currency") != F.col("receiving_currency")).alias("cross"), F.col("payment_format").isin(*channels).alias("high_risk"), F.explode(both).alias("leg"))
+    return flags.select("row_id", "ts", F.date_trunc("DAY", "ts").cast("timestamp_ntz").alias("window_start"), "payment_format", "is_laundering", "attempt_id", "cross", "high_risk", "amount_paid", "payment_currency", "leg.*")
 
 
 def usd_legs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,18 +4,19 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.ranks import running
+
 
 def by_score(rows: DataFrame, score: str = "score", y: str = "y", *by: str) -> DataFrame:
     """One row per distinct score, with positives, rows and their running sums from the top.
 
-    The aggregation comes first, so the windows only see distinct scores; ``by`` spreads them over tasks.
+    The aggregation comes first; distinct scores are then dealt into ranges, so no task sees all of them.
     """
     grouped = rows.groupBy(*by, score).agg(F.sum(y).cast("long").alias("pos"), F.count(F.lit(1)).alias("n"))
-    down, whole = Window.partitionBy(*by).orderBy(F.col(score).desc()), Window.partitionBy(*by)
-    return grouped.withColumns({"tp": F.sum("pos").over(down), "flagged": F.sum("n").over(down), "all_pos": F.sum("pos").over(whole), "all_n": F.sum("n").over(whole)})
+    return running(grouped, score, {"tp": "pos", "flagged": "n"}, *by, descending=True).withColumnsRenamed({"all_tp": "all_pos", "all_flagged": "all_n"})
 
 
 def auc_ap(rows: DataFrame, score: str = "score", y: str = "y", *by: str) -> DataFrame:
@@ -27,10 +28,12 @@ def auc_ap(rows: DataFrame, score: str = "score", y: str = "y", *by: str) -> Dat
 
 
 def cost_threshold(rows: DataFrame, ratio: float, score: str = "score", y: str = "y") -> DataFrame:
-    """The score that minimises ``ratio * FN + FP``; ties flag fewer rows."""
+    """The score that minimises ``ratio * FN + FP``, or infinity where flagging nothing does; ties flag fewer rows."""
     s = by_score(rows, score, y)
     cost = ratio * (F.col("all_pos") - F.col("tp")) + (F.col("flagged") - F.col("tp"))
-    return s.select(F.col(score).alias("threshold"), cost.alias("cost"), F.col("flagged").alias("n_flagged"), F.col("tp").alias("n_true")).orderBy("cost", "n_flagged").limit(1)
+    some = s.select(F.col(score).cast("double").alias("threshold"), cost.cast("double").alias("cost"), F.col("flagged").alias("n_flagged"), F.col("tp").alias("n_true"))
+    nothing = rows.agg((ratio * F.coalesce(F.sum(y), F.lit(0))).cast("double").alias("cost")).select(F.lit(float("inf")).alias("threshold"), "cost", F.lit(0).cast("long").alias("n_flagged"), F.lit(0).cast("long").alias("n_true"))
+    return some.unionByName(nothing).orderBy("cost", "n_flagged").limit(1)
 
 
 def precision_at_recall(rows: DataFrame, recall: float, score: str = "score", y: str = "y") -> DataFrame:
@@ -50,6 +53,29 @@ def brier(rows: DataFrame, probability: str, y: str = "y") -> DataFrame:
     return rows.agg(F.round(F.avg(F.pow(F.col(probability) - F.col(y), 2)), 9).alias("brier"))
 
 
+def strata_auc(rows: DataFrame, stratum: str = "strata", fold: str = "fold", score: str = "score", y: str = "y", least_positive: int = 0) -> DataFrame:
+    """``stratum, n_pos, share, auc``: a stratum's positives against all negatives of their fold, pooled by positives.
+
+    ``stratum`` is an array of names; a positive counts in each of its strata.  Folds without a negative have no AUC and are
+    left out of the pool; fewer than ``least_positive`` positives have none.
+    """
+    # One pass: wins of each positive over the negatives below it (ties count half), by the scores' running sums.
+    negative = F.when(F.col(y) == 0, 1).otherwise(0)
+    scores = rows.withColumn("__neg", negative).groupBy(fold, score).agg(F.sum("__neg").alias("neg"))
+    ranked = running(scores, score, {"below": "neg"}, fold).select(F.col(fold).alias("f"), F.col(score).alias("s"), (F.col("below") - F.col("neg") / F.lit(2.0)).alias("wins"), F.col("all_below").alias("negatives"))
+    positives = rows.filter(F.col(y) == 1).select(F.col(fold).alias("f"), F.col(score).alias("s"), F.explode(stratum).alias("stratum"))
+    met = positives.join(ranked, ["f", "s"]).groupBy("stratum", "f").agg(F.count(F.lit(1)).alias("p"), F.try_divide(F.avg("wins"), F.first("negatives")).alias("auc"))
+    pooled = met.groupBy("stratum").agg(F.sum("p").alias("n_pos"), F.try_divide(F.sum(F.col("auc") * F.col("p")), F.sum(F.when(F.col("auc").isNotNull(), F.col("p")))).alias("auc"))
+    total = rows.agg(F.sum(F.when(F.col(y) == 1, 1)).alias("total")).first()["total"]
+    return pooled.select("stratum", "n_pos", F.round(F.col("n_pos") / F.lit(total), 9).alias("share"), F.when(F.col("n_pos") >= least_positive, F.round("auc", 9)).alias("auc"))
+
+
+def within_alert_auc(legs: DataFrame, alert: str = "alert_id", score: str = "score", y: str = "y") -> DataFrame:
+    """``alert, auc``: how an alert's laundering payments rank above its others; alerts of one class have none."""
+    found = auc_ap(legs, score, y, alert)
+    return found.filter("auc IS NOT NULL").select(alert, "auc")
+
+
 def univariate_auc(rows: DataFrame, features: list[str], y: str = "y") -> DataFrame:
     """AUC and orientation of many features in one pass over a long form; a missing value ranks lowest."""
     long = rows.select(F.col(y).alias("y"), F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.coalesce(F.nanvl(F.col(f).cast("double"), F.lit(float("-inf"))), F.lit(float("-inf"))).alias("score")) for f in features])).alias("f")).select("y", "f.*")
@@ -57,7 +83,7 @@ def univariate_auc(rows: DataFrame, features: list[str], y: str = "y") -> DataFr
     return found.select("feature", "n", "n_pos", F.greatest("auc", 1 - F.col("auc")).alias("auc"), F.when(F.col("auc") >= 0.5, 1).otherwise(-1).alias("orientation"))
 
 
-def weighted_auc_ap(score: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+def tied_auc_ap(score: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     order = np.argsort(-score, kind="stable")
     s, p, w = score[order], (y * weight)[order], weight[order]
     last = np.append(s[1:] != s[:-1], True)
@@ -86,7 +112,7 @@ def bootstrap(rows: DataFrame, unit: str, replicates: int = 200, seed: int = 0,
             found = []
             for r in batch["replicate"]:
                 drawn = np.random.default_rng([seed, int(r)]).multinomial(units, np.full(units, 1 / units)).astype(float)
-                found.append((int(r), *weighted_auc_ap(s, labels, drawn[codes])))
+                found.append((int(r), *tied_auc_ap(s, labels, drawn[codes])))
             yield pd.DataFrame(found, columns=["replicate", "auc", "ap"])
 
     return rows.sparkSession.range(replicates).withColumnRenamed("id", "replicate").mapInPandas(run, "replicate long, auc double, ap double")

@@ -6,6 +6,7 @@ import hashlib
 import json
 import math
 import os
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,6 +57,52 @@ def fit_model(kind: str, rows: DataFrame, features: list[str], y: str = "y", **o
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"), estimator]).fit(rows)
 
 
+def boosted_with_early_stopping(fit: DataFrame, later: DataFrame, features: list[str], y: str = "y", most_trees: int = 60, depth: int = 3, seed: int = 0):
+    """Boosted trees, refitted with the number of trees that has the highest average precision on ``later`` rows (the fewest of
+    equal ones)."""
+    from ledgerloom.operators.metrics import auc_ap
+
+    model = fit_model("trees", fit, features, y, maxIter=most_trees, maxDepth=depth, seed=seed)
+    curve = auc_ap(prefix_margins(model, later).select(F.col(y).alias("y"), "trees", F.round("score", 12).alias("score")), "score", "y", "trees")
+    best = curve.orderBy(F.col("ap").desc_nulls_last(), "trees").first()
+    return fit_model("trees", fit, features, y, maxIter=best["trees"] if best and best["ap"] is not None else most_trees, maxDepth=depth, seed=seed)
+
+
+def prefix_margins(model, rows: DataFrame) -> DataFrame:
+    """``trees, score`` for every row and every number of first trees: the sum of their weighted answers, in one pass."""
+    forest, ready = model.stages[-1], model.stages[0].transform(rows)
+    for i, tree in enumerate(forest.trees):
+        ready = tree.setFeaturesCol("features").setPredictionCol(f"tree_{i}").transform(ready)
+    answers = F.array(*[F.col(f"tree_{i}") * F.lit(float(w)) for i, w in enumerate(forest.treeWeights)])
+    sums = F.aggregate("answers", F.array().cast("array<double>"), lambda done, x: F.concat(done, F.array(F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0.0)) + x)))
+    return ready.withColumn("answers", answers).select(*rows.columns, F.posexplode(F.when(F.size("answers") > 0, sums)).alias("at", "score")).withColumn("trees", F.col("at") + 1).drop("at")
+
+
+def one_hot(rows: DataFrame, columns: list[str], most: int = 250) -> tuple[DataFrame, list[str]]:
+    """A 0/1 column for every category of every column, and their names; more than ``most`` categories raise."""
+    made: dict[str, Column] = {}
+    for c in columns:
+        found = sorted(r[0] for r in rows.select(c).filter(F.col(c).isNotNull()).distinct().limit(most + 1).collect())
+        if len(found) > most:
+            raise ValueError(f"{c} has more than {most} categories")
+        made |= {f"{c}={v}": F.coalesce((F.col(c) == v).cast("double"), F.lit(0.0)) for v in found}
+    return rows.withColumns(made), list(made)
+
+
+def tree_summaries(rows: DataFrame, features: list[str], depths: list[int], y: str = "y") -> DataFrame:
+    """``depth, auc, ap, tree``: single trees of several depths, how they rank, and their rules with the features' names."""
+    from ledgerloom.operators.metrics import auc_ap
+
+    found = []
+    for depth in depths:
+        named = rows.withColumnsRenamed({f: f"f{i}" for i, f in enumerate(features)})
+        model = fit_model("tree", named, [f"f{i}" for i in range(len(features))], y, maxDepth=depth)
+        r = auc_ap(positive_score(model, named).select(F.col(y).alias("y"), F.round("score", 12).alias("score"))).first()
+        text = re.sub(r"feature (\d+)", lambda m: features[int(m[1])], model.stages[-1].toDebugString)
+        found.append((depth, r["auc"], r["ap"], text.split("\n", 1)[1]))
+    return rows.sparkSession.createDataFrame(found, "depth int, auc double, ap double, tree string")
+
+
 def positive_score(model, rows: DataFrame) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
 

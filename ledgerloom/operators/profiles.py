@@ -2,60 +2,148 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+from datetime import date
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.hashing import choose, keyed_uniform, normal_quantile
-from ledgerloom.operators.features import average_rank
 from ledgerloom.operators.ledger import strip_zeros
-
-BANDS = ["low", "medium", "high"]
-SECTORS = ["retail", "trade", "services", "manufacturing"]
-RISK_POINTS = {"crypto": 3.0, "country": 1.0, "domestic": 0.0}
-
-
-def account_attributes(keys: DataFrame, accounts: DataFrame) -> DataFrame:
-    """Attributes of ``bank|account`` keys, banks compared without leading zeros; a key without an account fails the job."""
+from ledgerloom.operators.ranks import average_percentiles
+
+#: How the data spell crypto platforms, what stands for their country, and the country of banks without a number.
+CRYPTO_NAMES, CRYPTO, DOMESTIC = ("Crytpo",), "Crypto", "United States"
+#: Points of a risk tier, and the sector of public bodies.
+RISK_POINTS = {"low": 0, "medium": 1, "high": 2}
+GOVERNMENT = "government_public_body"
+
+
+@dataclass(frozen=True)
+class ProfileRules:
+    """What synthetic profiles are drawn from; weights need not sum to 1.  Sectors and occupations: name -> (weight, risk tier)."""
+
+    sectors: dict[str, tuple[float, str]]
+    occupations: dict[str, tuple[float, str]]
+    individual_types: tuple[str, ...]
+    public_types: tuple[str, ...]
+    bands: tuple[str, ...] = ("low", "medium", "high", "very_high")
+    band_cuts: tuple[float, ...] = (0.5, 0.9, 0.99)
+    band_noise: float = 0.25
+    band_prior: dict[str, float] = field(default_factory=lambda: {"low": 0.5, "medium": 0.35, "high": 0.12, "very_high": 0.03})
+    onboarding: tuple[str, str] = ("2005-01-01", "2022-08-31")
+    foreign_tiers: dict[str, float] = field(default_factory=lambda: {"low": 0.6, "medium": 0.3, "high": 0.1})
+    rating_noise: float = 0.1
+    rating_cuts: tuple[int, int] = (2, 3)
+    behaviours: dict[str, str] = field(default_factory=dict)  # behaviour -> statistic, in order of preference
+    archetypes: dict[str, tuple[str, ...]] = field(default_factory=dict)  # behaviour -> sectors that explain it
+    candidate_percentile: float = 0.95
+    planting: float = 1.0
+    planted_bands: dict[str, float] = field(default_factory=lambda: {"high": 0.6, "very_high": 0.4})
+    planted_occupation: str | None = None
+
+
+def numbered_place(name: str) -> Column:
+    """X of a bank called ``X Bank #n``; null for any other name."""
+    x = F.trim(F.regexp_extract(name, r"^(.*?)\s*Bank\s*#\d+\s*$", 1))
+    return F.when(F.col(name).rlike(r"^(.*?)\s*Bank\s*#\d+\s*$"), x)
+
+
+def account_attributes(keys: DataFrame, accounts: DataFrame, countries: list[str], crypto: tuple[str, ...] = CRYPTO_NAMES) -> DataFrame:
+    """``account_key, entity_type, bank_name, bank_location, bank_country`` of ``bank|account`` keys, banks without leading zeros.
+
+    The location is X of a bank called ``X Bank #n``, else the domestic country; the country of a crypto platform is
+    ``Crypto``.  A key without an account, an account without a bank name, and an X that is neither a listed country nor a
+    crypto name fail the job.
+    """
     parts = keys.select("account_key", strip_zeros(F.split("account_key", r"\|", 2)[0]).alias("bank_id"), F.split("account_key", r"\|", 2)[1].alias("account_number"))
-    joined = parts.join(accounts.withColumn("known", F.lit(True)), ["bank_id", "account_number"], "left")
-    country = F.nullif(F.trim(F.regexp_extract("bank_name", r"^(.*) Bank #\d+$", 1)), F.lit(""))
-    place = F.when(F.col("bank_name").startswith("Crypto Bank #"), "crypto").when(country.isNotNull(), "country").otherwise("domestic")
-    checked = F.when(F.col("known"), F.col("entity_type")).otherwise(F.raise_error(F.concat(F.lit("no account for "), F.col("account_key"))).cast("string"))
-    return joined.select("account_key", checked.alias("entity_type"), "bank_name", place.alias("bank_location"), F.when(place == "country", country).alias("bank_country"))
-
-
-def base_profile(attributes: DataFrame, volume: DataFrame, seed: int = 0) -> DataFrame:
-    """Sector, expected activity (percentile of volume within the type, with noise) and onboarding year."""
-    key = F.col("account_key")
+    joined = parts.join(accounts.withColumn("known", F.lit(True)), ["bank_id", "account_number"], "left").withColumn("x", numbered_place("bank_name"))
 
-    def u(stream: str) -> Column:
-        return keyed_uniform("kyc", seed, stream)(key)
+    def failed(what: str, value: str) -> Column:
+        return F.raise_error(F.concat(F.lit(f"{what} "), F.col(value))).cast("string")
 
-    rows = attributes.join(volume, "account_key", "left").withColumn("v", F.coalesce("volume_usd", F.lit(0.0)))
-    n = F.count(F.lit(1)).over(_by("entity_type"))
-    rows = rows.withColumn("percentile", average_rank("v", "entity_type") / n).withColumn("noisy", F.least(F.lit(0.999), F.greatest(F.lit(0.0), F.col("percentile") + 0.1 * (u("noise") - 0.5))))
-    band = F.element_at(F.array(*[F.lit(b) for b in BANDS]), F.floor(F.col("noisy") * 3).cast("int") + 1)
-    return rows.withColumns({"sector": choose(u("sector"), SECTORS, [0.4, 0.3, 0.2, 0.1]), "expected_activity_band": band, "onboarding_year": F.year(F.date_add(F.lit("2005-01-01").cast("date"), F.floor(u("onboarding") * 6500).cast("int")))}).drop("v", "noisy")
+    kind = F.when(F.col("known"), F.col("entity_type")).otherwise(failed("no account for", "account_key"))
+    unknown = F.col("x").isNotNull() & ~F.col("x").isin(*countries, *crypto)
+    place = F.when(F.col("known") & F.col("bank_name").isNull(), failed("no bank name for", "account_key")).when(unknown, failed("unknown place of a bank:", "x")).otherwise(F.coalesce("x", F.lit(DOMESTIC)))
+    return joined.select("account_key", kind.alias("entity_type"), "bank_name", place.alias("bank_location"), F.when(F.col("x").isin(*crypto), CRYPTO).otherwise(F.coalesce("x", F.lit(DOMESTIC))).alias("bank_country"))
 
 
-def _by(*columns: str):
-    from pyspark.sql import Window
+def _drawn(purpose: str, seed: int, stream: str, key: str, table: dict[str, float]) -> Column:
+    return choose(keyed_uniform(purpose, seed, stream)(F.col(key)), list(table), list(table.values()))
 
-    return Window.partitionBy(*columns)
 
+def base_profile(attributes: DataFrame, volume: DataFrame, rules: ProfileRules, seed: int = 0) -> DataFrame:
+    """Sector or occupation by type, country risk, expected activity and onboarding year of every account.
 
-def dominant_behaviour(stats: DataFrame, behaviours: list[str]) -> DataFrame:
-    """The behaviour with the highest percentile among an account's day statistics; ties go to the first listed."""
-    n = F.count(F.lit(1)).over(_by("window_start"))
-    ranks = [F.when(F.col(b) > 0, average_rank(b, "window_start") / n).otherwise(0.0) for b in behaviours]
-    top = stats.select("account_key", "window_start", F.array(*ranks).alias("p")).withColumn("dominant_percentile", F.array_max("p"))
+    Activity is the band of the volume's average-rank percentile among the type's active accounts, moved by one band with a
+    probability of ``band_noise``; accounts without a volume draw from the prior.  Domestic banks are low risk, crypto
+    platforms high, and every other country draws its tier once.
+    """
+    def u(stream: str) -> Column:
+        return keyed_uniform("kyc", seed, stream)(F.col("account_key"))
+
+    rows = attributes.join(volume.select("account_key", "volume_usd"), "account_key", "left")
+    rows = rows.join(average_percentiles(rows.select("account_key", "entity_type", "volume_usd"), ["volume_usd"], ["account_key"], "entity_type").select("account_key", "pct_volume_usd"), "account_key", "left")
+    at = sum(((F.coalesce("pct_volume_usd", F.lit(0.0)) > c).cast("int") for c in rules.band_cuts), F.lit(0))
+    moved = at + F.when(F.col("u_noise") < rules.band_noise, F.when(F.col("u_way") < 0.5, -1).otherwise(1)).otherwise(0)
+    band = F.get(F.array(*[F.lit(b) for b in rules.bands]), F.greatest(F.lit(0), F.least(F.lit(len(rules.bands) - 1), moved)))
+    first, days = F.lit(rules.onboarding[0]).cast("date"), (date.fromisoformat(rules.onboarding[1]) - date.fromisoformat(rules.onboarding[0])).days + 1
+    sector = _drawn("kyc", seed, "sector", "account_key", {k: w for k, (w, _) in rules.sectors.items()})
+    occupation = _drawn("kyc", seed, "occupation", "account_key", {k: w for k, (w, _) in rules.occupations.items()})
+    drawn = rows.withColumns({"u_noise": u("band_noise"), "u_way": u("band_dir"), "u_day": u("onboard")})
+    return drawn.select(
+        "account_key", "entity_type", "bank_location", "bank_country",
+        F.when(F.col("bank_country") == DOMESTIC, "low").when(F.col("bank_country") == CRYPTO, "high").otherwise(_drawn("country_risk", seed, "tier", "bank_country", rules.foreign_tiers)).alias("country_risk"),
+        F.when(F.col("entity_type").isin(*rules.public_types), GOVERNMENT).when(F.col("entity_type").isin(*rules.individual_types), occupation).otherwise(sector).alias("sector_or_occupation"),
+        F.when(F.col("pct_volume_usd").isNotNull(), band).otherwise(_drawn("kyc", seed, "band_prior", "account_key", rules.band_prior)).alias("expected_activity_band"),
+        F.year(F.date_add(first, F.floor(F.col("u_day") * days).cast("int"))).alias("onboarding_year"),
+    )
+
+
+def dominant_behaviour(stats: DataFrame, behaviours: dict[str, str]) -> DataFrame:
+    """The behaviour whose statistic has the highest percentile among the day's accounts (0 if it is 0); ties go to the first listed."""
+    columns = list(dict.fromkeys(behaviours.values()))
+    ranked = stats.select("account_key", "window_start", *columns).join(average_percentiles(stats, columns, ["account_key", "window_start"], "window_start"), ["account_key", "window_start"])
+    ranks = [F.when(F.col(c) > 0, F.col(f"pct_{c}")).otherwise(0.0) for c in behaviours.values()]
+    top = ranked.select("account_key", "window_start", F.array(*ranks).alias("p")).withColumn("dominant_percentile", F.array_max("p"))
     return top.select("account_key", "window_start", F.element_at(F.array(*[F.lit(b) for b in behaviours]), F.array_position("p", F.col("dominant_percentile")).cast("int")).alias("dominant_behaviour"), "dominant_percentile")
 
 
-def risk_rating(profile: DataFrame, seed: int = 0, cuts: tuple[float, float] = (1.5, 3.0)) -> DataFrame:
-    points = F.create_map(*[x for k, v in RISK_POINTS.items() for x in (F.lit(k), F.lit(v))])[F.col("bank_location")]
-    score = F.coalesce(points, F.raise_error(F.lit("unknown bank location")).cast("double")) + F.when(F.col("expected_activity_band") == "high", 1.0).otherwise(0.0) + keyed_uniform("kyc", seed, "risk")(F.col("account_key"))
-    return profile.withColumn("risk_points", score).withColumn("customer_risk_rating", F.when(F.col("risk_points") >= cuts[1], "high").when(F.col("risk_points") >= cuts[0], "medium").otherwise("low"))
+def plant(profile: DataFrame, day_stats: DataFrame, rules: ProfileRules, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """The profiles with planted explanations, and the record of who was a candidate, who was planted and with what.
+
+    Accounts of the day whose dominant behaviour is extreme get, by a draw, a sector whose business looks like it (individuals
+    one occupation, public bodies none) and a high activity band.  Only that day's statistics are read, no label.
+    """
+    found = dominant_behaviour(day_stats, rules.behaviours).drop("window_start")
+    u = {s: keyed_uniform("plant", seed, s)(F.col("account_key")) for s in ("plant", "archetype", "band")}
+    drawn = found.withColumns({f"u_{k}": v for k, v in u.items()})
+    sector = F.lit(None).cast("string")
+    for behaviour, sectors in rules.archetypes.items():
+        sector = F.when(F.col("dominant_behaviour") == behaviour, choose(F.col("u_archetype"), list(sectors), [1.0] * len(sectors))).otherwise(sector)
+    candidate = F.col("dominant_percentile") >= rules.candidate_percentile
+    band = choose(F.col("u_band"), list(rules.planted_bands), list(rules.planted_bands.values()))
+    record = drawn.select("account_key", candidate.alias("candidate"), (candidate & (F.col("u_plant") < rules.planting)).alias("planted"), "dominant_behaviour", "dominant_percentile", sector.alias("planted_sector"), band.alias("planted_band"))
+    joined = profile.join(record.select("account_key", "planted", "planted_sector", "planted_band"), "account_key", "left")
+    is_planted = F.coalesce("planted", F.lit(False))
+    individual, public = F.col("entity_type").isin(*rules.individual_types), F.col("entity_type").isin(*rules.public_types)
+    own = F.col("sector_or_occupation")
+    work = F.when(is_planted & individual, F.lit(rules.planted_occupation) if rules.planted_occupation else own).when(is_planted & ~individual & ~public, F.coalesce("planted_sector", own)).otherwise(own)
+    changed = joined.withColumns({"sector_or_occupation": work, "expected_activity_band": F.when(is_planted, F.col("planted_band")).otherwise(F.col("expected_activity_band"))})
+    return changed.select(*profile.columns), record
+
+
+def risk_rating(profile: DataFrame, rules: ProfileRules, seed: int = 0) -> DataFrame:
+    """Points of the sector's and the country's risk, one more for the highest activity band, moved by one with a probability."""
+    risk = {k: r for table in (rules.sectors, rules.occupations) for k, (_, r) in table.items()} | {GOVERNMENT: "low"}
+
+    def points(of: Column, table: dict, what: str) -> Column:
+        return F.coalesce(F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.lit(v))])[of], F.raise_error(F.lit(f"unknown {what}")).cast("int"))
+
+    noise = F.when(keyed_uniform("kyc", seed, "rating_noise")(F.col("account_key")) < rules.rating_noise, F.when(keyed_uniform("kyc", seed, "rating_dir")(F.col("account_key")) < 0.5, -1).otherwise(1)).otherwise(0)
+    score = points(F.col("sector_or_occupation"), {k: RISK_POINTS[r] for k, r in risk.items()}, "sector") + points(F.col("country_risk"), RISK_POINTS, "country risk") + (F.col("expected_activity_band") == rules.bands[-1]).cast("int") + noise
+    medium, high = rules.rating_cuts
+    return profile.withColumn("risk_points", score).withColumn("customer_risk_rating", F.when(F.col("risk_points") >= high, "high").when(F.col("risk_points") >= medium, "medium").otherwise("low"))
 
 
 def sigmoid(x: Column) -> Column:
@@ -84,11 +172,17 @@ def visible_dispositions(rows: DataFrame, as_of: str) -> DataFrame:
     return rows.filter(F.col("closed_at") < F.lit(as_of).cast("timestamp_ntz"))
 
 
-def flagged_counterparties(legs: DataFrame, alerts: DataFrame) -> DataFrame:
-    """Distinct counterparties of every account-day that have an alert on an earlier day."""
-    flagged = alerts.groupBy(F.col("account_key").alias("counterparty")).agg(F.min("window_start").alias("first_alert"))
-    met = legs.select("account_key", "window_start", "counterparty").distinct().join(flagged, "counterparty").filter("first_alert < window_start")
-    return met.groupBy("account_key", "window_start").agg(F.count(F.lit(1)).alias("n_flagged"))
+def flagged_counterparties(legs: DataFrame, dispositions: DataFrame, lookback_days: int = 1) -> DataFrame:
+    """``account_key, as_of, n_counterparties, n_flagged`` at the end of every day on which an account has a leg in the lookback.
+
+    Counterparties are those of the last ``lookback_days`` days; flagged are those with a disposition that was confirmed and
+    closed before ``as_of``.
+    """
+    confirmed = dispositions.filter("disposition = 'confirmed_suspicious'").groupBy(F.col("account_key").alias("counterparty")).agg(F.min("closed_at").alias("closed"))
+    day = F.expr("interval 1 day")
+    ends = F.explode(F.sequence(F.col("window_start") + day, F.col("window_start") + F.expr(f"interval {int(lookback_days)} day"), day)).alias("as_of")
+    met = legs.select("account_key", "counterparty", ends).distinct().join(confirmed, "counterparty", "left")
+    return met.groupBy("account_key", "as_of").agg(F.count(F.lit(1)).alias("n_counterparties"), F.count(F.when(F.col("closed") < F.col("as_of"), 1)).alias("n_flagged"))
 
 
 def planting_realisation(alerts: DataFrame, labels: DataFrame, planting: DataFrame) -> DataFrame:

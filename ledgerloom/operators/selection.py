@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.hashing import keyed_uniform
 from ledgerloom.functions.lineage import checkpointed
-from ledgerloom.operators.metrics import auc_ap, weighted_auc_ap
+from ledgerloom.operators.metrics import auc_ap, tied_auc_ap
 
 AUC, AP = 0, 1
 BUCKET_ROWS = 100_000
@@ -55,7 +55,7 @@ def _checked(rows: DataFrame, columns: list[str], order: list[str], most_rows: i
 
 def pooled_metric(folds: list[tuple[np.ndarray, np.ndarray, np.ndarray]], which: int = AUC) -> float:
     """Mean of a metric over (score, y, weight) folds, weighted by their positives; folds without a value are left out."""
-    found = [(weighted_auc_ap(s, y, w)[which], float((y * w).sum())) for s, y, w in folds if w.sum() > 0]
+    found = [(tied_auc_ap(s, y, w)[which], float((y * w).sum())) for s, y, w in folds if w.sum() > 0]
     found = [(v, p) for v, p in found if v == v and p > 0]
     return sum(v * p for v, p in found) / sum(p for _, p in found) if found else float("nan")
 
@@ -120,7 +120,7 @@ def ceilings(rows: DataFrame, checks: dict[str, tuple[str, str | None, float]],
     scores = {c: data[c].to_numpy() for c in names}
 
     def values(weight: np.ndarray) -> list[float]:
-        ap = {c: weighted_auc_ap(s, y, weight)[AP] for c, s in scores.items()}
+        ap = {c: tied_auc_ap(s, y, weight)[AP] for c, s in scores.items()}
         return [ap[a] - (ap[b] if b else 0.0) for a, b, _ in checks.values()]
 
     def run(batches):

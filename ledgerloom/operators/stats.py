@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.ranks import running
+
 #: Band just under the reporting threshold, pass-through ratio, unit of round amounts.
 BAND, RATIO, ROUND_UNIT = (9000.0, 10000.0), (0.8, 1.25), 1000.0
 #: Rules, in order, with their statistic and floor.
@@ -60,13 +62,7 @@ def fire(stats: DataFrame, thresholds: dict[str, float | dict] | None = None) ->
     if unknown:
         raise ValueError(f"unknown rules: {sorted(unknown)}")
 
-    def limit(value: float | dict) -> Column:
-        if not isinstance(value, dict):
-            return F.lit(float(value))
-        peers = F.create_map(*[x for k, v in value.items() if k is not None for x in (F.lit(k), F.lit(float(v)))])
-        return F.coalesce(peers[F.col("peer_group")], F.lit(float(value[None])))
-
-    fired = {f"fired_{rule}": (F.col(RULES[rule][0]) > 0) & (F.col(RULES[rule][0]) >= limit(v)) for rule, v in used.items()}
+    fired = {f"fired_{rule}": fires(rule, v) for rule, v in used.items()}
     out = stats.withColumns(fired)
     out = out.withColumn("triggered_rules", F.array_compact(F.array(*[F.when(F.col(f"fired_{rule}"), rule) for rule in used])))
     return out.withColumn("n_rules_triggered", F.size("triggered_rules").cast("long"))
@@ -84,12 +80,11 @@ def alerts(fired: DataFrame, variant: str = "main") -> DataFrame:
 def higher_quantiles(stats: DataFrame, columns: list[str], taus: list[float]) -> DataFrame:
     """``stat, tau, threshold``: the value at rank ``ceil(tau (n - 1)) + 1``, never under the rule's floor.
 
-    All statistics are ranked in one pass over a long form, partitioned by statistic.
+    All statistics are ranked in one pass over a long form; equal values are counted first, then dealt into ranges.
     """
     long = stats.select(F.explode(F.array(*[F.struct(F.lit(c).alias("stat"), F.col(c).cast("double").alias("value")) for c in columns])).alias("s")).select("s.*")
     counts = long.groupBy("stat", "value").agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy("stat").orderBy("value")
-    ranked = counts.withColumn("upto", F.sum("n").over(order)).withColumn("total", F.sum("n").over(Window.partitionBy("stat")))
+    ranked = running(counts, "value", {"upto": "n"}, "stat").withColumnRenamed("all_upto", "total")
     grid = ranked.withColumn("tau", F.explode(F.array(*[F.lit(t) for t in taus]))).withColumn("rank", F.ceil(F.col("tau") * (F.col("total") - 1)) + 1)
     floors = {stat: floor for stat, floor in RULES.values()}
     hit = grid.filter((F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("n")))
@@ -99,32 +94,122 @@ def higher_quantiles(stats: DataFrame, columns: list[str], taus: list[float]) ->
 
 def peer_thresholds(stats: DataFrame, stat: str, tau: float, peer: str, least_rows: int) -> DataFrame:
     """``peer_group, threshold``; a group of fewer than ``least_rows`` takes the threshold of all rows."""
-    ranked = stats.select(F.col(peer).alias("peer_group"), F.col(stat).cast("double").alias("value"))
-    own = Window.partitionBy("peer_group")
-    groups = ranked.withColumn("n", F.count(F.lit(1)).over(own)).withColumn("r", F.row_number().over(own.orderBy("value"))).filter(F.col("r") == F.ceil(F.lit(tau) * (F.col("n") - 1)) + 1)
+    counts = stats.groupBy(F.col(peer).alias("peer_group"), F.col(stat).cast("double").alias("value")).agg(F.count(F.lit(1)).alias("c"))
+    rank = F.ceil(F.lit(tau) * (F.col("all_upto") - 1)) + 1
+    groups = running(counts, "value", {"upto": "c"}, "peer_group").filter((rank <= F.col("upto")) & (rank > F.col("upto") - F.col("c"))).withColumnRenamed("all_upto", "n")
     overall = higher_quantiles(stats.select(F.col(stat)), [stat], [tau]).first()  # one row
     floor = next((f for s, f in RULES.values() if s == stat), 0.0)
     value = F.when(F.col("n") >= least_rows, F.greatest("value", F.lit(floor))).otherwise(F.lit(overall["threshold"] if overall else None).cast("double"))
     return groups.select("peer_group", F.col("n").alias("n_rows"), value.alias("threshold"))
 
 
-def calibrate(stats: DataFrame, taus: list[float], band: tuple[int, int]) -> tuple[float, dict[str, float]]:
-    """The smallest tau whose thresholds alert between ``band`` account-days, and its thresholds.
-
-    The grid's alerts are counted in one aggregation; only ``len(taus)`` numbers and the thresholds reach the driver.
-    """
+def threshold_grid(stats: DataFrame, taus: list[float], peer: str | None = None, peer_rule: str = "R02_PEER_VOLUME_OUTLIER", least_peer_rows: int = 1000) -> dict[tuple[str, float], float | dict]:
+    """The threshold of every rule at every tau; with ``peer``, one rule's are by peer group, with a default."""
     stat_of = {rule: stat for rule, (stat, _) in RULES.items()}
-    table: dict[float, dict[str, float]] = {t: {} for t in taus}
+    found: dict[tuple[str, float], float | dict] = {}
     for row in higher_quantiles(stats, sorted(set(stat_of.values())), taus).collect():
-        for rule, stat in stat_of.items():
-            if stat == row["stat"]:
-                table[row["tau"]][rule] = row["threshold"]
-    any_fires = {t: F.greatest(*[((F.col(stat_of[r]) > 0) & (F.col(stat_of[r]) >= v)).cast("int") for r, v in limits.items()]) for t, limits in table.items()}
-    counts = stats.agg(*[F.sum(any_fires[t]).alias(f"n{i}") for i, t in enumerate(taus)]).first()
-    for i, t in enumerate(taus):
-        if band[0] <= (counts[f"n{i}"] or 0) <= band[1]:
-            return t, table[t]
-    raise ValueError(f"no tau alerts between {band[0]} and {band[1]} account-days: {[counts[f'n{i}'] for i in range(len(taus))]}")
+        found |= {(rule, row["tau"]): row["threshold"] for rule, stat in stat_of.items() if stat == row["stat"]}
+    if peer is not None:
+        for tau in taus:
+            groups = peer_thresholds(stats, stat_of[peer_rule], tau, peer, least_peer_rows).filter(F.col("n_rows") >= least_peer_rows).collect()
+            found[peer_rule, tau] = {r["peer_group"]: r["threshold"] for r in groups} | {None: found[peer_rule, tau]}
+    return found
+
+
+def fires(rule: str, threshold: float | dict) -> Column:
+    """Whether a rule fires: its statistic is above 0 and reaches the threshold of the row's peer group."""
+    value = F.col(RULES[rule][0])
+    if not isinstance(threshold, dict):
+        return (value > 0) & (value >= F.lit(float(threshold)))
+    peers = [x for k, v in threshold.items() if k is not None for x in (F.lit(k), F.lit(float(v)))]
+    limit = F.coalesce(F.create_map(*peers)[F.col("peer_group")], F.lit(float(threshold[None]))) if peers else F.lit(float(threshold[None]))
+    return (value > 0) & (value >= limit)
+
+
+def calibrate(stats: DataFrame, taus: list[float], *, n_positive: int, method: str = "per_rule", band: tuple[float, float] = (0.02, 0.10), target: float = 0.05, least_precision: float = 0.02, least_true: int = 10, too_strong: tuple[float, float] = (0.25, 0.05), most_recall: float = 0.95, least_rules: int = 6, peer: str | None = None, least_peer_rows: int = 1000) -> dict:
+    """Thresholds learned from account-day statistics with ``is_pos``; ``taus`` run from strict to loose.
+
+    ``global``: one tau for all rules, whose alerts' precision is inside ``band`` and nearest to ``target`` (ratio, then the
+    higher recall).  ``per_rule``: each rule's loosest tau at which the rule alone reaches ``least_precision`` with
+    ``least_true`` true alerts; a rule without one is dropped.  A rule above both bounds of ``too_strong`` (precision, recall)
+    is loosened step by step, then dropped.  The whole layer must have its precision in ``band``, its recall below
+    ``most_recall`` and ``least_rules`` rules, else this raises.
+
+    Every rule and tau is counted in one aggregation; only those counts and the thresholds reach the driver.
+    """
+    if list(taus) != sorted(taus, reverse=True):
+        raise ValueError("taus run from strict to loose")
+    if method not in ("global", "per_rule"):
+        raise ValueError(f"unknown method {method}")
+    rules, grid = list(RULES), threshold_grid(stats, taus, peer, least_peer_rows=least_peer_rows)
+    cells = [(r, t) for r in rules for t in taus]
+
+    def counted(condition: Column, name: str) -> list[Column]:
+        return [F.count(F.when(condition, 1)).alias(f"n_{name}"), F.count(F.when(condition & F.col("is_pos"), 1)).alias(f"p_{name}")]
+
+    def any_of(chosen: dict[str, float]) -> Column:
+        fired = [fires(r, grid[r, t]) for r, t in chosen.items()]
+        return F.greatest(F.lit(False), F.lit(False), *fired) if fired else F.lit(False)
+
+    each = [c for i, (r, t) in enumerate(cells) for c in counted(fires(r, grid[r, t]), f"{i}")]
+    layers = [c for i, t in enumerate(taus) for c in counted(any_of(dict.fromkeys(rules, t)), f"all{i}")] if method == "global" else []
+    row = stats.agg(*each, *layers).first()
+    measured = {cell: (row[f"n_{i}"], row[f"p_{i}"]) for i, cell in enumerate(cells)}
+
+    def precision(n: int, p: int) -> float | None:
+        return p / n if n else None
+
+    def recall(p: int) -> float | None:
+        return p / n_positive if n_positive else None
+
+    chosen: dict[str, float] = {}
+    actions: list[dict] = []
+    if method == "global":
+        layer = {t: (row[f"n_all{i}"], row[f"p_all{i}"]) for i, t in enumerate(taus)}
+        inside = [t for t in taus if (x := precision(*layer[t])) is not None and band[0] <= x <= band[1]]
+        if not inside:
+            raise ValueError(f"no tau has a precision between {band[0]} and {band[1]}: {layer}")
+        best = min(inside, key=lambda t: (abs(math.log(precision(*layer[t]) / target)), -(recall(layer[t][1]) or 0)))
+        chosen = dict.fromkeys(rules, best)
+    else:
+        for r in rules:
+            good = [t for t in taus if (x := precision(*measured[r, t])) is not None and x >= least_precision and measured[r, t][1] >= least_true]
+            if good:
+                chosen[r] = good[-1]
+            actions.append({"rule": r, "action": "select", "tau": good[-1]} if good else {"rule": r, "action": "drop"})
+    for r in [r for r in rules if r in chosen]:
+        while r in chosen and (precision(*measured[r, chosen[r]]) or 0) > too_strong[0] and (recall(measured[r, chosen[r]][1]) or 0) > too_strong[1]:
+            at = taus.index(chosen[r])
+            if at + 1 < len(taus):
+                actions.append({"rule": r, "action": "loosen", "tau": taus[at + 1]})
+                chosen[r] = taus[at + 1]
+            else:
+                actions.append({"rule": r, "action": "drop_too_strong"})
+                del chosen[r]
+    whole = stats.agg(*counted(any_of(chosen), "whole")).first()
+    found, caught = precision(whole["n_whole"], whole["p_whole"]), recall(whole["p_whole"])
+    problems = [f"precision {found}"] * (found is None or not band[0] <= found <= band[1]) + [f"recall {caught}"] * (caught is not None and caught >= most_recall) + [f"{len(chosen)} rules"] * (len(chosen) < least_rules)
+    if problems:
+        raise ValueError(f"the calibrated layer is out of bounds: {', '.join(problems)}; {actions}")
+    return {"taus": chosen, "thresholds": {r: grid[r, t] for r, t in chosen.items()}, "actions": actions, "n_alerts": whole["n_whole"], "n_true": whole["p_whole"], "measured": {r: measured[r, t] for r, t in chosen.items()}}
+
+
+def rule_evaluation(fired: DataFrame, n_positive: int) -> DataFrame:
+    """``rule, n_alerts, n_true, precision, recall, n_only, n_true_only`` of every rule and of ``ALL``; one aggregation.
+
+    ``fired`` has ``is_pos``; ``n_only`` counts the alerts that no other rule raises (for ``ALL``, alerts of one rule).
+    """
+    names = [c for c in fired.columns if c.startswith("fired_")]
+    only = F.col("n_rules_triggered") == 1
+    cells = [F.struct(F.lit(c.removeprefix("fired_")).alias("rule"), F.col(c).alias("on")) for c in names] + [F.struct(F.lit("ALL").alias("rule"), (F.col("n_rules_triggered") > 0).alias("on"))]
+    long = fired.select("is_pos", only.alias("only"), F.explode(F.array(*cells)).alias("c")).select("is_pos", "only", "c.*")
+    counts = long.groupBy("rule").agg(*[_count(F.col("on") & c).alias(n) for n, c in (("n_alerts", F.lit(True)), ("n_true", F.col("is_pos")), ("n_only", F.col("only")), ("n_true_only", F.col("only") & F.col("is_pos")))])
+    return counts.select("rule", "n_alerts", "n_true", F.round(F.try_divide("n_true", "n_alerts"), 9).alias("precision"), F.round(F.try_divide(F.col("n_true"), F.lit(n_positive)), 9).alias("recall"), "n_only", "n_true_only")
+
+
+def rules_histogram(fired: DataFrame) -> DataFrame:
+    """How many alerts fire one rule, two rules, and so on."""
+    return fired.filter("n_rules_triggered > 0").groupBy("n_rules_triggered").agg(F.count(F.lit(1)).alias("n"))
 
 
 def rule_overlap(fired: DataFrame) -> DataFrame:

@@ -44,7 +44,7 @@ EDGES = LEDGER + """,
 edges AS (SELECT date_trunc('day', ts) AS window_start, from_key AS src, to_key AS dst, min(ts) AS first_ts, max(ts) AS last_ts FROM ledger WHERE from_key <> to_key GROUP BY ALL)"""
 
 ACCOUNTS = """accounts AS (SELECT cast(c_custkey % 7 AS varchar) AS bank_id, concat('U', cast(c_custkey AS varchar)) AS account_number,
-  CASE WHEN c_nationkey % 3 = 0 THEN concat('First Bank of ', n_name) WHEN c_nationkey = 1 THEN concat('Crypto Bank #', cast(c_custkey AS varchar)) ELSE concat(n_name, ' Bank #', cast(c_nationkey AS varchar)) END AS bank_name,
+  CASE WHEN c_nationkey % 3 = 0 THEN concat('First Bank of ', n_name) WHEN c_nationkey = 1 THEN concat('Crytpo Bank #', cast(c_custkey AS varchar)) ELSE concat(n_name, ' Bank #', cast(c_nationkey AS varchar)) END AS bank_name,
   c_mktsegment AS entity_type FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
 
 PERIOD = """CASE WHEN ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-01-02' THEN 'BURN_IN' WHEN ts >= TIMESTAMP '2024-01-02' AND ts < TIMESTAMP '2024-01-14' THEN 'TRAIN'

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import hashing
-from ledgerloom.operators import audit, contracts, features, fx, graph, labels, ledger, metrics, models, profiles, records, selection, stats
+from ledgerloom.functions import hashing, lineage
+from ledgerloom.operators import audit, contracts, features, fx, graph, labels, ledger, metrics, models, profiles, ranks, records, selection, stats
 from ledgerloom.plans.oracle_base import ACCOUNTS, BY_SCORE, EDGES, FIRED, LEDGER, LEGS, PERIOD, SCORED, STATS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,9 +153,20 @@ def d04_h02_alert_rows(spark, sf):
     return stats.alerts(_fired(spark, sf)).select("alert_id", "account_key", "window_start", "window_end", "as_of", "created_at", "n_rules_triggered")
 
 
-@query("SELECT s AS stat, t AS tau, greatest(max(v), max(fl)) AS threshold FROM (SELECT s, fl, t, v, row_number() OVER (PARTITION BY s, t ORDER BY v) AS r, count(*) OVER (PARTITION BY s, t) AS n FROM (SELECT 'n_txn' AS s, 0.0::double AS fl, cast(n_txn AS double) AS v FROM stats UNION ALL SELECT 'n_distinct_senders', 5.0, cast(n_distinct_senders AS double) FROM stats UNION ALL SELECT 'n_cross_currency', 3.0, cast(n_cross_currency AS double) FROM stats) x CROSS JOIN (SELECT unnest([0.5::double, 0.9, 0.99, 0.999]) AS t) q) y WHERE r = ceil(t * (n - 1)) + 1 GROUP BY s, t", STATS)
+_GRID_STATS = list(stats.STATS[:9])
+_GRID_TAUS = [0.999, 0.99, 0.9, 0.5]
+_QUANTILES = " UNION ALL ".join(f"SELECT '{c}' AS s, {floor}::double AS fl, cast({c} AS double) AS v FROM stats" for c, floor in stats.RULES.values())
+
+
+@query(
+    f"""SELECT s AS stat, t AS tau, greatest(max(v), max(fl)) AS threshold
+FROM (SELECT s, fl, t, v, row_number() OVER (PARTITION BY s, t ORDER BY v) AS r, count(*) OVER (PARTITION BY s, t) AS n
+  FROM ({_QUANTILES}) x CROSS JOIN (SELECT unnest([{', '.join(f'{t}::double' for t in _GRID_TAUS)}]) AS t) q) y
+WHERE r = ceil(t * (n - 1)) + 1 GROUP BY s, t""",
+    STATS,
+)
 def d07_higher_quantiles(spark, sf):
-    return stats.higher_quantiles(_stats(spark, sf), ["n_txn", "n_distinct_senders", "n_cross_currency"], [0.5, 0.9, 0.99, 0.999])
+    return stats.higher_quantiles(_stats(spark, sf), _GRID_STATS, _GRID_TAUS)
 
 
 @query("SELECT peer_group, n AS n_rows, CASE WHEN n >= 100 THEN greatest(v, 0) ELSE (SELECT v FROM (SELECT cast(n_txn AS double) AS v, row_number() OVER (ORDER BY n_txn) AS r, count(*) OVER () AS n FROM stats) z WHERE r = ceil(0.9 * (n - 1)) + 1) END AS threshold FROM (SELECT left(account_key, 3) AS peer_group, cast(n_txn AS double) AS v, row_number() OVER (PARTITION BY left(account_key, 3) ORDER BY n_txn) AS r, count(*) OVER (PARTITION BY left(account_key, 3)) AS n FROM stats) y WHERE r = ceil(0.9 * (n - 1)) + 1", STATS)
@@ -202,12 +214,19 @@ def j05_d09_alert_labels(spark, sf):
     return labels.label_alerts(_alerts(spark, sf), _positive(spark, sf)).select("account_key", "window_start", "is_true_positive", "n_laundering_txns")
 
 
-@query("SELECT concat(a.bank_id, '|', account_number) AS k, bank_name, CASE WHEN bank_name LIKE 'Crypto Bank #%' THEN 'crypto' WHEN regexp_matches(bank_name, '^.* Bank #[0-9]+$') THEN 'country' ELSE 'domestic' END AS bank_location, entity_type FROM accounts a WHERE concat(bank_id, '|', account_number) IN (SELECT concat(coalesce(nullif(ltrim(from_bank, '0'), ''), '0'), '|', from_account) FROM ledger)", LEDGER + ", " + ACCOUNTS)
+@query(
+    """SELECT concat(a.bank_id, '|', account_number) AS k, bank_name, coalesce(x, 'United States') AS bank_location, CASE WHEN x = 'Crytpo' THEN 'Crypto' ELSE coalesce(x, 'United States') END AS bank_country, entity_type
+FROM (SELECT *, CASE WHEN regexp_matches(bank_name, ' Bank #[0-9]+$') THEN regexp_extract(bank_name, '^(.*) Bank #[0-9]+$', 1) END AS x FROM accounts) a
+WHERE concat(bank_id, '|', account_number) IN (SELECT concat(coalesce(nullif(ltrim(from_bank, '0'), ''), '0'), '|', from_account) FROM ledger)""",
+    LEDGER + ", " + ACCOUNTS,
+)
 def j01_d12_attributes(spark, sf):
     keys = ledger.ledger(spark, sf).select(F.col("from_key").alias("account_key")).distinct()
     known = ledger.accounts(spark, sf)
     kept = keys.join(known.select(F.concat(F.lpad("bank_id", 3, "0"), F.lit("|"), "account_number").alias("account_key")), "account_key", "left_semi")
-    return profiles.account_attributes(kept, known).select(F.concat(ledger.strip_zeros(F.split("account_key", r"\|", 2)[0]), F.lit("|"), F.split("account_key", r"\|", 2)[1]).alias("k"), "bank_name", "bank_location", "entity_type")
+    found = profiles.account_attributes(kept, known, ledger.countries(spark, sf))
+    key = F.split("account_key", r"\|", 2)
+    return found.select(F.concat(ledger.strip_zeros(key[0]), F.lit("|"), key[1]).alias("k"), "bank_name", "bank_location", "bank_country", "entity_type")
 
 
 @query("SELECT count(*) AS n FROM ledger WHERE is_laundering = 1 AND attempt_id IS NULL", LEDGER)
@@ -217,21 +236,74 @@ def j03_unattributed(spark, sf):
     return t.join(t.filter("attempt_id IS NOT NULL").select(*keys), keys, "left_anti").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT account_key, window_start, count(DISTINCT counterparty) AS n_flagged FROM legs JOIN (SELECT account_key AS c, min(window_start) AS f FROM alerts WHERE n_rules_triggered > 0 GROUP BY 1) a ON counterparty = c WHERE f < window_start GROUP BY 1, 2", FIRED)
+_CLOSED = """closed AS (SELECT account_key AS c, min(window_start + INTERVAL 24 HOUR + INTERVAL 7 HOUR * n_rules_triggered) AS closed_at FROM alerts WHERE n_rules_triggered >= 2 GROUP BY 1),
+met AS (SELECT DISTINCT account_key, counterparty, window_start + INTERVAL 1 DAY * d AS as_of FROM legs, (SELECT unnest([1, 2]) AS d) q)"""
+
+
+def _closed(spark, sf):
+    """Dispositions that SQL can say: two rules or more are confirmed, some hours after the window."""
+    hours = F.expr("timestampadd(HOUR, cast(24 + 7 * n_rules_triggered AS int), window_start)")
+    confirmed = F.when(F.col("n_rules_triggered") >= 2, "confirmed_suspicious").otherwise("closed_legitimate")
+    return _alerts(spark, sf).select("account_key", confirmed.alias("disposition"), hours.alias("closed_at"))
+
+
+@query("SELECT account_key, as_of, count(*) AS n_counterparties, count(*) FILTER (closed_at < as_of) AS n_flagged FROM met LEFT JOIN closed ON counterparty = c GROUP BY 1, 2", FIRED + ", " + _CLOSED)
 def j14_d20_flagged_counterparties(spark, sf):
-    return profiles.flagged_counterparties(ledger.usd_legs(spark, sf), _alerts(spark, sf))
+    return profiles.flagged_counterparties(ledger.usd_legs(spark, sf), _closed(spark, sf), 2)
+
+
+def _members(spark, sf):
+    tie = F.coalesce(F.concat(F.lit("a"), F.col("attempt_id").cast("string")), F.concat(F.lit("t"), F.col("row_id").cast("string")))
+    return labels.laundering_legs(ledger.usd_legs(spark, sf)).select("account_key", tie.alias("member"))
+
+
+_MEMBERS = """members AS (SELECT DISTINCT account_key, coalesce('a' || attempt_id, 't' || row_id) AS member FROM legs WHERE is_laundering = 1),
+pairs AS (SELECT DISTINCT a.account_key AS x, b.account_key AS y FROM members a JOIN members b USING (member)),
+walk AS (SELECT account_key AS node, account_key AS root FROM members UNION SELECT p.y, w.root FROM walk w JOIN pairs p ON p.x = w.node WHERE w.root < p.y),
+named AS (SELECT node, min(root) AS root FROM walk GROUP BY 1)"""
+
+
+@query("SELECT node, root FROM named")
+def d10_g12_components(spark, sf):
+    """The components of the entity split, each by its smallest account."""
+    split = labels.entity_split(_members(spark, sf), [("fit", 0.5), ("hold", 0.5)])
+    return split.select("node", F.min("node").over(Window.partitionBy("root")).alias("root"))
+
+
+ORACLES["d10_g12_components"] = f"WITH RECURSIVE {LEGS}, {_MEMBERS} {ORACLES['d10_g12_components']}"
 
 
 @query()
 def d10_g12_entity_split(spark, sf):
-    members = labels.laundering_legs(ledger.usd_legs(spark, sf)).select("account_key", F.coalesce(F.concat(F.lit("a"), F.col("attempt_id").cast("string")), F.concat(F.lit("t"), F.col("row_id").cast("string"))).alias("member"))
-    return labels.entity_split(members, [("fit", 0.5), ("check", 0.25), ("hold", 0.25)])
+    return labels.entity_split(_members(spark, sf), [("fit", 0.5), ("check", 0.25), ("hold", 0.25)])
+
+
+def _by_bank(spark, sf):
+    """A split that ignores who launders together: by the parity of the bank."""
+    keys = _members(spark, sf).select("account_key").distinct()
+    group = F.when(F.split("account_key", r"\|")[0].cast("int") % 2 == 0, "even").otherwise("odd")
+    return keys.select(F.col("account_key").alias("node"), F.col("account_key").alias("root"), group.alias("agent_group"))
+
 
+@query(
+    """SELECT CASE WHEN cast(split_part(account_key, '|', 1) AS int) % 2 = 0 THEN 'even' ELSE 'odd' END AS agent_group, count(DISTINCT root) AS n_components, count(DISTINCT account_key) AS n_accounts,
+  count(DISTINCT member) AS n_members, 1::bigint AS largest FROM (SELECT *, account_key AS root FROM (SELECT DISTINCT account_key, coalesce('a' || attempt_id, 't' || row_id) AS member FROM legs WHERE is_laundering = 1) m) t GROUP BY 1""",
+    LEGS,
+)
+def a30_group_counts(spark, sf):
+    return labels.group_counts(_members(spark, sf), _by_bank(spark, sf))
 
-@query("SELECT 0::bigint AS n_crossing")
+
+@query(
+    """SELECT 'by bank' AS split, count(*) AS n_crossing FROM (SELECT member FROM (SELECT DISTINCT account_key, coalesce('a' || attempt_id, 't' || row_id) AS member FROM legs WHERE is_laundering = 1) m
+  GROUP BY 1 HAVING count(DISTINCT cast(split_part(account_key, '|', 1) AS int) % 2) > 1) t UNION ALL SELECT 'by component', 0""",
+    LEGS,
+)
 def a31_group_crossing(spark, sf):
-    members = labels.laundering_legs(ledger.usd_legs(spark, sf)).select("account_key", F.coalesce(F.concat(F.lit("a"), F.col("attempt_id").cast("string")), F.concat(F.lit("t"), F.col("row_id").cast("string"))).alias("member"))
-    return labels.crossing(members, labels.entity_split(members, [("fit", 0.5), ("hold", 0.5)])).agg(F.count(F.lit(1)).alias("n_crossing"))
+    members = _members(spark, sf)
+    splits = {"by bank": _by_bank(spark, sf), "by component": labels.entity_split(members, [("fit", 0.5), ("hold", 0.5)])}
+    counts = [labels.crossing(members, split).agg(F.lit(name).alias("split"), F.count(F.lit(1)).alias("n_crossing")) for name, split in splits.items()]
+    return counts[0].unionByName(counts[1])
 
 
 # ---- features and graph (G, W)
@@ -242,10 +314,19 @@ def a05_concentration(spark, sf):
     return _rounded(features.concentration(ledger.usd_legs(spark, sf)).filter("cp_hhi IS NOT NULL"), 6)
 
 
-@query("SELECT account_key, window_start, count(*) FILTER (direction = 'in')::double AS n_in, count(*) FILTER (direction = 'out')::double AS n_out, round(avg(usd), 6) AS amt_mean_usd, round(median(usd), 6) AS amt_median_usd, round(min(usd), 6) AS amt_min_usd, round(stddev_pop(usd), 3) AS amt_std_usd, count(DISTINCT currency)::double AS n_currencies, round(avg((payment_format = 'ACH')::int), 6) AS share_fmt_ach, round(avg((payment_format = 'Cash')::int), 6) AS share_fmt_cash FROM legs GROUP BY 1, 2", LEGS)
+_MIX = ", ".join(f"round(avg((payment_format = '{f}')::int), 6) AS share_fmt_{features.slug(f)}" for f in features.FORMATS)
+
+
+@query(
+    f"""SELECT account_key, window_start, count(*) FILTER (direction = 'in')::double AS n_in, count(*) FILTER (direction = 'out')::double AS n_out, round(avg(usd), 6) AS amt_mean_usd, round(median(usd), 6) AS amt_median_usd,
+  round(min(usd), 6) AS amt_min_usd, round(stddev_pop(usd), 3) AS amt_std_usd, round(stddev_pop(log10(usd)), 5) + 0 AS amt_log10_std, round(stddev_pop(usd) / avg(usd), 5) + 0 AS amt_cv, count(DISTINCT currency)::double AS n_currencies, {_MIX}
+FROM legs GROUP BY 1, 2""",
+    LEGS,
+)
 def g02_g03_behaviour(spark, sf):
     b = features.behaviour(ledger.usd_legs(spark, sf))
-    return b.select("account_key", "window_start", "n_in", "n_out", F.round("amt_mean_usd", 6).alias("amt_mean_usd"), F.round("amt_median_usd", 6).alias("amt_median_usd"), F.round("amt_min_usd", 6).alias("amt_min_usd"), F.round("amt_std_usd", 3).alias("amt_std_usd"), "n_currencies", F.round("share_fmt_ach", 6).alias("share_fmt_ach"), F.round("share_fmt_cash", 6).alias("share_fmt_cash"))
+    digits = {"amt_std_usd": 3, "amt_log10_std": 5, "amt_cv": 5}
+    return b.select("account_key", "window_start", *[(F.round(c, digits.get(c, 6)) + 0.0).alias(c) for c in b.columns[2:]])
 
 
 @query("SELECT account_key, window_start, round(n_near_threshold / n_txn, 6) AS share_near_threshold, round(n_round_amounts / n_txn, 6) AS share_round, round(n_cross_currency / n_txn, 6) AS share_cross_currency, round((in_usd - out_usd) / nullif(volume_usd, 0), 6) AS net_flow_ratio FROM stats", STATS)
@@ -266,9 +347,15 @@ def g04_w04_dynamics(spark, sf):
     return _rounded(features.dynamics(ledger.usd_legs(spark, sf)), 6)
 
 
-@query("SELECT account_key, window_start, round((rank() OVER (PARTITION BY window_start ORDER BY n_txn) + (count(*) OVER (PARTITION BY window_start, n_txn) - 1) / 2.0) / count(*) OVER (PARTITION BY window_start), 6) AS pct_n_txn, round((rank() OVER (PARTITION BY window_start ORDER BY n_distinct_senders) + (count(*) OVER (PARTITION BY window_start, n_distinct_senders) - 1) / 2.0) / count(*) OVER (PARTITION BY window_start), 6) AS pct_n_distinct_senders FROM stats", STATS)
+def _percentile_sql(value: str, group: str) -> str:
+    ties = f"(count(*) OVER (PARTITION BY {group}, {value}) - 1) / 2.0"
+    return f"round((rank() OVER (PARTITION BY {group} ORDER BY {value}) + {ties}) / count(*) OVER (PARTITION BY {group}), 6)"
+
+
+@query("SELECT account_key, window_start, " + ", ".join(f"{_percentile_sql(f'round({c}, 2)', 'window_start')} AS pct_{c}" for c in features.PEER_STATS) + " FROM stats", STATS)
 def g05_w01_peers(spark, sf):
-    return features.peers(_stats(spark, sf)).select("account_key", "window_start", F.round("pct_n_txn", 6).alias("pct_n_txn"), F.round("pct_n_distinct_senders", 6).alias("pct_n_distinct_senders"))
+    """Amounts are rounded first: their last digits depend on the order in which they are summed."""
+    return _rounded(features.peers(_stats(spark, sf).withColumns({c: F.round(c, 2) for c in ("volume_usd", "max_txn_usd")})), 6)
 
 
 @query("SELECT window_start, src, dst, first_ts, last_ts FROM edges", EDGES)
@@ -305,28 +392,53 @@ def g07_components(spark, sf):
 ORACLES["g07_components"] = f"WITH RECURSIVE {EDGES}, {ORACLES['g07_components']}"
 
 
+def _feature_inputs(spark, sf):
+    """Payments, fired account-days and edges, each written once for all the blocks that read them."""
+    t = lineage.written(ledger.with_usd(ledger.ledger(spark, sf)), "payments")
+    fired = lineage.written(stats.fire(stats.account_day_stats(ledger.legs(t))), "account-days")
+    return t, fired, lineage.written(graph.edges(t), "edges")
+
+
 @query()
 def d17_feature_table(spark, sf):
-    t = ledger.with_usd(ledger.ledger(spark, sf))
-    fired = _fired(spark, sf)
+    t, fired, edges = _feature_inputs(spark, sf)
     targets = fired.filter("n_rules_triggered > 0").select("account_key", "window_start")
-    return features.feature_table(t, ledger.legs(t), fired, graph.graph_features(graph.edges(t), targets), targets)
+    return features.feature_table(t, ledger.legs(t), fired, graph.graph_features(edges, targets), targets)
+
+
+_LEG_VALUES = {
+    "log10_usd": "log10(usd)", "is_out": "(direction = 'out')::int", "cross_currency": "crossed::int", "cross_bank": "(split_part(account_key, '|', 1) <> split_part(counterparty, '|', 1))::int",
+    "near_threshold": "(usd >= 9000 AND usd < 10000)::int", "round_amount": "(amount >= 1000 AND abs(round(amount / 1000) * 1000 - amount) < 1e-6)::int", "log10_ratio_to_account_median": "log10(usd / a.med)",
+    "share_of_account_volume": "usd / a.vol", "log10_account_n_legs": "log10(a.n)", "log10_cp_n_legs": "log10(c.n)", "log10_cp_out_deg": "log10(c.out_deg + 1)", "log10_cp_in_deg": "log10(c.in_deg + 1)",
+    "log10_pair_n_txn": "log10(pair_n)", "log10_same_amount_n": "log10(same_n)",
+} | {f"leg_fmt_{features.slug(f)}": f"(payment_format = '{f}')::int" for f in features.FORMATS}
+
+
+@query(
+    f"""SELECT l.row_id, l.account_key, l.window_start, l.direction, {', '.join(f'round(({v})::double, 6) + 0 AS {k}' for k, v in _LEG_VALUES.items())}
+FROM legs l JOIN (SELECT account_key, window_start FROM alerts WHERE n_rules_triggered > 0) t USING (account_key, window_start)
+JOIN day a ON l.account_key = a.account_key AND l.window_start = a.window_start JOIN day c ON l.counterparty = c.account_key AND l.window_start = c.window_start
+JOIN (SELECT account_key AS k, counterparty AS o, window_start AS w, count(*) AS pair_n FROM legs GROUP BY 1, 2, 3) p ON l.account_key = k AND l.counterparty = o AND l.window_start = w
+JOIN (SELECT row_id AS r, count(*) OVER (PARTITION BY date_trunc('day', ts), amount_paid, payment_currency) AS same_n FROM ledger WHERE from_key <> to_key) s ON l.row_id = r""",
+    FIRED + """, day AS (SELECT account_key, window_start, count(*) AS n, median(usd) AS med, sum(usd) AS vol, count(DISTINCT counterparty) FILTER (direction = 'out') AS out_deg,
+  count(DISTINCT counterparty) FILTER (direction = 'in') AS in_deg FROM legs GROUP BY 1, 2)""",
+)
+def d19_leg_features(spark, sf):
+    targets = _alerts(spark, sf).select("account_key", "window_start")
+    found = features.leg_features(ledger.usd_legs(spark, sf), targets)
+    return found.select("row_id", "account_key", "window_start", "direction", *[(F.round(c, 6) + 0.0).alias(c) for c in features.leg_feature_names()])
 
 
 @query("SELECT row_id, account_key, direction, rank() OVER (PARTITION BY account_key, window_start ORDER BY usd DESC)::double AS leg_rank_in_day, count(*) OVER (PARTITION BY account_key, window_start, counterparty)::double AS pair_n, count(*) OVER (PARTITION BY window_start, direction, amount, currency)::double AS same_amount_n FROM legs", LEGS)
-def d19_j21_leg_features(spark, sf):
-    return features.leg_features(ledger.usd_legs(spark, sf)).select("row_id", "account_key", "direction", "leg_rank_in_day", "pair_n", "same_amount_n")
+def j11_j21_leg_context(spark, sf):
+    return features.leg_context(ledger.usd_legs(spark, sf)).select("row_id", "account_key", "direction", "leg_rank_in_day", "pair_n", "same_amount_n")
+
 
 
-@query("SELECT account_key, window_start, count(*) AS n, count(*) FILTER (is_laundering = 1) AS n_pos FROM (SELECT *, count(*) FILTER (is_laundering = 0) OVER (PARTITION BY account_key, window_start) AS neg FROM legs) t GROUP BY 1, 2, neg HAVING count(*) FILTER (is_laundering = 1) + least(neg, 2) > 0 AND neg <= 2", LEGS)
-def d22_w06_capped_sample(spark, sf):
-    kept = features.capped_sample(ledger.usd_legs(spark, sf), 2, "row_id")
-    per = kept.groupBy("account_key", "window_start").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("is_laundering") == 1, 1)).alias("n_pos"), F.max("weight").alias("w"))
-    return per.filter("w = 1").drop("w")
 
 
 @query("SELECT account_key, window_start, n_pos + least(neg, 2) AS n, n_pos, (n_pos + neg)::double AS total_weight FROM (SELECT account_key, window_start, count(*) FILTER (is_laundering = 1) AS n_pos, count(*) FILTER (is_laundering = 0) AS neg FROM legs GROUP BY 1, 2) t", LEGS)
-def d22_w06_capped_sample_all(spark, sf):
+def d22_w06_capped_sample(spark, sf):
     kept = features.capped_sample(ledger.usd_legs(spark, sf), 2, "row_id")
     return kept.groupBy("account_key", "window_start").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("is_laundering") == 1, 1)).alias("n_pos"), F.round(F.sum("weight"), 6).alias("total_weight"))
 
@@ -366,7 +478,18 @@ def a18_o02_category_counts(spark, sf):
     return audit.category_counts(ledger.ledger(spark, sf), "payment_format")
 
 
-@query("SELECT category, value, n, n_pos, round(n_pos / n, 9) AS rate, round((n_pos / n) / (SELECT avg(is_laundering) FROM ledger), 6) AS lift FROM (SELECT 'payment_format' AS category, payment_format AS value, count(*) AS n, cast(sum(is_laundering) AS bigint) AS n_pos FROM ledger GROUP BY 2 UNION ALL SELECT 'payment_currency', payment_currency, count(*), cast(sum(is_laundering) AS bigint) FROM ledger GROUP BY 2 UNION ALL SELECT 'receiving_currency', receiving_currency, count(*), cast(sum(is_laundering) AS bigint) FROM ledger GROUP BY 2 UNION ALL SELECT 'hour', cast(hour(ts) AS varchar), count(*), cast(sum(is_laundering) AS bigint) FROM ledger GROUP BY 2 UNION ALL SELECT 'cross', cast(payment_currency <> receiving_currency AS varchar), count(*), cast(sum(is_laundering) AS bigint) FROM ledger GROUP BY 2) t", LEDGER)
+_CATEGORIES = {
+    "payment_format": "payment_format", "payment_currency": "payment_currency", "receiving_currency": "receiving_currency", "cross_currency": "cast(payment_currency <> receiving_currency AS varchar)",
+    "self_transfer": "cast(from_key = to_key AS varchar)", "integer_amount": "cast(amount_paid = round(amount_paid) AS varchar)", "hour": "cast(hour(ts) AS varchar)", "minute": "cast(minute(ts) AS varchar)",
+}
+
+
+@query(
+    "SELECT category, value, n, n_pos, round(n_pos / n, 9) AS rate, round((n_pos / n) / (SELECT avg(is_laundering) FROM ledger), 6) AS lift FROM ("
+    + " UNION ALL ".join(f"SELECT '{k}' AS category, {v} AS value, count(*) AS n, cast(sum(is_laundering) AS bigint) AS n_pos FROM ledger GROUP BY 2" for k, v in _CATEGORIES.items())
+    + ") t",
+    LEDGER,
+)
 def a19_label_rates(spark, sf):
     return audit.label_rates(ledger.ledger(spark, sf))
 
@@ -401,9 +524,20 @@ def j18_daily_drift(spark, sf):
     return _rounded(fx.daily_drift(ledger.ledger(spark, sf)), 6)
 
 
-@query("SELECT right(from_account, 1) AS suffix, count(*) AS n, cast(sum(is_laundering) AS bigint) AS n_pos, round(sum(is_laundering) / count(*), 9) AS rate FROM ledger GROUP BY 1 HAVING count(*) >= 20 ORDER BY rate DESC, suffix LIMIT 5", LEDGER)
-def a27_o03_identifier_leakage(spark, sf):
-    return audit.identifier_leakage(ledger.ledger(spark, sf))
+_PARTS = {"last_character": "right(account, 1)", "length": "cast(length(account) AS varchar)", "prefix": "left(account, 2)", "bank": "bank", "entity_type": "entity_type"}
+
+
+@query(
+    """SELECT what, value, n, n_pos, rate, lift FROM (SELECT *, row_number() OVER (PARTITION BY what, n >= 20 ORDER BY lift DESC, value) AS place FROM (
+  SELECT what, value, count(*) AS n, cast(sum(y) AS bigint) AS n_pos, round(sum(y) / count(*), 9) AS rate, round((sum(y) / count(*)) / (SELECT avg(y) FROM own), 6) AS lift FROM ("""
+    + " UNION ALL ".join(f"SELECT '{k}' AS what, {v} AS value, y FROM own LEFT JOIN (SELECT bank_id, account_number, entity_type FROM accounts) k ON bank = bank_id AND account = account_number" for k, v in _PARTS.items())
+    + ") x GROUP BY 1, 2) r) q WHERE what NOT IN ('prefix', 'bank') OR (n >= 20 AND place <= 5)",
+    LEDGER + ", " + ACCOUNTS + """, own AS (SELECT coalesce(nullif(ltrim(bank, '0'), ''), '0') AS bank, account, y FROM (SELECT bank, account, max(is_laundering) AS y FROM (
+  SELECT from_bank AS bank, from_account AS account, is_laundering FROM ledger UNION ALL SELECT to_bank, to_account, is_laundering FROM ledger) t GROUP BY 1, 2) u)""",
+)
+def a27_o03_o04_identifier_leakage(spark, sf):
+    known = ledger.accounts(spark, sf).select(F.col("bank_id").alias("bank"), F.col("account_number").alias("account"), "entity_type")
+    return audit.identifier_leakage(audit.account_labels(ledger.ledger(spark, sf)), known)
 
 
 @query("SELECT cast(floor(row_id * 10 / ((SELECT max(row_id) FROM ledger) + 1)) AS int) AS decile, count(*) AS n, cast(sum(is_laundering) AS bigint) AS n_pos FROM ledger GROUP BY 1", LEDGER)
@@ -429,7 +563,7 @@ def a23_j04_pattern_coverage(spark, sf):
     return found.select(*[F.col(c).cast("long").alias(c) for c in found.columns])
 
 
-@query("SELECT CASE WHEN bank_name LIKE 'Crypto Bank #%' THEN 'crypto' WHEN regexp_matches(bank_name, '^.+ Bank #[0-9]+$') THEN 'country' ELSE 'domestic' END AS form, count(*) AS n, count(DISTINCT string_split(bank_name, ' ')[-1]) AS n_last_words FROM accounts GROUP BY 1", ACCOUNTS)
+@query("SELECT CASE WHEN bank_name LIKE 'Crytpo Bank #%' THEN 'crypto' WHEN regexp_matches(bank_name, '^.+ Bank #[0-9]+$') THEN 'country' ELSE 'domestic' END AS form, count(*) AS n, count(DISTINCT string_split(bank_name, ' ')[-1]) AS n_last_words FROM accounts GROUP BY 1", ACCOUNTS)
 def a38_bank_forms(spark, sf):
     return audit.bank_forms(ledger.accounts(spark, sf))
 
@@ -448,15 +582,32 @@ def m07_auc_ap(spark, sf):
 
 
 @query("SELECT lang, n, n_pos, round(w / (n_pos * (n - n_pos)), 9) AS auc FROM (SELECT lang, count(*) AS n, cast(sum(y) AS bigint) AS n_pos, sum(CASE WHEN y = 1 THEN r END) - sum(y) * (sum(y) + 1) / 2.0 AS w FROM (SELECT *, rank() OVER (PARTITION BY lang ORDER BY score) + (count(*) OVER (PARTITION BY lang, score) - 1) / 2.0 AS r FROM scored) t GROUP BY 1) q", SCORED)
-def m08_m19_auc_by_stratum(spark, sf):
+def m08_auc_by_group(spark, sf):
     return metrics.auc_ap(_scored(spark, sf), "score", "y", "lang").select("lang", "n", "n_pos", "auc")
 
 
-@query("SELECT score AS threshold, cast(20 * (all_pos - tp) + (flagged - tp) AS double) AS cost, cast(flagged AS bigint) AS n_flagged, cast(tp AS bigint) AS n_true FROM ranked ORDER BY cost, n_flagged LIMIT 1", BY_SCORE)
+@query(
+    """SELECT stratum, sum(p)::bigint AS n_pos, round(sum(p) / (SELECT sum(y) FROM s), 9) AS share, round(sum(auc * p) / sum(p) FILTER (auc IS NOT NULL), 9) AS auc
+FROM (SELECT stratum, a.fold AS fold, count(DISTINCT a.doc_id) AS p, avg(CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 WHEN b.score IS NOT NULL THEN 0 END) AS auc
+  FROM (SELECT doc_id, fold, score, unnest(strata) AS stratum FROM s WHERE y = 1) a LEFT JOIN s b ON a.fold = b.fold AND b.y = 0 GROUP BY 1, 2) t GROUP BY 1""",
+    "s AS (SELECT doc_id, lang AS fold, n_chars AS score, quality AS y, CASE WHEN n_chars % 3 = 0 THEN ['long' , 'third'] WHEN n_chars > 2000 THEN ['long'] ELSE ['short'] END AS strata FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL)",
+)
+def m19_strata_auc(spark, sf):
+    names = F.when(F.col("score") % 3 == 0, F.array(F.lit("long"), F.lit("third"))).when(F.col("score") > 2000, F.array(F.lit("long"))).otherwise(F.array(F.lit("short")))
+    return metrics.strata_auc(_scored(spark, sf).withColumns({"strata": names, "fold": F.col("lang")}))
+
+
+@query("SELECT threshold, cost, n_flagged, n_true FROM (SELECT cast(score AS double) AS threshold, cast(20 * (all_pos - tp) + (flagged - tp) AS double) AS cost, cast(flagged AS bigint) AS n_flagged, cast(tp AS bigint) AS n_true FROM ranked UNION ALL SELECT 'inf'::double, cast(20 * max(all_pos) AS double), 0, 0 FROM ranked) t ORDER BY cost, n_flagged LIMIT 1", BY_SCORE)
 def m10_cost_threshold(spark, sf):
     return metrics.cost_threshold(_scored(spark, sf), 20.0)
 
 
+@query("SELECT threshold, cost, n_flagged, n_true FROM (SELECT cast(score AS double) AS threshold, cast(0.5 * (all_pos - tp) + (flagged - tp) AS double) AS cost, cast(flagged AS bigint) AS n_flagged, cast(tp AS bigint) AS n_true FROM ranked UNION ALL SELECT 'inf'::double, cast(0.5 * max(all_pos) AS double), 0, 0 FROM ranked) t ORDER BY cost, n_flagged LIMIT 1", BY_SCORE.replace("n_chars AS score", "-n_chars AS score"))
+def m10_cost_threshold_flags_nothing(spark, sf):
+    """A score that ranks badly and cheap misses: flagging nothing may cost least."""
+    return metrics.cost_threshold(_scored(spark, sf).withColumn("score", -F.col("score")), 0.5)
+
+
 @query("SELECT round(max(tp / flagged), 9) AS precision FROM ranked WHERE tp >= 0.8 * all_pos", BY_SCORE)
 def m09_precision_at_recall(spark, sf):
     return metrics.precision_at_recall(_scored(spark, sf), 0.8)
@@ -474,13 +625,31 @@ def m09_brier(spark, sf):
 
 @query()
 def m11_m12_bootstrap(spark, sf):
-    return metrics.interval(metrics.bootstrap(_scored(spark, sf), "doc_id", 200))
+    return metrics.interval(metrics.bootstrap(_scored(spark, sf), "doc_id", 2000))
 
 
-@query()
-def m18_univariate_auc(spark, sf):
+_UNIVARIATE = [*stats.STATS, "n_rules_triggered"]
+
+
+def _alert_labels(spark, sf):
+    """Alerts with their 0/1 label; amounts are rounded, so that equal ones are equal whatever the order of their sums."""
     rows = labels.label_alerts(_alerts(spark, sf), _positive(spark, sf)).withColumn("y", F.col("is_true_positive").cast("int"))
-    return metrics.univariate_auc(rows, ["n_txn", "volume_usd", "n_distinct_senders"])
+    return rows.withColumns({c: F.round(c, 2) for c in stats.STATS if c.endswith("usd")})
+
+
+_LONG = " UNION ALL ".join(f"SELECT '{c}' AS feature, round({c}, 2)::double AS score, y FROM labelled" for c in _UNIVARIATE)
+_LABELLED_SQL = FIRED + ", " + _POSITIVE + ", labelled AS (SELECT a.*, (n_laundering_txns IS NOT NULL)::int AS y FROM alerts a LEFT JOIN positive p USING (account_key, window_start) WHERE n_rules_triggered > 0)"
+_AUC_SQL = "(sum(CASE WHEN y = 1 THEN r END) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y)))"
+
+
+@query(
+    f"""SELECT feature, n, n_pos, greatest(auc, round(1 - auc, 9)) AS auc, CASE WHEN auc >= 0.5 THEN 1 ELSE -1 END AS orientation FROM (SELECT feature, count(*) AS n, sum(y)::bigint AS n_pos, round({_AUC_SQL}, 9) AS auc
+FROM (SELECT *, rank() OVER (PARTITION BY feature ORDER BY score) + (count(*) OVER (PARTITION BY feature, score) - 1) / 2.0 AS r FROM ({_LONG}) x) y GROUP BY 1) z""",
+    _LABELLED_SQL,
+)
+def m18_univariate_auc(spark, sf):
+    found = metrics.univariate_auc(_alert_labels(spark, sf), _UNIVARIATE)
+    return found.withColumn("auc", F.round("auc", 9))
 
 
 @query("SELECT account_key, window_start, cast(n_rules_triggered AS double) AS score FROM alerts WHERE n_rules_triggered > 0", FIRED)
@@ -488,23 +657,50 @@ def m01_rule_count(spark, sf):
     return models.rule_count(_alerts(spark, sf)).select("account_key", "window_start", "score")
 
 
-@query()
+_FLAGS = {f"f{i + 1}": rule for i, rule in enumerate(stats.RULES)}
+_WEIGHTS = " + ".join(f"CASE WHEN {f} THEN (SELECT ln((coalesce(sum(y) FILTER ({f}), 0) + 1) / (count(*) FILTER ({f}) + 2)) - ln((sum(y) + 1) / (count(*) + 2)) FROM labelled) ELSE 0 END" for f in _FLAGS)
+
+
+@query(f"SELECT account_key, window_start, round({_WEIGHTS}, 6) + 0 AS score FROM labelled", _LABELLED_SQL.replace("(n_laundering_txns IS NOT NULL)::int", "(n_laundering_txns IS NOT NULL)::double"))
 def m02_rule_weights(spark, sf):
     rows = labels.label_alerts(_alerts(spark, sf), _positive(spark, sf)).withColumn("y", F.col("is_true_positive").cast("int"))
-    return models.weighted_score(rows, models.rule_weights(rows)).select("account_key", "window_start", F.round("score", 9).alias("score"))
+    return models.weighted_score(rows, models.rule_weights(rows)).select("account_key", "window_start", (F.round("score", 6) + 0.0).alias("score"))
+
+
+_MODEL_FEATURES = list(stats.STATS)
+
+
+def _model_rows(spark, sf):
+    return _alert_labels(spark, sf).withColumns({c: F.col(c).cast("double") for c in _MODEL_FEATURES}).withColumn("fold", ledger.period_of("window_start"))
 
 
 @query()
 def m03_logistic(spark, sf):
-    rows = labels.label_alerts(_alerts(spark, sf), _positive(spark, sf)).withColumn("y", F.col("is_true_positive").cast("int")).withColumns({c: F.col(c).cast("double") for c in ("n_txn", "volume_usd", "n_cross_currency")})
-    ready, names = models.standardised(rows, rows, ["n_txn", "volume_usd", "n_cross_currency"])
-    return models.positive_score(models.fit_model("logistic", ready, names), ready).select("account_key", "window_start", "score", "y")
+    rows = lineage.written(_model_rows(spark, sf), "model-rows")
+    ready, names = models.standardised(rows.filter("fold = 'TRAIN'"), rows, _MODEL_FEATURES)
+    return models.positive_score(models.fit_model("logistic", ready.filter("fold = 'TRAIN'"), names), ready).select("account_key", "window_start", "score", "y")
 
 
 @query()
 def m04_boosted_trees(spark, sf):
-    rows = labels.label_alerts(_alerts(spark, sf), _positive(spark, sf)).withColumn("y", F.col("is_true_positive").cast("int")).withColumns({c: F.col(c).cast("double") for c in ("n_txn", "volume_usd", "n_cross_currency")})
-    return models.positive_score(models.fit_model("trees", rows, ["n_txn", "volume_usd", "n_cross_currency"], maxIter=5), rows).select("account_key", "window_start", "score", "y")
+    """Trees learned from TRAIN, their number chosen by average precision on the later VALIDATION days, all alerts scored."""
+    rows = lineage.written(_model_rows(spark, sf), "model-rows")
+    model = models.boosted_with_early_stopping(rows.filter("fold = 'TRAIN'"), rows.filter("fold = 'VALIDATION'"), _MODEL_FEATURES)
+    return models.positive_score(model, rows).select("account_key", "window_start", "score", "y")
+
+
+@query()
+def m05_diagnostic_trees(spark, sf):
+    rows = lineage.written(_model_rows(spark, sf), "model-rows")
+    return models.positive_score(models.fit_model("trees", rows.filter("fold = 'TRAIN'"), _MODEL_FEATURES), rows).select("account_key", "window_start", "score", "y")
+
+
+@query()
+def m06_shallow_trees(spark, sf):
+    """Trees of depth 1 and 3 over one-hot categories of a payment: their text and how they rank laundering."""
+    t = ledger.ledger(spark, sf).select(F.col("is_laundering").alias("y"), "payment_format", "payment_currency", "receiving_currency", F.log1p("amount_paid").alias("log_amount"), F.hour("ts").cast("double").alias("hour"))
+    ready, names = models.one_hot(lineage.written(t, "tree-rows"), ["payment_format", "payment_currency", "receiving_currency"])
+    return models.tree_summaries(ready, [*names, "log_amount", "hour"], [1, 3])
 
 
 # ---- hashes, profiles, dispositions, contracts (H, D13-D16, V)
@@ -521,17 +717,53 @@ def o05_hash_sample(spark, sf):
     return ledger.ledger(spark, sf).select("row_id", hashing.keyed_hex("sample", 0)(F.col("row_id").cast("string")).alias("h")).orderBy("h").limit(100)
 
 
+#: The fixture's own profile rules: its entity types are market segments.
+RULES_OF_PROFILES = profiles.ProfileRules(
+    sectors={"trade": (4, "low"), "services": (3, "medium"), "cash business": (1, "high")},
+    occupations={"employee": (5, "low"), "owner": (1, "high")},
+    individual_types=("HOUSEHOLD",),
+    public_types=("BUILDING",),
+    behaviours={"risky channel": "high_risk_channel_usd", "currencies": "n_cross_currency", "round amounts": "n_round_amounts", "volume": "volume_usd"},
+    archetypes={"risky channel": ("cash business",), "currencies": ("trade",), "round amounts": ("services",), "volume": ("trade", "services")},
+    planted_occupation="owner",
+)
+
+
+def _profile_inputs(spark, sf):
+    known = ledger.accounts(spark, sf).withColumn("account_key", F.concat(F.lpad("bank_id", 3, "0"), F.lit("|"), "account_number"))
+    first_day = F.col("window_start") == F.lit("2024-01-01").cast("timestamp_ntz")
+    volume = ledger.usd_legs(spark, sf).filter(first_day).groupBy("account_key").agg(F.sum("usd").alias("volume_usd"))
+    return profiles.account_attributes(known.select("account_key"), known.drop("account_key"), ledger.countries(spark, sf)), volume, _stats(spark, sf).filter(first_day)
+
+
 @query()
 def d13_d15_profiles(spark, sf):
-    known = ledger.accounts(spark, sf).withColumn("account_key", F.concat(F.lpad("bank_id", 3, "0"), F.lit("|"), "account_number"))
-    volume = ledger.usd_legs(spark, sf).groupBy("account_key").agg(F.sum("usd").alias("volume_usd"))
-    attributes = profiles.account_attributes(known.select("account_key"), known.drop("account_key"))
-    return profiles.risk_rating(profiles.base_profile(attributes, volume))
+    attributes, volume, day = _profile_inputs(spark, sf)
+    planted, _ = profiles.plant(profiles.base_profile(attributes, volume, RULES_OF_PROFILES), day, RULES_OF_PROFILES)
+    return profiles.risk_rating(planted, RULES_OF_PROFILES)
 
 
 @query()
+def d14_planting_record(spark, sf):
+    attributes, volume, day = _profile_inputs(spark, sf)
+    return profiles.plant(profiles.base_profile(attributes, volume, RULES_OF_PROFILES), day, RULES_OF_PROFILES)[1]
+
+
+_BEHAVIOURS = RULES_OF_PROFILES.behaviours
+
+
+def _behaviour_sql() -> str:
+    ranks = ", ".join(f"CASE WHEN {c} > 0 THEN {_percentile_sql(f'round({c}, 2)', 'window_start')} ELSE 0 END AS p{i}" for i, c in enumerate(_BEHAVIOURS.values()))
+    top = f"greatest({', '.join(f'p{i}' for i in range(len(_BEHAVIOURS)))})"
+    names = " ".join(f"WHEN p{i} = {top} THEN '{b}'" for i, b in enumerate(_BEHAVIOURS))
+    return f"SELECT account_key, window_start, CASE {names} END AS dominant_behaviour, {top}::double AS dominant_percentile FROM (SELECT account_key, window_start, {ranks} FROM stats) t"
+
+
+@query(_behaviour_sql(), STATS)
 def d14_w09_dominant_behaviour(spark, sf):
-    return profiles.dominant_behaviour(_stats(spark, sf), ["high_risk_channel_usd", "n_cross_currency", "n_round_amounts", "volume_usd"])
+    """Amounts are rounded first, as their last digits depend on the order in which they are summed."""
+    found = profiles.dominant_behaviour(_stats(spark, sf).withColumns({c: F.round(c, 2) for c in ("high_risk_channel_usd", "volume_usd")}), _BEHAVIOURS)
+    return found.withColumn("dominant_percentile", F.round("dominant_percentile", 6))
 
 
 @query()
@@ -547,14 +779,28 @@ def v02_v03_alert_contract(spark, sf):
     return bad.withColumn("n_repeated", F.lit(contracts.repeated(made, "alert_id").count()).cast("long"))
 
 
-@query("SELECT 0::bigint AS n_different")
+@query("SELECT * FROM (VALUES ('mutated outside', 0::bigint), ('recomputed alone', 0::bigint), ('stored', 0::bigint)) t(what, n_different)")
 def v05_point_in_time_check(spark, sf):
-    """Statistics of one day recomputed from the ledger without the other days."""
-    from datetime import datetime
+    """Statistics of every day: from that day's payments alone, with all other days' amounts changed, and as stored."""
+    keys = ["account_key", "window_start"]
+    t = lineage.written(ledger.with_usd(ledger.ledger(spark, sf)), "payments")
+    whole = lineage.written(stats.account_day_stats(ledger.legs(t)), "account-days")
+    days = [r["d"] for r in t.select(F.date_trunc("DAY", "ts").cast("timestamp_ntz").alias("d")).distinct().orderBy("d").collect()]  # a row a day
+    alone = stats.account_day_stats(ledger.legs(ledger.visible(t, days[-1] + timedelta(days=1), days[0])))
+    odd = F.dayofyear("ts") % 2 == 1
+    changed = [t.withColumns({c: F.when(odd if kept else ~odd, F.col(c)).otherwise(F.col(c) * 3 + 1) for c in ("usd_paid", "usd_received", "amount_paid", "amount_received")}) for kept in (True, False)]
+    mutated = [stats.account_day_stats(ledger.legs(x)).filter((F.dayofyear("window_start") % 2 == 1) == F.lit(kept)) for x, kept in zip(changed, (True, False))]
+    found = {"recomputed alone": alone, "mutated outside": mutated[0].unionByName(mutated[1]), "stored": whole}
+    counts = [contracts.differences(whole, other, keys, 1e-6).agg(F.lit(name).alias("what"), F.count(F.lit(1)).alias("n_different")) for name, other in found.items()]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
-    whole = _stats(spark, sf).filter(F.col("window_start") == F.lit("2024-01-10").cast("timestamp_ntz"))
-    alone = stats.account_day_stats(ledger.legs(ledger.with_usd(ledger.visible(ledger.ledger(spark, sf), datetime(2024, 1, 11), datetime(2024, 1, 10)))))
-    return contracts.differences(whole, alone, ["account_key", "window_start"], 1e-6).agg(F.count(F.lit(1)).alias("n_different"))
+
+@query("SELECT 0::bigint AS n_stats, 0::bigint AS n_rules")
+def v06_stored_integrity(spark, sf):
+    """Stored alerts against their recomputed statistics and rules."""
+    stored = lineage.written(_alerts(spark, sf), "alerts")
+    bad = contracts.stored_integrity(stored, stats.fire(_stats(spark, sf)), stats.STATS)
+    return bad
 
 
 @query()
@@ -604,17 +850,18 @@ def j22_a34_mode_share(spark, sf):
     return counts.groupBy(*pair).agg(F.max_by("r", F.struct("c", -F.col("r"))).alias("mode_ratio"), F.round(F.max("c") / F.sum("c"), 6).alias("share"))
 
 
-@query("SELECT account_key, entity_type, round((rank() OVER (PARTITION BY entity_type ORDER BY n) + (count(*) OVER (PARTITION BY entity_type, n) - 1) / 2.0) / count(*) OVER (PARTITION BY entity_type), 6) AS pct FROM (SELECT k.account_key, entity_type, count(l.row_id) AS n FROM known k LEFT JOIN legs l ON k.account_key = l.account_key GROUP BY 1, 2) t", LEGS + ", " + ACCOUNTS + ", " + _KYC)
+@query(f"SELECT account_key, entity_type, {_percentile_sql('n', 'entity_type')} AS pct FROM (SELECT k.account_key, entity_type, count(l.row_id) AS n FROM known k LEFT JOIN legs l ON k.account_key = l.account_key GROUP BY 1, 2) t", LEGS + ", " + ACCOUNTS + ", " + _KYC)
 def w02_rank_within_type(spark, sf):
     n = ledger.usd_legs(spark, sf).groupBy("account_key").agg(F.count(F.lit(1)).alias("legs"))
     rows = _known(spark, sf).join(n, "account_key", "left").withColumn("n", F.coalesce("legs", F.lit(0)))
-    return rows.select("account_key", "entity_type", F.round(features.average_rank("n", "entity_type") / F.count(F.lit(1)).over(Window.partitionBy("entity_type")), 6).alias("pct"))
+    return ranks.average_percentiles(rows, ["n"], ["account_key"], "entity_type").select("account_key", "entity_type", F.round("pct_n", 6).alias("pct"))
 
 
-@query("SELECT account_key, window_start, CASE WHEN n_cross_currency > 0 THEN round((rank() OVER (PARTITION BY window_start ORDER BY n_cross_currency) + (count(*) OVER (PARTITION BY window_start, n_cross_currency) - 1) / 2.0) / count(*) OVER (PARTITION BY window_start), 6) ELSE 0 END AS pct FROM stats", STATS)
+@query(f"SELECT account_key, window_start, CASE WHEN n_cross_currency > 0 THEN {_percentile_sql('n_cross_currency', 'window_start')} ELSE 0 END AS pct FROM stats", STATS)
 def w03_positive_percentile(spark, sf):
-    n = F.count(F.lit(1)).over(Window.partitionBy("window_start"))
-    return _stats(spark, sf).select("account_key", "window_start", F.when(F.col("n_cross_currency") > 0, F.round(features.average_rank("n_cross_currency", "window_start") / n, 6)).otherwise(0.0).alias("pct"))
+    keys, rows = ["account_key", "window_start"], _stats(spark, sf).select("account_key", "window_start", "n_cross_currency")
+    ranked = rows.join(ranks.average_percentiles(rows, ["n_cross_currency"], keys, "window_start"), keys)
+    return ranked.select(*keys, F.when(F.col("n_cross_currency") > 0, F.round("pct_n_cross_currency", 6)).otherwise(0.0).alias("pct"))
 
 
 @query(f"SELECT period, count(*) AS n, count(DISTINCT k) AS n_accounts, count(DISTINCT k) FILTER (k IN (SELECT from_key FROM ledger WHERE ({PERIOD}) = 'TRAIN')) AS n_seen FROM (SELECT from_key AS k, {PERIOD} AS period FROM ledger) t GROUP BY 1", LEDGER)
@@ -638,18 +885,37 @@ def a37_disposition_audit(spark, sf):
 
 
 @query("SELECT cast(lang AS varchar) AS lang, count(*) AS n, cast(sum(y) AS bigint) AS n_pos FROM scored GROUP BY 1", SCORED)
-def a30_counts_by_group(spark, sf):
+def a18_counts_by_language(spark, sf):
     return _scored(spark, sf).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("y").cast("long").alias("n_pos"))
 
 
-@query()
-def m13_m14_group_gain(spark, sf):
+@query(
+    f"""SELECT fold, n, n_pos, auc_base, ap_base, auc_score, ap_score, round((ap_score - ap_base) / (n_pos / n), 6) AS gain FROM (SELECT b.fold, b.n, b.n_pos, b.auc AS auc_base, b.ap AS ap_base, s.auc AS auc_score, s.ap AS ap_score FROM m b JOIN m s ON b.fold = s.fold AND b.what = 'base' AND s.what = 'score') t""",
+    _LABELLED_SQL + f""", folded AS (SELECT *, {PERIOD.replace('ts ', 'window_start ')} AS fold FROM labelled),
+long AS (SELECT fold, y, 'base' AS what, n_rules_triggered::double AS v FROM folded UNION ALL SELECT fold, y, 'score', round(volume_usd, 2) FROM folded),
+g AS (SELECT fold, what, v, sum(y)::bigint AS pos, count(*) AS c FROM long GROUP BY 1, 2, 3),
+r AS (SELECT *, sum(pos) OVER d AS tp, sum(c) OVER d AS flagged, sum(pos) OVER w AS all_pos, sum(c) OVER w AS all_n FROM g WINDOW d AS (PARTITION BY fold, what ORDER BY v DESC), w AS (PARTITION BY fold, what)),
+m AS (SELECT fold, what, max(all_n)::bigint AS n, max(all_pos)::bigint AS n_pos, round(sum((c - pos) * (tp - pos + pos / 2.0)) / nullif(max(all_pos) * (max(all_n) - max(all_pos)), 0), 9) AS auc, round(sum(pos * tp / flagged) / nullif(max(all_pos), 0), 9) AS ap FROM r GROUP BY 1, 2)""",
+)
+def m13_group_gain(spark, sf):
     from ledgerloom.operators import evaluation
 
-    rows = labels.label_alerts(_alerts(spark, sf), _positive(spark, sf)).select(F.col("is_true_positive").cast("int").alias("y"), F.col("n_rules_triggered").cast("double").alias("base"), F.col("volume_usd").alias("score"), ledger.period_of("window_start").alias("fold"))
+    rows = _alert_labels(spark, sf).select("y", F.col("n_rules_triggered").cast("double").alias("base"), F.col("volume_usd").alias("score"), ledger.period_of("window_start").alias("fold"))
     return evaluation.group_gain(rows, "base", "score", "fold")
 
 
+@query()
+def m14_identity_guard(spark, sf):
+    """Whether the volume recognises accounts: two later periods against the accounts of TRAIN."""
+    from ledgerloom.operators import evaluation
+
+    rows = _model_rows(spark, sf)
+    seen = evaluation.seen_arms(rows.filter("fold = 'TRAIN'"), rows.filter("fold IN ('VALIDATION', 'CALIBRATION')"))
+    best = seen.groupBy("fold", "account_key").agg(F.max("y").alias("y"), F.max("seen").alias("seen"), F.max("n_rules_triggered").cast("double").alias("base"), F.max("volume_usd").alias("score"))
+    found = evaluation.identity_guard(best, "base", "score", least_positive=(1, 1))
+    return spark.createDataFrame([(found["verdict"], found["cleared"], found["seen"]["n_positive"], found["unseen"]["n_positive"])], "verdict string, cleared boolean, n_seen long, n_unseen long")
+
+
 @query()
 def m16_permutation_null(spark, sf):
     from ledgerloom.operators import evaluation
@@ -729,7 +995,7 @@ def m26_alert_lift(spark, sf):
 @query()
 def m21_paired_gain(spark, sf):
     rows = _labelled(spark, sf).select("fold", "key", "y", F.col("volume_usd").alias("a"), F.col("n_rules_triggered").cast("double").alias("b")).filter("fold IN ('VALIDATION', 'CALIBRATION')")
-    return selection.paired_gain(rows, "a", "b", "fold", "key", replicates=100)
+    return selection.paired_gain(rows, "a", "b", "fold", "key", replicates=2000)
 
 
 @query()
@@ -753,10 +1019,152 @@ def m22_permutation_importance(spark, sf):
 @query()
 def m23_leakage_ceilings(spark, sf):
     rows = _labelled(spark, sf).select("key", "y", F.col("n_rules_triggered").cast("double").alias("rules"), "volume_usd", F.col("n_txn").cast("double").alias("n_txn"))
-    return selection.ceilings(rows, {"volume_only": ("volume_usd", None, 3.0), "volume_over_rules": ("volume_usd", "rules", 1.0)}, "key", 100, least_positive=1)
+    return selection.ceilings(rows, {"volume_only": ("volume_usd", None, 3.0), "volume_over_rules": ("volume_usd", "rules", 1.0)}, "key", 2000, least_positive=1)
 
 
 @query()
 def m26_ablation(spark, sf):
-    rows = _labelled(spark, sf).withColumns({c: F.col(c).cast("double") for c in ("n_txn", "volume_usd", "n_distinct_senders")})
-    return selection.ablation(rows.filter("fold = 'TRAIN'"), rows.filter("fold = 'VALIDATION'"), {"size": ["n_txn"], "size and volume": ["n_txn", "volume_usd"]}, kind="logistic")
+    rows = _model_rows(spark, sf)
+    sets = {"amounts": ["max_txn_usd", "volume_usd", "pass_through_usd", "high_risk_channel_usd"], "counts": ["n_txn", "n_distinct_senders", "n_distinct_receivers"], "flags": ["n_near_threshold", "n_cross_currency", "n_round_amounts"], "all": _MODEL_FEATURES}
+    return selection.ablation(rows.filter("fold = 'TRAIN'"), rows.filter("fold = 'VALIDATION'"), sets, kind="logistic")
+
+
+# ---- calibration, rule evaluation, guards and the rest of the audits
+
+_TRAIN = "window_start >= TIMESTAMP '2024-01-02' AND window_start < TIMESTAMP '2024-01-14'"
+_CALIBRATION = {"least_precision": 0.01, "least_true": 2, "band": (0.0, 1.0), "most_recall": 1.01, "too_strong": (1.0, 1.0), "least_rules": 1}
+
+
+def _train_stats(spark, sf):
+    """TRAIN account-days with their label; amounts are rounded to cents."""
+    days = _stats(spark, sf).filter(F.expr(_TRAIN.replace("TIMESTAMP", "timestamp_ntz"))).withColumns({c: F.round(c, 2) for c in stats.STATS if c.endswith("usd")})
+    hit = _positive(spark, sf).select("account_key", "window_start", F.lit(True).alias("hit"))
+    return lineage.written(days.join(hit, ["account_key", "window_start"], "left").withColumn("is_pos", F.coalesce("hit", F.lit(False))).drop("hit"), "train-days")
+
+
+_RULE_ROWS = " UNION ALL ".join(f"SELECT '{rule}' AS rule, {floor}::double AS fl, round({c}, 2)::double AS v, is_pos FROM train" for rule, (c, floor) in stats.RULES.items())
+
+
+@query(
+    f"""SELECT rule, tau, threshold, n_alerts, n_true FROM (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY tau) AS place FROM (
+  SELECT l.rule, q.tau, q.threshold, count(*) FILTER (v > 0 AND v >= threshold) AS n_alerts, count(*) FILTER (v > 0 AND v >= threshold AND is_pos) AS n_true
+  FROM long l JOIN (SELECT rule, tau, greatest(max(v), max(fl)) AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY rule, tau ORDER BY v) AS r, count(*) OVER (PARTITION BY rule, tau) AS n
+    FROM long, (SELECT unnest([{', '.join(f'{t}::double' for t in _GRID_TAUS)}]) AS tau) g) x WHERE r = ceil(tau * (n - 1)) + 1 GROUP BY 1, 2) q ON l.rule = q.rule GROUP BY 1, 2, 3) c
+  WHERE n_alerts > 0 AND n_true >= 2 AND n_true / n_alerts >= 0.01) p WHERE place = 1""",
+    STATS + ", " + _POSITIVE + f""", train AS (SELECT s.*, p.account_key IS NOT NULL AS is_pos FROM stats s LEFT JOIN positive p USING (account_key, window_start) WHERE {_TRAIN}),
+long AS ({_RULE_ROWS})""",
+)
+def d07_calibrated_thresholds(spark, sf):
+    """Each rule's loosest threshold that is good enough alone on TRAIN; rules without one are dropped."""
+    days = _train_stats(spark, sf)
+    found = stats.calibrate(days, _GRID_TAUS, n_positive=days.filter("is_pos").count(), **_CALIBRATION)
+    rows = [(r, t, found["thresholds"][r], *found["measured"][r]) for r, t in found["taus"].items()]
+    return spark.createDataFrame(rows, "rule string, tau double, threshold double, n_alerts long, n_true long")
+
+
+@query()
+def d03_calibrated_alerts(spark, sf):
+    """All days, fired with the thresholds that TRAIN gave."""
+    days = _train_stats(spark, sf)
+    found = stats.calibrate(days, _GRID_TAUS, n_positive=days.filter("is_pos").count(), **_CALIBRATION)
+    return stats.fire(_stats(spark, sf), found["thresholds"]).filter("n_rules_triggered > 0").select("account_key", "window_start", "n_rules_triggered", F.array_join("triggered_rules", ",").alias("rules"))
+
+
+def _fired_and_labelled(spark, sf):
+    hit = _positive(spark, sf).select("account_key", "window_start", F.lit(True).alias("hit"))
+    return _fired(spark, sf).join(hit, ["account_key", "window_start"], "left").withColumn("is_pos", F.coalesce("hit", F.lit(False)))
+
+
+_RULE_CELLS = " UNION ALL ".join(f"SELECT '{rule}' AS rule, f{i + 1} AS o, n_rules_triggered AS k, is_pos FROM f" for i, rule in enumerate(stats.RULES)) + " UNION ALL SELECT 'ALL', n_rules_triggered > 0, n_rules_triggered, is_pos FROM f"
+
+
+@query(
+    f"""SELECT rule, count(*) FILTER (o) AS n_alerts, count(*) FILTER (o AND is_pos) AS n_true, round(count(*) FILTER (o AND is_pos) / nullif(count(*) FILTER (o), 0), 9) AS precision,
+  round(count(*) FILTER (o AND is_pos) / (SELECT count(*) FROM positive), 9) AS recall, count(*) FILTER (o AND k = 1) AS n_only, count(*) FILTER (o AND k = 1 AND is_pos) AS n_true_only FROM ({_RULE_CELLS}) c GROUP BY 1""",
+    FIRED + ", " + _POSITIVE + ", f AS (SELECT a.*, p.account_key IS NOT NULL AS is_pos FROM alerts a LEFT JOIN positive p USING (account_key, window_start))",
+)
+def a29_rule_evaluation(spark, sf):
+    return stats.rule_evaluation(_fired_and_labelled(spark, sf), _positive(spark, sf).count())
+
+
+@query("SELECT n_rules_triggered::bigint AS n_rules_triggered, count(*) AS n FROM alerts WHERE n_rules_triggered > 0 GROUP BY 1", FIRED)
+def a29_rules_histogram(spark, sf):
+    return stats.rules_histogram(_fired(spark, sf))
+
+
+_TYPOLOGY = "CASE attempt_id % 3 WHEN 0 THEN 'CYCLE' WHEN 1 THEN 'FAN-IN' ELSE 'STACK' END"
+
+
+@query(
+    f"""SELECT {_TYPOLOGY} AS typology, count(*) AS n_attempts, sum(n)::bigint AS n_txns, median(n) AS median_txns, max(n) AS most_txns, median(a) AS median_accounts, max(a) AS most_accounts, round(median(h), 6) AS median_hours,
+  round(quantile_cont(h, 0.9), 6) AS p90_hours, round(quantile_cont(h, 0.99), 6) AS p99_hours, max(h) AS most_hours, count(*) FILTER (e >= TIMESTAMP '2024-01-20') AS n_past_span
+FROM (SELECT attempt_id, count(*) AS n, max(ts) AS e, round(date_diff('second', min(ts), max(ts)) / 3600.0, 6) AS h FROM ledger WHERE attempt_id IS NOT NULL GROUP BY 1) t
+JOIN (SELECT attempt_id, count(DISTINCT k) AS a FROM (SELECT attempt_id, from_key AS k FROM ledger UNION ALL SELECT attempt_id, to_key FROM ledger) x GROUP BY 1) u USING (attempt_id) GROUP BY 1""",
+    LEDGER,
+)
+def a24_typologies(spark, sf):
+    t = ledger.ledger(spark, sf)
+    kinds = t.filter("attempt_id IS NOT NULL").select("attempt_id").distinct().withColumn("typology", F.expr(_TYPOLOGY))
+    return _rounded(audit.typology_audit(audit.attempts(t, kinds), "2024-01-20"), 6)
+
+
+@query(f"SELECT n_folds, count(*) AS n_accounts, sum(y)::bigint AS n_positive FROM (SELECT k, count(DISTINCT p) AS n_folds, max(is_laundering) AS y FROM (SELECT from_key AS k, {PERIOD} AS p, is_laundering FROM ledger) t GROUP BY 1) u GROUP BY 1", LEDGER)
+def a36_recurrence(spark, sf):
+    rows = ledger.refuse_outside(ledger.ledger(spark, sf)).select(F.col("from_key").alias("account_key"), F.col("period").alias("fold"), F.col("is_laundering").alias("y"))
+    return labels.recurrence(rows)
+
+
+@query("SELECT account_key, window_start, is_pos_share, CASE WHEN is_pos_share < 0.25 THEN '[0,0.25)' WHEN is_pos_share < 0.5 THEN '[0.25,0.5)' ELSE '[0.5,1)' END AS bin, max_leg_launders FROM (SELECT account_key, window_start, round(coalesce(sum(usd) FILTER (is_laundering = 1), 0) / sum(usd), 6) AS is_pos_share, bool_or(is_laundering = 1 AND usd = m) AS max_leg_launders FROM (SELECT *, max(usd) OVER (PARTITION BY account_key, window_start) AS m FROM legs) x GROUP BY 1, 2 HAVING sum(usd) > 0) t", LEGS)
+def a33_f21_involvement(spark, sf):
+    found = labels.involvement(ledger.usd_legs(spark, sf)).filter("volume_usd > 0")
+    shared = found.select("account_key", "window_start", F.round("laundering_share", 6).alias("is_pos_share"), "max_leg_launders")
+    return shared.withColumn("bin", labels.share_bin("is_pos_share", [0.0, 0.25, 0.5, 1.0]))
+
+
+@query("SELECT from_group, to_group, count(*) AS n FROM (SELECT CASE WHEN row_id % 2 = 0 THEN 'a' ELSE 'b' END AS from_group, CASE WHEN row_id % 3 = 0 THEN 'a' ELSE 'b' END AS to_group FROM ledger) t WHERE from_group <> to_group GROUP BY 1, 2", LEDGER)
+def j20_moved_alerts(spark, sf):
+    t = ledger.ledger(spark, sf)
+    halves = [t.select(F.col("row_id").alias("alert_id"), F.when(F.col("row_id") % n == 0, "a").otherwise("b").alias("agent_group")) for n in (2, 3)]
+    return labels.moved_alerts(*halves)
+
+
+@query(f"SELECT row_id FROM ledger WHERE ({PERIOD}) = 'TEST'", LEDGER)
+def p12_one_period(spark, sf):
+    rows = ledger.refuse_outside(ledger.ledger(spark, sf)).filter("period = 'TEST'")
+    return ledger.require_period(rows, "TEST").select("row_id")
+
+
+@query("SELECT row_id, amount_paid AS amount, payment_currency AS currency, NULL AS note FROM ledger WHERE row_id % 2 = 0 UNION ALL SELECT row_id, cast(row_id AS double), NULL, 'row' FROM ledger WHERE row_id % 2 = 1", LEDGER)
+def u06_relaxed_union(spark, sf):
+    from ledgerloom.sources import tables
+
+    t = ledger.ledger(spark, sf)
+    first = t.filter("row_id % 2 = 0").select("row_id", F.col("amount_paid").alias("amount"), F.col("payment_currency").alias("currency"))
+    return tables.relaxed_union(first, t.filter("row_id % 2 = 1").select("row_id", F.col("row_id").cast("int").alias("amount"), F.lit("row").alias("note")))
+
+
+@query()
+def m17_recognition_probe(spark, sf):
+    """Rule weights learned with all rows, without the rows of evaluated accounts, and without as many others."""
+    from ledgerloom.operators import evaluation
+
+    rows = _labelled(spark, sf)
+
+    def build(part):
+        weights = models.rule_weights(part)
+        return lambda table: models.weighted_score(table, weights)
+
+    columns = ["account_key", "window_start", "y", *[f"fired_{r}" for r in _RULES]]
+    train = rows.filter("fold = 'TRAIN'").select(*columns)
+    folds = [(name, train, rows.filter(F.col("fold") == name).select(*columns)) for name in ("VALIDATION", "CALIBRATION")]
+    return evaluation.recognition_probe(folds, build)
+
+
+@query(
+    "SELECT account_key, window_start, round((w - p * (p + 1) / 2.0) / (p * (n - p)), 9) AS auc FROM (SELECT account_key, window_start, count(*) AS n, sum(is_laundering) AS p, sum(CASE WHEN is_laundering = 1 THEN r END) AS w FROM (SELECT *, rank() OVER (PARTITION BY account_key, window_start ORDER BY round(usd, 2)) + (count(*) OVER (PARTITION BY account_key, window_start, round(usd, 2)) - 1) / 2.0 AS r FROM legs) x GROUP BY 1, 2) t WHERE p > 0 AND p < n",
+    LEGS,
+)
+def m20_within_alert_auc(spark, sf):
+    legs = ledger.usd_legs(spark, sf).select(F.concat_ws("#", "account_key", F.col("window_start").cast("string")).alias("alert_id"), "account_key", "window_start", F.round("usd", 2).alias("score"), F.col("is_laundering").alias("y"))
+    keys = legs.select("alert_id", "account_key", "window_start").distinct()
+    return metrics.within_alert_auc(legs).join(keys, "alert_id").select("account_key", "window_start", "auc")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import hashing
-from ledgerloom.operators import contracts, features, fx, graph, labels, ledger, metrics, models, profiles, stats
+from ledgerloom.operators import contracts, features, fx, graph, labels, ledger, metrics, models, profiles, ranks, stats
 from ledgerloom.sources import tables
 from ledgerloom.streaming import daily
 
@@ -78,6 +78,14 @@ def test_unknown_currency_fails(spark, bad):
         ledger.with_usd(df).collect()
 
 
+def test_one_period_is_required(spark):
+    rows = spark.createDataFrame([(1, "TEST"), (2, "TEST"), (3, "TRAIN"), (4, None)], "id int, period string")
+    assert ledger.require_period(rows.filter("id < 3"), "TEST").count() == 2
+    for bad, found in ((3, "TRAIN"), (4, "no period")):
+        with pytest.raises(Exception, match=f"a row of {found}"):
+            ledger.require_period(rows.filter(f"id = {bad}"), "TEST").collect()
+
+
 def test_row_outside_the_periods_fails(spark):
     df = spark.createDataFrame([(datetime(2025, 1, 1),)], "ts timestamp_ntz")
     with pytest.raises(Exception, match="no period"):
@@ -98,12 +106,65 @@ def test_quantiles_and_calibration(spark):
     df = spark.createDataFrame([(float(v),) for v in values], "n_txn double")
     for row in stats.higher_quantiles(df, ["n_txn"], [0.0, 0.5, 0.93, 1.0]).collect():
         assert row["threshold"] == sorted(values)[stats.rank_of(row["tau"], len(values)) - 1]
-    df = stats.account_day_stats(ledger.legs(ledger.with_usd(make(spark, random_rows(5, 600, 40)))))
-    n = df.count()
-    tau, limits = stats.calibrate(df, [0.5, 0.9, 0.99, 1.0], (1, n))
-    assert tau == 0.5 and set(limits) == set(stats.RULES)
-    with pytest.raises(ValueError):
-        stats.calibrate(df, [0.5], (n + 1, n + 2))
+    peers = {r["peer_group"]: (r["n_rows"], r["threshold"]) for r in stats.peer_thresholds(df.withColumn("peer", F.pmod(F.col("n_txn").cast("int"), F.lit(2)).cast("string")), "n_txn", 0.5, "peer", 60).collect()}
+    for group in ("0", "1"):
+        own = sorted(v for v in values if v % 2 == int(group))
+        pool = own if len(own) >= 60 else sorted(values)
+        assert peers[group] == (len(own), pool[stats.rank_of(0.5, len(pool)) - 1])
+
+
+def _plain_calibration(rows, taus, n_positive, method, least_precision, least_true, target, band, too_strong):
+    """The calibration by plain loops over dicts of statistics."""
+    def threshold(stat, floor, tau):
+        v = sorted(r[stat] for r in rows)
+        return max(floor, v[stats.rank_of(tau, len(v)) - 1])
+
+    grid = {(rule, t): threshold(stat, floor, t) for rule, (stat, floor) in stats.RULES.items() for t in taus}
+    hits = {(rule, t): [r["is_pos"] for r in rows if r[stats.RULES[rule][0]] > 0 and r[stats.RULES[rule][0]] >= grid[rule, t]] for rule, t in grid}
+    if method == "global":
+        def layer(t):
+            return [r["is_pos"] for r in rows if any(r[s] > 0 and r[s] >= grid[rule, t] for rule, (s, _) in stats.RULES.items())]
+
+        inside = [t for t in taus if layer(t) and band[0] <= sum(layer(t)) / len(layer(t)) <= band[1]]
+        chosen = dict.fromkeys(stats.RULES, min(inside, key=lambda t: (abs(np.log(sum(layer(t)) / len(layer(t)) / target)), -sum(layer(t)))))
+    else:
+        chosen = {}
+        for rule in stats.RULES:
+            for t in reversed(taus):
+                x = hits[rule, t]
+                if x and sum(x) / len(x) >= least_precision and sum(x) >= least_true:
+                    chosen[rule] = t
+                    break
+    for rule in list(chosen):
+        while rule in chosen and (x := hits[rule, chosen[rule]]) and sum(x) / len(x) > too_strong[0] and sum(x) / n_positive > too_strong[1]:
+            at = taus.index(chosen[rule]) + 1
+            if at == len(taus):
+                del chosen[rule]
+            else:
+                chosen[rule] = taus[at]
+    return chosen, {rule: grid[rule, t] for rule, t in chosen.items()}
+
+
+@pytest.mark.parametrize("method", ["global", "per_rule"])
+def test_calibration_equals_plain_loops(spark, method):
+    r = random.Random(6)
+    rows = []
+    for i in range(400):
+        y = r.random() < 0.15
+        rows.append({c: float(r.randrange(12) * (3 if y and c in ("max_txn_usd", "n_txn") else 1) * (2000 if c.endswith("usd") else 1)) for c in stats.STATS} | {"account_key": f"a{i}", "is_pos": y})
+    df = spark.createDataFrame([tuple(x.values()) for x in rows], ", ".join([*(f"{c} double" for c in stats.STATS), "account_key string", "is_pos boolean"]))
+    n_positive, taus = sum(x["is_pos"] for x in rows), [0.99, 0.95, 0.9, 0.5, 0.0]
+    args = {"least_precision": 0.15, "least_true": 3, "target": 0.2, "band": (0.01, 0.9), "too_strong": (0.5, 0.05)}
+    found = stats.calibrate(df, taus, n_positive=n_positive, method=method, most_recall=1.01, least_rules=1, **args)
+    chosen, limits = _plain_calibration(rows, taus, n_positive, method, **args)
+    assert found["taus"] == chosen and found["thresholds"] == limits and (method == "per_rule" or any(a["action"] == "loosen" for a in found["actions"]))
+    fired = [x for x in rows if any(x[stats.RULES[k][0]] > 0 and x[stats.RULES[k][0]] >= v for k, v in limits.items())]
+    assert (found["n_alerts"], found["n_true"]) == (len(fired), sum(x["is_pos"] for x in fired))
+    for bad in ({"least_rules": 10}, {"most_recall": 0.0}, {"band": (0.95, 1.0)}):
+        with pytest.raises(ValueError):
+            stats.calibrate(df, taus, n_positive=n_positive, method=method, **{**args, "most_recall": 1.01, "least_rules": 1, **bad})
+    with pytest.raises(ValueError, match="strict to loose"):
+        stats.calibrate(df, taus[::-1], n_positive=n_positive)
 
 
 def test_alert_ids_are_keyed_hashes(spark):
@@ -201,10 +262,13 @@ def test_metrics_equal_brute_force(spark):
     row = metrics.auc_ap(df).first()
     assert row["auc"] == pytest.approx(auc, abs=1e-8)
     s, y = np.array([x[0] for x in data]), np.array([x[1] for x in data], float)
-    assert metrics.weighted_auc_ap(s, y, np.ones(200)) == pytest.approx((row["auc"], row["ap"]), abs=1e-8)
-    costs = {t: (20 * sum(a < t for a in pos) + sum(b >= t for b in neg), sum(s >= t)) for t in set(s)}
-    best = metrics.cost_threshold(df, 20.0).first()
-    assert (best["cost"], best["n_flagged"]) == min(costs.values())
+    assert metrics.tied_auc_ap(s, y, np.ones(200)) == pytest.approx((row["auc"], row["ap"]), abs=1e-8)
+    for ratio in (20.0, 0.2):
+        costs = {t: (ratio * sum(a < t for a in pos) + sum(b >= t for b in neg), sum(s >= t)) for t in {*s, float("inf")}}
+        best = metrics.cost_threshold(df, ratio).first()
+        assert (best["cost"], best["n_flagged"]) == pytest.approx(min(costs.values()))
+    bad = metrics.cost_threshold(spark.createDataFrame([(0.9, 0), (0.8, 0), (0.7, 0), (0.1, 1)], "score double, y int"), 2.0).first()
+    assert tuple(bad) == (float("inf"), 2.0, 0, 0)
     one, two = metrics.bootstrap(df, "unit", 8).orderBy("replicate").collect(), metrics.bootstrap(df.repartition(3), "unit", 8).orderBy("replicate").collect()
     assert [x["replicate"] for x in one] == list(range(8)) and np.allclose([x["ap"] for x in one], [x["ap"] for x in two])
     assert metrics.permutation_p(1.0, [0.0] * 9) == 0.1
@@ -223,9 +287,131 @@ def test_hashes_and_draws(spark):
 def test_attributes_fail_for_an_unknown_account(spark):
     known = spark.createDataFrame([("1", "U1", "Chad Bank #3", "Corp")], "bank_id string, account_number string, bank_name string, entity_type string")
     keys = spark.createDataFrame([("001|U1",)], "account_key string")
-    assert profiles.account_attributes(keys, known).first()["bank_country"] == "Chad"
+    first = profiles.account_attributes(keys, known, ["Chad"]).first()
+    assert (first["bank_location"], first["bank_country"]) == ("Chad", "Chad")
     with pytest.raises(Exception, match="no account for"):
-        profiles.account_attributes(spark.createDataFrame([("001|U2",)], "account_key string"), known).collect()
+        profiles.account_attributes(spark.createDataFrame([("001|U2",)], "account_key string"), known, ["Chad"]).collect()
+    with pytest.raises(Exception, match="unknown place of a bank: Chad"):
+        profiles.account_attributes(keys, known, ["France"]).collect()
+    others = spark.createDataFrame([("1", "U1", "Crytpo Bank #77", "Corp"), ("1", "U3", "First Bank of Miami", "Corp")], "bank_id string, account_number string, bank_name string, entity_type string")
+    found = profiles.account_attributes(spark.createDataFrame([("001|U1",), ("01|U3",)], "account_key string"), others, ["Chad"]).orderBy("account_key").collect()
+    assert [(r["bank_location"], r["bank_country"]) for r in found] == [("Crytpo", "Crypto"), ("United States", "United States")]
+
+
+def test_flagged_counterparties_are_confirmed_and_closed(spark):
+    day = 1440
+    rows = [usd(day + 5, "1|a", "2|b", 1.0), usd(day + 6, "1|c", "1|a", 1.0), usd(day + 7, "1|a", "2|d", 1.0), usd(2 * day + 1, "1|a", "2|e", 1.0)]
+    legs = ledger.legs(ledger.with_usd(make(spark, rows)))
+    closed = [("2|b", "confirmed_suspicious", datetime(2024, 1, 11, 23)), ("1|c", "closed_legitimate", datetime(2024, 1, 10)), ("2|d", "confirmed_suspicious", datetime(2024, 1, 12)), ("2|e", "confirmed_suspicious", datetime(2024, 1, 1))]
+    given = spark.createDataFrame(closed, "account_key string, disposition string, closed_at timestamp_ntz")
+    for days, expected in ((1, {"2024-01-12": (3, 1), "2024-01-13": (1, 1)}), (2, {"2024-01-12": (3, 1), "2024-01-13": (4, 3), "2024-01-14": (1, 1)})):
+        found = profiles.flagged_counterparties(legs, given, days).filter("account_key = '1|a'").collect()
+        assert {f"{r['as_of']:%Y-%m-%d}": (r["n_counterparties"], r["n_flagged"]) for r in found} == expected
+
+
+def test_profiles_follow_their_rules(spark):
+    rules = profiles.ProfileRules(
+        sectors={"trade": (1, "low"), "cash": (1, "high")}, occupations={"clerk": (1, "low")}, individual_types=("Person",), public_types=("State",), band_noise=0.0, rating_noise=0.0,
+        behaviours={"volume": "volume_usd", "senders": "n_senders"}, archetypes={"volume": ("trade",), "senders": ("cash",)}, planted_occupation="dealer",
+    )
+    rules = profiles.ProfileRules(**{**rules.__dict__, "occupations": {"clerk": (1, "low"), "dealer": (0, "high")}})
+    kinds = ["Person", "Corp", "State"]
+    attributes = spark.createDataFrame([(f"a{i:03}", kinds[i % 3], "X", ["United States", "Crypto", "Chad"][i % 3 if i < 99 else 1]) for i in range(120)], "account_key string, entity_type string, bank_location string, bank_country string")
+    volume = spark.createDataFrame([(f"a{i:03}", float(i)) for i in range(90)], "account_key string, volume_usd double")
+    base = profiles.base_profile(attributes, volume, rules)
+    rows = {r["account_key"]: r for r in base.collect()}
+    assert len(rows) == 120 and all(2005 <= r["onboarding_year"] <= 2022 for r in rows.values())
+    for i in range(120):
+        r = rows[f"a{i:03}"]
+        assert r["sector_or_occupation"] in {"Person": ("clerk", "dealer"), "Corp": ("trade", "cash"), "State": (profiles.GOVERNMENT,)}[kinds[i % 3]]
+        assert r["country_risk"] == {"United States": "low", "Crypto": "high"}.get(r["bank_country"], r["country_risk"])
+        if i < 90:  # 30 of a type, ranked by volume
+            percentile = (i // 3 + 1) / 30
+            assert r["expected_activity_band"] == rules.bands[sum(percentile > c for c in rules.band_cuts)]
+    assert len({r["country_risk"] for r in rows.values() if r["bank_country"] == "Chad"}) == 1
+    day = spark.createDataFrame([(f"a{i:03}", datetime(2024, 1, 1), float(i), 0 if i % 2 else i) for i in range(60)], "account_key string, window_start timestamp_ntz, volume_usd double, n_senders int")
+    planted, record = profiles.plant(base, day, rules)
+    marks = {r["account_key"]: r for r in record.collect()}
+    assert {k for k, r in marks.items() if r["planted"]} == {f"a{i:03}" for i in (52, 54, 56, 57, 58, 59)} and len(marks) == 60
+    assert marks["a058"]["dominant_behaviour"] == "senders" and marks["a059"]["dominant_behaviour"] == "volume" and marks["a001"]["dominant_behaviour"] == "volume"
+    after = {r["account_key"]: r for r in planted.collect()}
+    assert after["a058"]["sector_or_occupation"] == "cash" and after["a057"]["sector_or_occupation"] == "dealer" and after["a056"]["sector_or_occupation"] == profiles.GOVERNMENT
+    assert after["a058"]["expected_activity_band"] in ("high", "very_high") and after["a001"] == rows["a001"]
+    for r in profiles.risk_rating(planted, rules).collect():
+        points = {"trade": 0, "cash": 2, "clerk": 0, "dealer": 2, profiles.GOVERNMENT: 0}[r["sector_or_occupation"]] + profiles.RISK_POINTS[r["country_risk"]] + (r["expected_activity_band"] == "very_high")
+        assert r["risk_points"] == points and r["customer_risk_rating"] == ("high" if points >= 3 else "medium" if points >= 2 else "low")
+
+
+def test_leg_features_known_answers(spark):
+    rows = [usd(0, "1|a", "2|b", 9500.0, "Wire"), usd(1, "1|a", "2|b", 9500.0), usd(2, "1|c", "1|a", 2000.0), usd(3, "2|b", "1|c", 9500.0), usd(1441, "1|a", "2|b", 7.0)]
+    legs = ledger.legs(ledger.with_usd(make(spark, rows)))
+    found = features.leg_features(legs, spark.createDataFrame([("1|a", datetime(2024, 1, 10))], "account_key string, window_start timestamp_ntz")).orderBy("row_id").collect()
+    assert [(r["row_id"], r["account_key"]) for r in found] == [(0, "1|a"), (1, "1|a"), (2, "1|a")] and len(features.leg_feature_names()) == 21
+    a, c = found[0], found[2]
+    assert (a["is_out"], a["cross_bank"], a["near_threshold"], a["round_amount"], a["leg_fmt_wire"], a["leg_fmt_ach"]) == (1.0, 1.0, 1.0, 0.0, 1.0, 0.0)
+    assert (c["is_out"], c["cross_bank"], c["near_threshold"], c["round_amount"]) == (0.0, 0.0, 0.0, 1.0)
+    assert a["share_of_account_volume"] == pytest.approx(9500 / 21000) and c["log10_ratio_to_account_median"] == pytest.approx(np.log10(2000 / 9500))
+    assert a["log10_account_n_legs"] == pytest.approx(np.log10(3)) and a["log10_cp_n_legs"] == pytest.approx(np.log10(3)) and a["log10_pair_n_txn"] == pytest.approx(np.log10(2)) and a["log10_same_amount_n"] == pytest.approx(np.log10(3))
+    assert a["log10_cp_out_deg"] == pytest.approx(np.log10(2)) and a["log10_cp_in_deg"] == pytest.approx(np.log10(2)) and c["log10_cp_in_deg"] == pytest.approx(np.log10(2))
+
+
+def test_cycles_equal_brute_force(spark):
+    r = random.Random(12)
+    pairs = {(f"n{r.randrange(14):02}", f"n{r.randrange(14):02}") for _ in range(70)} | {("hub", f"n{i:02}") for i in range(14)} | {(f"n{i:02}", "hub") for i in range(0, 14, 2)}
+    e = graph.edges(make(spark, [usd(0, a, b, 1.0) for a, b in pairs]))
+    real = {(a, b) for a, b in pairs if a != b}
+    expected = {}
+    for v, u in real:
+        for u2, w in real:
+            if u2 == u and w != v and (w, v) in real:
+                expected[v] = expected.get(v, 0) + 1
+    assert {x["account_key"]: x["cycles3"] for x in graph.cycles3(e).collect()} == expected
+    some = spark.createDataFrame([("hub", datetime(2024, 1, 10)), ("n03", datetime(2024, 1, 10))], "account_key string, window_start timestamp_ntz")
+    assert {x["account_key"]: x["cycles3"] for x in graph.cycles3(e, some).collect()} == {k: v for k, v in expected.items() if k in ("hub", "n03")}
+
+
+def test_ranks_equal_plain_python(spark):
+    r = random.Random(3)
+    data = [(i, r.choice("ab") if i % 9 else None, float(r.randrange(40)) if r.random() < 0.9 else None, r.randrange(5)) for i in range(500)] + [(1000 + i, "hot", 7.0, 1) for i in range(400)]
+    df = spark.createDataFrame(data, "id long, g string, v double, w long")
+    for down in (False, True):
+        for row in ranks.running(df, "v", {"upto": "w"}, "g", descending=down).collect():
+            def before(x):
+                if row["v"] is None or x is None:
+                    return row["v"] == x or ((x is None) != down if row["v"] is not None else down)
+                return x >= row["v"] if down else x <= row["v"]
+
+            same = [(v, w) for _, g, v, w in data if g == row["g"]]
+            assert row["upto"] == sum(w for v, w in same if before(v)) and row["all_upto"] == sum(w for _, w in same)
+    found = {x["id"]: x["pct_v"] for x in ranks.average_percentiles(df, ["v"], ["id"], "g").collect()}
+    for i, g, v, _ in data:
+        pool = [x for _, h, x, _ in data if h == g and x is not None]
+        if v is not None:
+            assert found[i] == pytest.approx((sum(x < v for x in pool) + (sum(x == v for x in pool) + 1) / 2) / len(pool))
+    spots = r.sample(range(10_000), 300)
+    rows = spark.createDataFrame([(p, p * 7 % 11) for p in spots], "p long, x long")
+    order = sorted(spots)
+    for step in (1, -1):
+        got = {x["p"]: x["near_x"] for x in ranks.with_neighbour(rows, "p", ["x"], step, 1, 64).collect()}
+        for at, p in enumerate(order):
+            other = at + step
+            assert got[p] == (order[other] * 7 % 11 if 0 <= other < len(order) else None)
+
+
+def test_split_counts_crossing_and_moves(spark):
+    members = spark.createDataFrame([("a", "t1"), ("b", "t1"), ("b", "t2"), ("c", "t2"), ("d", "t3")], "account_key string, member string")
+    whole = labels.entity_split(members, [("x", 1.0)])
+    assert {(r["node"], r["root"]) for r in whole.collect()} >= {("d", whole.filter("node = 'd'").first()["root"])} and whole.select("root").distinct().count() == 2
+    assert [tuple(r) for r in labels.group_counts(members, whole).collect()] == [("x", 2, 4, 3, 3)] and labels.crossing(members, whole).count() == 0
+    broken = spark.createDataFrame([("a", "r", "x"), ("b", "r", "x"), ("c", "r", "y"), ("d", "s", "y")], "node string, root string, agent_group string")
+    assert [r["member"] for r in labels.crossing(members, broken).collect()] == ["t2"]
+    before, after = (spark.createDataFrame(x, "alert_id string, agent_group string") for x in ([("1", "x"), ("2", "x"), ("3", "y")], [("1", "x"), ("2", "y"), ("4", "x")]))
+    assert [tuple(r) for r in labels.moved_alerts(before, after).collect()] == [("x", "y", 1)]
+    assert labels.choose_variant(["v1", "v2"], {"v1": {"enough": False}, "v2": {"enough": True}}) == "v2"
+    with pytest.raises(ValueError):
+        labels.choose_variant(["v1"], {"v1": {"enough": False}})
+    shares = spark.createDataFrame([(0.0,), (0.25,), (1.0,), (1.5,)], "s double").select(labels.share_bin("s", [0.0, 0.25, 1.0]).alias("b")).collect()
+    assert [r["b"] for r in shares] == ["[0,0.25)", "[0.25,1)", "[0.25,1)", None]
 
 
 def test_models_and_store(spark, tmp_path):
@@ -258,6 +444,29 @@ def test_csv_is_strict(spark, tmp_path):
         tables.read_transactions(spark, str(tmp_path / "bad.csv")).collect()
     assert tables.csv_profile(spark, str(good)).first()["n_fields"] == 11
     assert tables.file_profiles(spark, str(good)).first()["newlines"] == 3
+    files = {"plain": b"a\nb\n", "open": b"a\r\nb\r", "mark": b"\xef\xbb\xbfa\n", "bad": b"\xff\xfe\nx", "empty": b"", "ends": b"a\r\n\r\n", "long": b"".join(b"%d\r\n" % i for i in range(30_000))}
+    folder = tmp_path / "files"
+    folder.mkdir()
+    for name, raw in files.items():
+        (folder / name).write_bytes(raw)
+    for r in tables.file_profiles(spark, str(folder)).collect():
+        raw = files[r["path"].rsplit("/", 1)[1]]
+        assert (r["bytes"], r["sha256"], r["newlines"], r["crlf"], r["utf8"], r["bom"]) == (len(raw), hashlib.sha256(raw).hexdigest(), raw.count(b"\n"), raw.count(b"\r\n"), b"\xff" not in raw, raw.startswith(b"\xef\xbb\xbf"))
+    tables.verify_file(spark, str(good), good.stat().st_size, hashlib.sha256(good.read_bytes()).hexdigest())
+    with pytest.raises(ValueError, match="not the registered file"):
+        tables.verify_file(spark, str(good), good.stat().st_size, "0" * 64)
+    (tmp_path / "q.csv").write_text('a,"b,c",d\n"open,e\n')
+    assert {(r["n_fields"], r["n_open_quotes"]) for r in tables.csv_profile(spark, str(tmp_path / "q.csv")).collect()} == {(3, 0), (2, 1)}
+    assert tables.unique_names(["Account", "To", "Account"]) == ["Account", "To", "Account_2"]
+    two = tmp_path / "two"
+    two.mkdir()
+    (two / "a.csv").write_text(CSV + "\n" + LINE + "\n")
+    (two / "b.csv").write_text("other\n" + LINE + "\n")
+    with pytest.raises(ValueError, match="header"):
+        tables.read_transactions(spark, str(two), CSV.split(","))
+    (tmp_path / "acc.csv").write_text("Bank Name,Bank ID,Account Number,Entity ID,Entity Name\nChad Bank #1,012,U1,E1,Sole Proprietorship #12\nX,3,U2,E2,Someone\n")
+    accounts = tables.read_accounts(spark, str(tmp_path / "acc.csv"), ["Bank Name", "Bank ID", "Account Number", "Entity ID", "Entity Name"]).orderBy("row_id").collect()
+    assert [(r["row_id"], r["bank_id"], r["entity_type"]) for r in accounts] == [(0, "012", "Sole Proprietorship"), (1, "3", None)]
     assert tables.line_templates(spark, str(good)).first()["n"] == 2
 
 
@@ -265,7 +474,11 @@ def test_patterns(spark, tmp_path):
     f = tmp_path / "p.txt"
     f.write_text("\n".join(["BEGIN LAUNDERING ATTEMPT - CYCLE:  Max 3 hops", LINE, LINE, "END LAUNDERING ATTEMPT - CYCLE", "", "BEGIN LAUNDERING ATTEMPT - STACK", LINE, "END LAUNDERING ATTEMPT - STACK"]))
     rows = tables.read_patterns(spark, str(f)).orderBy("attempt_id", "txn_index").collect()
-    assert [(r["attempt_id"], r["typology"], r["typology_param"], r["txn_index"]) for r in rows] == [(1, "CYCLE", 3, 0), (1, "CYCLE", 3, 1), (2, "STACK", None, 0)]
+    assert [(r["attempt_id"], r["typology"], r["typology_param"], r["txn_index"]) for r in rows] == [(0, "CYCLE", 3, 0), (0, "CYCLE", 3, 1), (1, "STACK", None, 0)]
+    quoted = LINE.replace("US Dollar", '"US, Dollar"')
+    assert tables.parse_patterns(["BEGIN LAUNDERING ATTEMPT - STACK", quoted, "END LAUNDERING ATTEMPT - STACK"])[0][4][6] == "US, Dollar"
+    census = {(r["kind"], r["typology"], r["parameter"]): r["n"] for r in tables.block_census(spark, str(f)).collect()}
+    assert census == {("begin", "CYCLE", 3): 1, ("begin", "STACK", None): 1, ("end", "CYCLE", None): 1, ("end", "STACK", None): 1, ("payment", None, None): 3, ("blank", None, None): 1}
     begin, end = "BEGIN LAUNDERING ATTEMPT - CYCLE", "END LAUNDERING ATTEMPT - CYCLE"
     for bad in ([begin, begin], [end], [begin, LINE, "END LAUNDERING ATTEMPT - STACK"], [begin, end], [LINE], [begin, LINE], [begin, "a,b", end]):
         with pytest.raises(ValueError):
@@ -275,7 +488,12 @@ def test_patterns(spark, tmp_path):
 def test_catalog_refuses(spark, tmp_path):
     c = tables.Catalog(spark, str(tmp_path))
     c.write(spark.range(3), "runtime", "alerts")
-    assert c.scan("runtime", "alerts").count() == 3
+    assert c.scan("runtime", "alerts").count() == 3 and c.describe("runtime", "alerts")[1] == 3
+    c.write(spark.range(50).select(F.expr("id % 7 AS k"), "id").repartition(1), "runtime", "kyc", sort_by=["k", "id"])
+    stored = [(r["k"], r["id"]) for r in c.scan("runtime", "kyc").collect()]
+    assert stored == sorted(stored)
+    both = tables.relaxed_union(spark.createDataFrame([(1, "x")], "a int, b string"), spark.createDataFrame([(2.5, True)], "a double, c boolean"))
+    assert both.dtypes == [("a", "double"), ("b", "string"), ("c", "boolean")] and both.count() == 2
     for store, name in (("eval", "alert_labels"), ("runtime", "../eval"), ("runtime", "secret")):
         with pytest.raises(PermissionError):
             c.scan(store, name)
