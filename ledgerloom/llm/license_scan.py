@@ -1,14 +1,15 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A *block* is a run of ``block_words`` words; blocks start every ``block_words - overlap`` words, so any
-``overlap + 1`` consecutive words lie in one block.  A block meets a template if it holds at least
-``threshold`` of the template's distinct words (containment).  The join is exact: tokens are ordered by their
-frequency in the whole corpus, and prefix, length and positional filters only discard blocks that cannot meet the
-threshold.  The templates are a bounded parameter, so their index travels with the task and no text is shuffled.
-
-Edge cases: null and empty texts have no words, no places, null first and last word, empty labels and score 0;
-repeated rows each give their row; a null doc_id stays null; an empty table gives an empty result; other columns of
-the input are ignored, whatever their names.
+A *block* is a run of words, twice as long as the blocks' overlap; any ``overlap + 1`` consecutive words lie in one block.
+The overlap follows the template's length, so notices and whole licence texts of any length are templates.  A block meets a
+template if it holds at least ``threshold`` of the template's distinct words (containment).  The join is exact: tokens are
+ordered by their frequency in the whole corpus, and prefix, length and positional filters only discard blocks that cannot
+meet the threshold.  The templates are a bounded parameter, so their index travels with the task and no text is shuffled.
+
+Edge cases: null and empty texts have no words, no places, null first and last word, empty labels and score 0; very long
+texts are cut into blocks whole; a block that meets several templates gives all their labels, and the score is the largest
+containment; repeated rows each give their row; a null doc_id stays null; an empty table gives an empty result; other
+columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,7 +39,31 @@ NOTICES = {
     "apache-2.0": "licensed under the apache license version 2 0",
     "cc-by-nc-4.0": "licensed under cc by nc 4 0",
 }
-BLOCK_WORDS, OVERLAP, THRESHOLD = 64, 32, 0.8
+#: Whole licence texts (public wording), each under the label that its notice has too.
+LICENSES = {
+    "mit": (
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
+        "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so "
+        "subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is "
+        "without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors "
+        "or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or "
+        "other dealings in the software"
+    ),
+    "isc": (
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in "
+        "all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall "
+        "the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or "
+        "other tortious action arising out of or in connection with the use or performance of this software"
+    ),
+    "bsd": (
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above "
+        "copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer "
+        "in the documentation and or other materials provided with the distribution this software is provided by the copyright holders and contributors as is and any express or implied warranties "
+        "including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"
+    ),
+}
+#: The least overlap of blocks, and the step in which it grows with a template's length.
+OVERLAP, THRESHOLD = 32, 0.8
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 FOUND = "struct<label:string, template:string, exact:boolean, block_start:long, containment:double, places:array<long>>"
@@ -56,17 +81,23 @@ class Template:
     def distinct(self) -> frozenset[bytes]:
         return frozenset(self.words)
 
+    @property
+    def overlap(self) -> int:
+        """Overlap of the blocks that are compared with the template: at least its words, less one."""
+        return OVERLAP * max(1, -(-(len(self.words) - 1) // OVERLAP))
+
 
 def words_of(text: str) -> list[bytes]:
     """Words of a text whose A-Z are lower-cased; other characters stay as they are."""
     return WORD.findall(text.encode("utf-8").lower())
 
 
-def templates(base: dict[str, str] = BASE_PHRASES, notices: dict[str, str] = NOTICES) -> list[Template]:
+def templates(base: dict[str, str] = BASE_PHRASES, *notices: dict[str, str]) -> list[Template]:
+    """Phrases (text: label) and notices of any length (label: text); without notices, those of this module."""
     made = [Template(label, tuple(words_of(t)), True) for t, label in base.items()]
-    made += [Template(label, tuple(words_of(t)), False) for label, t in notices.items()]
-    if any(not t.words or len(t.words) > OVERLAP + 1 for t in made):
-        raise ValueError(f"a template has 1 to {OVERLAP + 1} words")
+    made += [Template(label, tuple(words_of(t)), False) for table in notices or (NOTICES, LICENSES) for label, t in table.items()]
+    if any(not t.words for t in made):
+        raise ValueError("a template has one word at least")
     return made
 
 
@@ -101,12 +132,12 @@ class TemplateIndex:
                 self.prefix.setdefault(order[rank], []).append((at, position))
         self.prefix_words = frozenset(self.prefix)
 
-    def matches(self, words: list[bytes], block_words: int = BLOCK_WORDS, overlap: int = OVERLAP) -> Iterator[tuple[int, int, float]]:
+    def matches(self, words: list[bytes], overlap: int = OVERLAP) -> Iterator[tuple[int, int, float]]:
         """(template, block start, containment) of every block that meets its template's threshold."""
         if self.prefix_words.isdisjoint(words):
             return
-        step = block_words - overlap
-        last_block = max(0, -(-(len(words) - block_words) // step)) if len(words) > block_words else 0
+        block_words, step = 2 * overlap, overlap
+        last_block = max(0, -(-(len(words) - block_words) // step))
         blocks: set[int] = set()
         for at, word in enumerate(words):
             if word in self.prefix_words:
@@ -150,8 +181,8 @@ def scan(docs: DataFrame, made: list[Template] | None = None, threshold: float =
     For an exact template, ``places`` are the starts (word numbers) at which the phrase stands in that block.
     """
     made = made or templates()
-    vocabulary = frozenset(w for t in made for w in t.words)
-    index = TemplateIndex(made, token_frequencies(docs, vocabulary, text_col), threshold)
+    frequency = token_frequencies(docs, frozenset(w for t in made for w in t.words), text_col)
+    indexes = [(overlap, TemplateIndex([t for t in made if t.overlap == overlap], frequency, threshold)) for overlap in sorted({t.overlap for t in made})]
 
     def run(part: pa.RecordBatch) -> tuple[list, list]:
         n_words, found = [], []
@@ -159,10 +190,11 @@ def scan(docs: DataFrame, made: list[Template] | None = None, threshold: float =
             words = words_of(text)
             n_words.append(len(words))
             rows = []
-            for at, start, share in index.matches(words):
-                t = made[at]
-                places = places_of(words, t.words, start, start + BLOCK_WORDS) if t.exact else []
-                rows.append({"label": t.label, "template": b" ".join(t.words).decode(), "exact": t.exact, "block_start": start, "containment": share, "places": places})
+            for overlap, index in indexes:
+                for at, start, share in index.matches(words, overlap):
+                    t = index.templates[at]
+                    places = places_of(words, t.words, start, start + 2 * overlap) if t.exact else []
+                    rows.append({"label": t.label, "template": b" ".join(t.words).decode(), "exact": t.exact, "block_start": start, "containment": share, "places": places})
             found.append(rows)
         return n_words, found
 

@@ -31,20 +31,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def _license_sql() -> str:
     """The license scan's rows, by searching every place and every block."""
-    from .license_scan import BASE_PHRASES, BLOCK_WORDS, NOTICES, OVERLAP, THRESHOLD
+    from .license_scan import THRESHOLD, templates
 
-    def table(pairs) -> str:
-        return ", ".join(f"(string_split('{text}', ' '), '{label}')" for text, label in pairs)
+    def listed(exact: bool) -> str:
+        return ", ".join(f"(string_split('{b' '.join(t.words).decode()}', ' '), '{t.label}', {t.overlap})" for t in templates() if t.exact == exact)
 
-    step = BLOCK_WORDS - OVERLAP
+    overlaps = sorted({t.overlap for t in templates() if not t.exact})
+    blocks = " UNION ALL ".join(f"SELECT doc_id, w, {n} AS n, {n} * unnest(generate_series(0, greatest(0, cast(ceil((len(w) - {2 * n}) / {n}.0) AS bigint)))) AS b FROM d" for n in overlaps)
     return f"""WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
-phrases(p, label) AS (VALUES {table(BASE_PHRASES.items())}),
-notices(p, label) AS (VALUES {table((t, label) for label, t in NOTICES.items())}),
+phrases(p, label, n) AS (VALUES {listed(True)}),
+notices(p, label, n) AS (VALUES {listed(False)}),
 starts AS (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS i FROM d),
 hits AS (SELECT doc_id, i - 1 AS place, label FROM starts JOIN phrases ON w[i] = p[1] AND w[i : i + len(p) - 1] = p),
 places AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS base FROM hits GROUP BY 1),
-blocks AS (SELECT doc_id, w, {step} * unnest(generate_series(0, greatest(0, cast(ceil((len(w) - {BLOCK_WORDS}) / {step}.0) AS bigint)))) AS b FROM d),
-shares AS (SELECT doc_id, label, len(list_intersect(list_distinct(w[b + 1 : b + {BLOCK_WORDS}]), list_distinct(p))) / len(list_distinct(p)) AS share FROM blocks, notices),
+blocks AS ({blocks}),
+shares AS (SELECT doc_id, label, len(list_intersect(list_distinct(w[b + 1 : b + 2 * blocks.n]), list_distinct(p))) / len(list_distinct(p)) AS share FROM blocks JOIN notices ON blocks.n = notices.n),
 met AS (SELECT doc_id, max(share) AS top, list(DISTINCT label) AS more FROM shares WHERE share >= {THRESHOLD} - 1e-12 GROUP BY 1)
 SELECT doc_id, cast(len(w) AS bigint) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(list_sort(base), ','), '') AS base_labels,
   array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(more, [])))), ',') AS labels, cast(greatest(coalesce(top, 0), CASE WHEN n_base > 0 THEN 1 ELSE 0 END) AS double) AS score

@@ -45,23 +45,39 @@ def test_op1_equals_its_sql(spark):
 
 def test_op1_filters_lose_no_block():
     r = random.Random(1)
-    made = license_scan.templates()
-    vocabulary = sorted({w for t in made for w in t.words})
-    index = license_scan.TemplateIndex(made, {w: r.randint(0, 9) for w in vocabulary})
-    for _ in range(200):
-        words = [r.choice(vocabulary) if r.random() < 0.5 else b"filler%d" % r.randint(0, 9) for _ in range(r.randint(0, 200))]
-        if r.random() < 0.7 and words:
-            at = r.randint(0, len(words))
-            words[at:at] = r.choice(made).words
-        brute, step = set(), license_scan.BLOCK_WORDS - license_scan.OVERLAP
-        last = max(0, -(-(len(words) - license_scan.BLOCK_WORDS) // step)) if len(words) > license_scan.BLOCK_WORDS else 0
-        for block in range(last + 1):
-            held = set(words[block * step : block * step + license_scan.BLOCK_WORDS])
-            for at, t in enumerate(made):
-                share = len(held & t.distinct) / len(t.distinct)
-                if share >= license_scan.THRESHOLD:
-                    brute.add((at, block * step, share))
-        assert set(index.matches(words)) == brute
+    whole = license_scan.templates()
+    vocabulary = sorted({w for t in whole for w in t.words})
+    for overlap in sorted({t.overlap for t in whole}):
+        made = [t for t in whole if t.overlap == overlap]
+        index = license_scan.TemplateIndex(made, {w: r.randint(0, 9) for w in vocabulary})
+        for _ in range(150):
+            words = [r.choice(vocabulary) if r.random() < 0.5 else b"filler%d" % r.randint(0, 9) for _ in range(r.randint(0, 6 * overlap))]
+            if r.random() < 0.7 and words:
+                at = r.randint(0, len(words))
+                words[at:at] = r.choice(made).words
+            brute = set()
+            for block in range(max(0, -(-(len(words) - 2 * overlap) // overlap)) + 1):
+                held = set(words[block * overlap : block * overlap + 2 * overlap])
+                for at, t in enumerate(made):
+                    share = len(held & t.distinct) / len(t.distinct)
+                    if share >= license_scan.THRESHOLD:
+                        brute.add((at, block * overlap, share))
+            assert set(index.matches(words, overlap)) == brute
+
+
+def test_op1_finds_whole_licences_of_any_length(spark):
+    assert max(len(t.words) for t in license_scan.templates()) > 100 and len({t.overlap for t in license_scan.templates()}) > 2
+    mit = license_scan.LICENSES["mit"].split()
+    r = random.Random(8)
+    edited = [f"x{i}" if r.random() < 0.08 else w for i, w in enumerate(mit)]
+    filler = [f"f{i}" for i in range(333)]
+    long = {f"own-{n}": " ".join(f"w{i}" for i in range(n)) for n in (1, 33, 34, 700)}
+    rows = [(1, " ".join(filler[:77] + edited + filler[77:])), (2, " ".join(mit[:60])), (3, long["own-700"]), (4, " ".join(filler))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {x["doc_id"]: x for x in license_scan.digest(license_scan.scan(docs)).collect()}
+    assert found[1]["labels"] == "mit" and 0.8 <= found[1]["score"] <= 1 and found[4]["labels"] == ""
+    own = {x["doc_id"]: x["labels"] for x in license_scan.digest(license_scan.scan(docs, license_scan.templates({}, long))).collect()}
+    assert own[3] == ",".join(sorted(long)) and own[4] == ""
 
 
 def plain_simhash(text):
@@ -109,15 +125,36 @@ def test_op9_chain_of_near_copies(spark):
             fp ^= 1 << bit
     centre = r.getrandbits(63)
     dense = [(1000 + i, i, centre ^ (1 << i % 63) ^ (1 << (i * 7 + 3) % 63)) for i in range(120)]
-    named = simhash.components(spark.createDataFrame(chain + dense, "doc_id long, tie long, fp long")).groupBy("component").agg({"doc_id": "min", "fp": "count"}).collect()
+    signed = spark.createDataFrame(chain + dense, "doc_id long, tie long, fp long")
+    named = signed.join(simhash.classes(signed), "fp").groupBy("root").agg({"doc_id": "min", "fp": "count"}).collect()
     assert sorted(x["count(fp)"] for x in named) == [40, 120]
 
 
+def test_components_of_many_tasks_equal_one(spark):
+    """Links beyond what one task contracts: a long path, a star, a clique and stray pairs, in any number of tasks."""
+    r = random.Random(2)
+    links = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 80)] + [(2000 + i, 2000 + j) for i in range(12) for j in range(i)] + [(3000 + 2 * i, 3001 + 2 * i) for i in range(40)] + [(7, 7)]
+    r.shuffle(links)
+    edges = spark.createDataFrame([pair if r.random() < 0.5 else pair[::-1] for pair in links], "a long, b long").repartition(7)
+    expected = {i: 0 for i in range(301)} | {1000 + i: 1000 for i in range(80)} | {2000 + i: 2000 for i in range(12)} | {3000 + 2 * i + k: 3000 + 2 * i for i in range(40) for k in (0, 1)}
+    for bound in (250_000, 100):
+        found = [(x["node"], x["root"]) for x in simhash.connected_components(edges, bound).collect()]
+        assert len(found) == len(set(found)) and dict(found) == expected
+
+
 def test_keep_one_keeps_columns_and_clean_rows(docs, rows):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
     ids = [r["doc_id"] for r in kept.collect()]
-    assert len(ids) == len(set(ids)) == len({r["component_id"] for r in simhash.near_duplicates(docs).collect()})
+    assert len(ids) == len(set(ids))
+
+
+def test_keep_one_with_clashing_names(spark):
+    names = ["row", "tie", "id", "no_id", "number", "stay_id", "stay_tie", "__tie", "__row", "root", "node"]
+    rows = [(i, t, *[f"{n}{i}" for n in names]) for i, t in enumerate(["a b c d e f", "a b c d e f", None, "", "other words stand here now"])]
+    docs = spark.createDataFrame([*rows, rows[4]], ", ".join(["doc_id long", "text string", *[f"`{n}` string" for n in names]]))
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(tuple(r) for r in kept.collect()) == [rows[0], rows[2], rows[4]]
 
 
 def shingles(text):
