@@ -15,21 +15,26 @@ different components, so a large group of near copies yields links in proportion
 Fingerprint: A-Z lower-cased, words ``[^\\x20\\x09-\\x0D]+``, four-word shingles joined by a space (all words if fewer),
 XXH64 with seed 42 of each, repeats included; a bit is 1 if set in more than half of them; no words: zero.
 
-Edge cases: null and empty texts have fingerprint zero and are linked like any other; repeated rows each give their
-row; null ids are never the smallest id unless a component has none; an empty table gives an empty result; other
+Edge cases: null and empty texts have fingerprint zero and are linked like any other; very long texts are read whole, their
+hashes summed up in blocks; a bit set in exactly half of the hashes is 0; repeated rows each give their row; null ids are
+never the smallest id unless a component has none (then its id is null); an empty table gives an empty result; other
 columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, id_of, map_batches, materialise, shared_dir, text_of
+from .common import Scratch, batch_of, id_of, map_batches, materialise, text_of
 
 SHINGLE_WORDS, SEED, DISTANCE = 4, 42, 4
+#: Links that one task contracts at most; components of more links also take rounds over all tasks.
+TASK_LINKS = 250_000
 #: (lowest bit, bits) of the segments
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 
@@ -91,14 +96,45 @@ def variants(fp: str) -> Column:
     return F.expr(f"transform({listed}, t -> {key})")
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """``node, root`` (smallest node) for every node of ``a, b`` links; alternating large and small stars.
+def _contracted(links: DataFrame, tasks: int) -> DataFrame:
+    """The links of each task as stars: every node with the smallest node that this task connects it to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = parent[up]
+                x = up
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                low, high = sorted((top(a), top(b)))
+                parent[high] = low
+        stars = [(x, root) for x in parent if (root := top(x)) != x]
+        yield batch_of(a=pa.array([x for x, _ in stars], pa.int64()), b=pa.array([x for _, x in stars], pa.int64()))
+
+    return links.select("a", "b").coalesce(tasks).mapInArrow(run, "a long, b long")
 
-    Links are checkpointed after every round, so a lost executor costs no earlier round; the number of rounds grows
-    with the logarithm of the largest component's diameter.
+
+def connected_components(edges: DataFrame, task_links: int = TASK_LINKS) -> DataFrame:
+    """``node, root`` (smallest node) for every node of ``a, b`` links.
+
+    Every task first contracts its own links, at most about ``task_links`` of them.  What is left by several tasks goes on
+    by alternating large and small stars, whose rounds grow with the logarithm of the largest component's diameter; each
+    round is written, so a lost executor costs no earlier round.
     """
-    shared_dir(edges.sparkSession)
-    links = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct().checkpoint()
+    with Scratch(edges.sparkSession, "links") as scratch:
+        links = scratch.write(edges.filter("a <> b").select("a", "b"))
+        tasks = -(-links.count() // task_links)
+        links = scratch.write(_contracted(links, max(1, tasks)))
+        links = materialise(links if tasks <= 1 else _starred(links, scratch), "links")
+    return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def _starred(links: DataFrame, scratch: Scratch) -> DataFrame:
+    """Every node of the links with its component's smallest node, by rounds over all tasks."""
     seen = None
     while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -106,12 +142,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        links = small.checkpoint()
+        links = scratch.write(small)
         state = links.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.expr("bit_xor(xxhash64(a, b))"), F.lit(0)).alias("x")).first()
         if state == seen:
-            break
+            return links
         seen = state
-    return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
 def _apart(a: str, b: str) -> Column:
@@ -120,13 +155,18 @@ def _apart(a: str, b: str) -> Column:
 
 def classes(signed: DataFrame) -> DataFrame:
     """``fp, root``: every distinct fingerprint of ``signed`` and its component's name."""
-    distinct = signed.select("fp").distinct()
+    with Scratch(signed.sparkSession, "simhash") as scratch:
+        return materialise(_classes(signed, scratch), "simhash-classes")
+
+
+def _classes(signed: DataFrame, scratch: Scratch) -> DataFrame:
+    distinct = scratch.write(signed.select("fp").distinct())
     # Fingerprints are small but become 183 rows each, so they are dealt by number and not by size.
     tasks = int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     indexed = distinct.repartition(tasks, F.xxhash64("fp")).select("fp", F.explode(variants("fp")).alias("key"))
-    group = Window.partitionBy("key")
-    groups = indexed.withColumn("n", F.count(F.lit(1)).over(group)).withColumn("centre", F.min("fp").over(group)).filter("n > 1")
-    groups = materialise(groups, "simhash-groups")
+    # Sums of a key meet in one task, its members need not: a join deals them again.
+    crowded = scratch.write(indexed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("centre")).filter("n > 1"))
+    groups = scratch.write(indexed.join(crowded.hint("merge"), "key"))
     # A group of two needs no more than this comparison.
     stars = groups.filter((F.col("fp") != F.col("centre")) & (_apart("fp", "centre") <= DISTANCE)).select(F.col("fp").alias("a"), F.col("centre").alias("b")).distinct()
     starred = connected_components(stars)
@@ -139,31 +179,24 @@ def classes(signed: DataFrame) -> DataFrame:
     return distinct.join(roots.unionByName(alone), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
-def components(signed: DataFrame) -> DataFrame:
-    """``signed`` (from ``signatures``, materialised) with ``component``, the name that near-duplicates share."""
-    return signed.join(classes(signed).withColumnRenamed("root", "component"), "fp")
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, tie, fp, component_id`` for every row."""
-    signed = materialise(signatures(docs, id_col, text_col), "simhash")
-    named = components(signed)
-    smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return named.join(smallest, "component").select("doc_id", "tie", "fp", "component_id")
-
+    """``doc_id, tie, fp, component_id`` for every row.
 
-def keep_smallest(docs: DataFrame, named: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: of each ``component`` of ``named`` (with ``doc_id, tie``) the smallest, once."""
-    stay = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("s")).select(F.col("s.doc_id").alias("stay_id"), F.col("s.tie").alias("stay_tie"))
-    tie = F.xxhash64(text_of(text_col))
-    keyed = docs.select(*[F.col(f"`{c}`") for c in docs.columns], tie.alias("__tie"))
-    kept = keyed.join(stay, id_of(id_col).eqNullSafe(F.col("stay_id")) & (F.col("__tie") == F.col("stay_tie")), "left_semi")
-    return kept.withColumn("__row", F.row_number().over(Window.partitionBy(id_col, "__tie").orderBy(F.lit(0)))).filter("__row = 1").drop("__tie", "__row")
+    Smallest ids are taken by fingerprint, then by component, so documents are dealt by fingerprint once and only for a
+    join with one row a fingerprint, whose crowded keys Spark can split.
+    """
+    signed = materialise(signatures(docs, id_col, text_col), "simhash")
+    smallest = signed.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    named = materialise(smallest.join(classes(signed), "fp"), "simhash-classes")
+    component = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    return signed.join(named.join(component, "root").select("fp", "component_id"), "fp").select("doc_id", "tie", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: of each near-duplicate group the one with the smallest (id, text hash), once."""
-    return keep_smallest(docs, components(materialise(signatures(docs, id_col, text_col), "simhash")), id_col, text_col)
+    """The rows of ``docs`` that stay, one of each group, by the rule of the pipeline's stage: five words, Jaccard 0.8."""
+    from .near_copies import keep_one as keep
+
+    return keep(docs, id_col, text_col)
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
