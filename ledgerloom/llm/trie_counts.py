@@ -1,14 +1,17 @@
 """Token counts by a unigram model whose forward scores live in a trie of pre-tokens.
 
-Pieces are those of a byte-level vocabulary; a piece's log-probability follows Zipf's law in its id (the vocabulary
-lists pieces by merge rank), as no tokenizer is trained here.  The best segmentation of a pre-token maximises the sum
+Pieces are those of a byte-level vocabulary, which is given and not trained.  A piece's log-probability is estimated from the
+documents: its share of all ids that the vocabulary's own encoding has in the whole corpus, each count raised by one.  The
+best segmentation of a pre-token maximises the sum
 of its pieces' log-probabilities; ties take fewer pieces.  Distinct pre-tokens are inserted in sorted order into a trie
 whose nodes hold the best forward score and piece count of their prefix, so a shared prefix is scored once, and a
 pre-token's count is read at its terminal node.
 
-Scale: a trie belongs to a Python worker and is emptied beyond ``MOST_NODES``; nothing is exchanged between tasks.
+Scale: tasks add up their own piece counts and the driver gets one number a piece of the vocabulary, for any corpus.  A
+trie belongs to a Python worker and is emptied beyond ``MOST_NODES``; nothing else is exchanged between tasks.
 
-Edge cases: null and empty texts count 0; repeated rows each give their row; a null doc_id stays null; an empty table
+Edge cases: null and empty texts count 0; very long texts are split whole; repeated rows each give their row, and count in
+the estimate each; equally likely segmentations take the one of fewer pieces; a null doc_id stays null; an empty table
 gives an empty result; other columns of the input are ignored, whatever their names.
 """
 
@@ -19,19 +22,33 @@ from array import array
 from collections import Counter
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import batch_of, id_of, map_batches, text_of
+from .common import batch_of, id_of, map_batches, summed, text_of
 from .tokens import PLAIN, PRE_TOKEN, encoder, vocab_path
 
 MOST_NODES, MOST_WORDS = 500_000, 250_000
 
 
-def zipf_scores(pieces: list[bytes], skipped: frozenset[int] = frozenset()) -> dict[bytes, float]:
-    """Log-probability of each piece: proportional to 1 / (id + 1)."""
-    total = math.log(sum(1.0 / (at + 1) for at in range(len(pieces)) if at not in skipped))
-    return {p: -math.log(at + 1) - total for at, p in enumerate(pieces) if at not in skipped and p}
+def unigram_scores(pieces: list[bytes], counts: np.ndarray, skipped: frozenset[int] = frozenset()) -> dict[bytes, float]:
+    """Log-probability of each piece from its count, raised by one so that none is impossible."""
+    used = [at for at in range(len(pieces)) if at not in skipped and pieces[at]]
+    total = math.log(sum(int(counts[at]) + 1 for at in used))
+    return {pieces[at]: math.log(int(counts[at]) + 1) - total for at in used}
+
+
+def piece_counts(docs: DataFrame, vocab: str | None = None, text_col: str = "text") -> np.ndarray:
+    """How often each id occurs in the encoding of all texts."""
+    vocab = vocab or vocab_path()
+    size = len(encoder(vocab).pieces)
+
+    def count(part: pa.RecordBatch) -> np.ndarray:
+        bpe = encoder(vocab)
+        return np.bincount(bpe.ids(b"".join(map(bpe.encode, part.column(0).to_pylist()))), minlength=size)
+
+    return summed(docs.select(text_of(text_col).alias("text")), count, size)
 
 
 class ForwardTrie:
@@ -74,10 +91,10 @@ class ForwardTrie:
 
 
 class UnigramCounter:
-    def __init__(self, vocab: str):
+    def __init__(self, vocab: str, counts: bytes):
         self.bpe = encoder(vocab)
         added = frozenset(self.bpe.library.get_added_tokens_decoder())
-        self.trie, self.known = ForwardTrie(zipf_scores(self.bpe.pieces, added)), {}
+        self.trie, self.known = ForwardTrie(unigram_scores(self.bpe.pieces, np.frombuffer(counts, dtype=np.int64), added)), {}
         import public_tokenizers
         import regex
 
@@ -99,16 +116,18 @@ class UnigramCounter:
 
 
 @lru_cache(maxsize=1)
-def counter(vocab: str) -> UnigramCounter:
-    return UnigramCounter(vocab)
+def counter(vocab: str, counts: bytes) -> UnigramCounter:
+    """One counter per Python worker for the counts of a corpus."""
+    return UnigramCounter(vocab, counts)
 
 
 def count_tokens(docs: DataFrame, vocab: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_pretokens, n_tokens`` of every row."""
     vocab = vocab or vocab_path()
+    known = piece_counts(docs, vocab, text_col).tobytes()
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        counts = counter(vocab).count(part.column(1).to_pylist())
+        counts = counter(vocab, known).count(part.column(1).to_pylist())
         return batch_of(doc_id=part.column(0), n_pretokens=pa.array([a for a, _ in counts], pa.int64()), n_tokens=pa.array([b for _, b in counts], pa.int64()))
 
     return map_batches(docs.select(id_of(id_col).alias("doc_id"), text_of(text_col).alias("text")), run, "doc_id long, n_pretokens long, n_tokens long")
