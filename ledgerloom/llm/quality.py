@@ -3,16 +3,19 @@
 A text's UTF-8 bytes are read in overlapping chunks that cover all of it.  Each byte has a learned embedding; learned
 filters slide over every chunk, are max-pooled within it and rectified; mean and maximum over the chunks, and their
 products with learned weights, make one probability.  Trained by Adam, with hand-written gradients, on at most
-``SAMPLE_DOCS`` labelled documents a class (a documented bound of the fit only); scoring reads every byte.
-
-Edge cases: null and empty texts are one chunk of padding and get a score too; repeated rows each give their row; a null
-doc_id is never learned from; null labels are ignored, and of repeated labels of a document the largest counts; without
-labels of both classes the score is the share of class 1 (0.5 if there are none); an empty table gives an empty
-result; other columns are ignored, whatever their names.
+``SAMPLE_DOCS`` labelled documents a class (a documented bound of the fit only).  The fit, in one task, and the scores read
+every byte of a text, a block of chunks at a time.
+
+Edge cases: null and empty texts are one chunk of padding and get a score too; very long texts are more chunks; a score
+equal to the threshold is class 1; repeated rows each give their row but are learned from once; a null doc_id is never
+learned from; null labels are ignored, and of repeated labels of a document the largest counts; without labels of both
+classes the score is that of the one class (0.5 if there are none); an empty table gives an empty result; other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, id_of, map_batches, text_of
+from .common import batch_of, id_of, in_one_task, map_batches, materialise, text_of
 
 CHUNK, OVERLAP, STRIDE = 512, 64, 4
 FILTER_BYTES, FILTERS, EMBEDDING = 8, 32, 8
-SAMPLE_DOCS, SAMPLE_CHUNKS, EPOCHS, BATCH_DOCS, RATE = 1200, 16, 12, 32, 0.01
+SAMPLE_DOCS, EPOCHS, BATCH_DOCS, RATE = 1200, 12, 32, 0.01
 #: Documents scored at once hold at most this many chunks in memory.
 BLOCK_CHUNKS = 256
 THRESHOLD = 0.5
@@ -32,15 +35,14 @@ THRESHOLD = 0.5
 KEEP_FROM = 0.5
 
 
-def chunks_of(text: str, most: int | None = None) -> np.ndarray:
-    """(chunks, CHUNK) bytes; zeros fill the last chunk.  ``most`` takes evenly spaced chunks, in training only."""
+def chunks_of(text: str) -> np.ndarray:
+    """(chunks, CHUNK) bytes that cover the whole text; zeros fill the last chunk."""
     raw = np.frombuffer(text.encode("utf-8"), dtype=np.uint8)
     step = CHUNK - OVERLAP
     n = max(1, -(-(len(raw) - OVERLAP) // step))
     padded = np.zeros((n - 1) * step + CHUNK, dtype=np.uint8)
     padded[: len(raw)] = raw
-    found = np.lib.stride_tricks.as_strided(padded, shape=(n, CHUNK), strides=(step, 1))
-    return found if most is None or n <= most else found[np.linspace(0, n - 1, most).astype(int)]
+    return np.lib.stride_tricks.as_strided(padded, shape=(n, CHUNK), strides=(step, 1))
 
 
 @dataclass
@@ -66,11 +68,15 @@ class Network:
         positions = (CHUNK - FILTER_BYTES) // STRIDE + 1
         return np.lib.stride_tricks.as_strided(e, shape=(len(chunks), positions, FILTER_BYTES * EMBEDDING), strides=(e.strides[0], STRIDE * EMBEDDING * e.itemsize, e.itemsize))
 
-    def pooled(self, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Rectified maximum of every filter in every chunk, where it stands, and the windows."""
-        windows = self.windows(chunks)
-        answers = (windows.reshape(-1, windows.shape[2]) @ self.filters).reshape(len(chunks), windows.shape[1], FILTERS)
-        return np.maximum(answers.max(axis=1) + self.bias, 0.0), answers.argmax(axis=1), windows
+    def pooled(self, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rectified maximum of every filter in every chunk, and where it stands; a block of chunks at a time."""
+        tops, places = [np.empty((0, FILTERS), self.filters.dtype)], [np.empty((0, FILTERS), np.int64)]
+        for at in range(0, len(chunks), BLOCK_CHUNKS):
+            windows = self.windows(chunks[at : at + BLOCK_CHUNKS])
+            answers = (windows.reshape(-1, windows.shape[2]) @ self.filters).reshape(len(windows), windows.shape[1], FILTERS)
+            places.append(answers.argmax(axis=1))
+            tops.append(np.maximum(np.take_along_axis(answers, places[-1][:, None], axis=1)[:, 0] + self.bias, 0.0))
+        return np.concatenate(tops), np.concatenate(places)
 
     def activations(self, chunks: np.ndarray) -> np.ndarray:
         made = [np.empty((0, FILTERS), np.float32)]
@@ -108,7 +114,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 def gradients(net: Network, chunks: np.ndarray, starts: np.ndarray, sizes: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> tuple[float, list[np.ndarray]]:
     """Weighted log loss of some documents and its gradient for every parameter."""
-    h, where, windows = net.pooled(chunks)
+    h, where = net.pooled(chunks)
     mean, top = np.add.reduceat(h, starts) / sizes[:, None], np.maximum.reduceat(h, starts)
     both = np.hstack([mean, top])
     p = sigmoid(both @ net.weights + net.offset)
@@ -124,8 +130,8 @@ def gradients(net: Network, chunks: np.ndarray, starts: np.ndarray, sizes: np.nd
     rows = np.arange(len(chunks))
     for f in range(FILTERS):
         g = d_h[:, f]
-        d_filters[:, f] = g @ windows[rows, where[:, f]]
         octets = chunks[rows[:, None], where[:, f][:, None] * STRIDE + np.arange(FILTER_BYTES)]
+        d_filters[:, f] = g @ net.embedding[octets].reshape(len(chunks), -1)
         for k in range(FILTER_BYTES):
             d_embedding += np.bincount(octets[:, k], weights=g, minlength=256)[:, None].astype(np.float32) * net.filters[k * EMBEDDING : (k + 1) * EMBEDDING, f]
     return loss, [d_embedding, d_filters, d_h.sum(axis=0), ds @ both, ds.sum(keepdims=True)]
@@ -167,22 +173,30 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(crc_remainder(3, id_col) == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> Network:
-    """Learn from the labels of documents that are not held out; at most ``sample_docs`` a class, by a hash of the id."""
+def sample(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+    """``doc_id, y, n, text``: at most ``sample_docs`` labelled ids a class, by a hash of the id, and the class's size.
+
+    Repeated rows of an id are learned from once: the text with the smallest hash.
+    """
     usable = labels.select(id_of(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out("doc_id")).groupBy("doc_id").agg(F.max("y").alias("y"))
-    counts = {r["y"]: r["n"] for r in usable.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    chosen = [usable.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs) for y in (0, 1)]
-    picked = docs.select(id_of(id_col).alias("doc_id"), text_of(text_col).alias("text")).join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").select("doc_id", "y", "text")
+    known = docs.select(id_of(id_col).alias("doc_id"), text_of(text_col).alias("text"))
+    sizes = {r["y"]: r["n"] for r in usable.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
+    chosen = [usable.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).withColumn("n", F.lit(sizes.get(y, 0)).cast("long")) for y in (0, 1)]
+    copies = known.join(F.broadcast(materialise(chosen[0].unionByName(chosen[1]), "quality-chosen")), "doc_id")
+    return copies.groupBy("doc_id", "y", "n").agg(F.min(F.struct(F.xxhash64("text").alias("tie"), "text")).alias("s")).select("doc_id", "y", "n", "s.text")
+
 
-    def sampled(part: pa.RecordBatch) -> pa.RecordBatch:
-        chunks = [np.ascontiguousarray(chunks_of(t, SAMPLE_CHUNKS)).tobytes() for t in part.column(2).to_pylist()]
-        return batch_of(doc_id=part.column(0), y=part.column(1), chunks=pa.array(chunks, pa.binary()))
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> Network:
+    """Learn from the labels of documents that are not held out, from every byte of the sample's texts, in one task."""
 
-    # The driver gets SAMPLE_CHUNKS chunks a document at most, however long its text is.
-    rows = map_batches(picked, sampled, "doc_id long, y int, chunks binary").limit(4 * sample_docs).collect()
-    rows = sorted(rows, key=lambda r: (r["doc_id"], bytes(r["chunks"])))
-    ones = counts.get(1, 0) / max(1, sum(counts.values()))
-    return train([np.frombuffer(r["chunks"], dtype=np.uint8).reshape(-1, CHUNK) for r in rows], [r["y"] for r in rows], ones)
+    def learn(table: pa.Table) -> pa.Table:
+        table = table.take(pa.array(np.argsort(np.array(table.column("doc_id").to_pylist(), dtype=np.int64), kind="stable")))
+        y, sizes = table.column("y").to_pylist(), dict(zip(table.column("y").to_pylist(), table.column("n").to_pylist()))
+        net = train([chunks_of(t) for t in table.column("text").to_pylist()], y, sizes.get(1, 0) / max(1, sum(sizes.values())))
+        return pa.table({"model": pa.array([pickle.dumps(net)], pa.binary())})
+
+    found = in_one_task(sample(docs, labels, label_col, id_col, text_col, sample_docs), learn, "model binary").first()
+    return train([], []) if found is None else pickle.loads(found["model"])
 
 
 def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -197,7 +211,10 @@ def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
 
 
 def keep_good(docs: DataFrame, net: Network, text_col: str = "text", least: float = KEEP_FROM) -> DataFrame:
-    """The rows of ``docs`` that score at least ``least``; all columns stay."""
+    """The rows of ``docs`` that score at least ``least``; all columns stay, whatever their names.
+
+    Null texts are scored as empty ones; repeated rows stay or go together; an empty table gives an empty result.
+    """
     at = docs.columns.index(text_col)
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
