@@ -7,11 +7,13 @@ search starts at the smallest residual that fits and goes on until the tightest
 none, a new bin is opened.
 
 Scale: documents are dealt by a hash into groups of about ``GROUP_ROWS``, each packed by one task, so neither a hot
-source nor a large cluster meets in one task, and every document is placed.  Only ids, lengths, sources and cluster
-hashes are exchanged.
+source nor a large cluster nor a repeated row meets in one task, and every document is placed.  Only ids, lengths, sources
+and cluster hashes are exchanged.
 
-Edge cases: a null or empty text is one end id long; a null source conflicts with nothing; repeated rows are placed each;
-a null doc_id stays null; an empty table gives an empty result; other columns of the input are ignored.
+Edge cases: a null or empty text is one end id long; a very long text fills sequences of its own; of documents of one length
+those with the smaller id (then cluster, then source) come first, and of bins of one residual the older; a null source
+conflicts with nothing; repeated rows are placed each; a null doc_id stays null; an empty table gives an empty result; other
+columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, id_of, map_batches, text_of
+from .common import batch_of, id_of, map_batches, materialise, text_of
 from .tokens import encoder, vocab_path
 
 CAPACITY = 4096
@@ -37,7 +39,7 @@ def measured(docs: DataFrame, vocab: str | None = None, id_col: str = "doc_id",
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         bpe, n, clusters = encoder(vocab), [], []
         for text in part.column(2).to_pylist():
-            n.append(len(bpe.encode(text)) // bpe.dtype.itemsize + 1)
+            n.append(bpe.count(text) + 1)
             folded = b" ".join(text.encode("utf-8").lower().split())
             clusters.append(int.from_bytes(hashlib.blake2b(folded, digest_size=8).digest(), "little", signed=True))
         return batch_of(doc_id=part.column(0), source=part.column(1), n_tokens=pa.array(n, pa.int64()), cluster=pa.array(clusters, pa.int64()))
@@ -86,14 +88,15 @@ def _bits(values: list) -> list[int]:
     return [1 << number[v] if v in number else 0 for v in values]
 
 
-def pack(lengths: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS, n_rows: int | None = None) -> DataFrame:
+def pack(lengths: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS) -> DataFrame:
     """``doc_id, piece, bin_id, bin_offset, n_tokens, source, cluster``: where every piece of every document stands.
 
-    ``lengths`` has ``doc_id, source, n_tokens, cluster`` (as from ``measured``); ``n_tokens`` is at least 1.
-    ``n_rows``, if known, saves counting them; it only sizes the groups.
+    ``lengths`` has ``doc_id, source, n_tokens, cluster`` (as from ``measured``); ``n_tokens`` is at least 1.  It is written
+    first, so that a row's number, which deals repeated rows to different groups, is the same in every attempt of a task.
     """
-    groups = max(1, -(-(lengths.count() if n_rows is None else n_rows) // group_rows))
-    dealt = lengths.select("doc_id", "source", "n_tokens", "cluster", F.pmod(F.xxhash64("doc_id", "cluster", "n_tokens"), F.lit(groups)).cast("int").alias("group"))
+    rows = materialise(lengths.select("doc_id", "source", "n_tokens", "cluster"), "packing-lengths")
+    groups = max(1, -(-rows.count() // group_rows))
+    dealt = rows.withColumn("group", F.pmod(F.xxhash64("doc_id", "cluster", "n_tokens", F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by([("n_tokens", "descending"), ("doc_id", "ascending"), ("cluster", "ascending"), ("source", "ascending")])
@@ -120,9 +123,17 @@ def pack(lengths: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_R
     return dealt.groupBy("group").applyInArrow(run, "doc_id long, piece int, bin_id long, bin_offset long, n_tokens long, source string, cluster long")
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Measure and pack documents; texts are encoded once, as the row count comes from ``docs``."""
-    return pack(measured(docs), capacity, n_rows=docs.count())
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, clusters: DataFrame | None = None) -> DataFrame:
+    """Measure and pack documents.
+
+    ``clusters`` (``doc_id, cluster``, one row an id, such as the components of ``simhash``) may name near-duplicate clusters;
+    documents without one, and all documents by default, are clusters of exact copies.
+    """
+    lengths = measured(docs)
+    if clusters is not None:
+        named = clusters.select("doc_id", F.col("cluster").cast("long").alias("named"))
+        lengths = lengths.join(named, "doc_id", "left").select("doc_id", "source", "n_tokens", F.coalesce("named", "cluster").alias("cluster"))
+    return pack(lengths, capacity)
 
 
 def op4_best_fit(spark, sf_dir: str) -> DataFrame:

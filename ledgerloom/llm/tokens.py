@@ -42,6 +42,18 @@ class _Cache(dict):
         return found
 
 
+class _Counts(_Cache):
+    """Numbers of ids by pre-token."""
+
+    def __missing__(self, word: str) -> int:
+        found = self[word] = self.before.get(word) or len(self.pre_token(word)) // self.itemsize
+        return found
+
+    def __init__(self, encoder: PreTokenEncoder, before: dict[str, int]):
+        super().__init__(encoder, before)
+        self.itemsize = encoder.dtype.itemsize
+
+
 class PreTokenEncoder:
     """Encodes texts to little-endian id bytes; equal to the library's ``encode(text, add_special_tokens=False)``."""
 
@@ -56,6 +68,7 @@ class PreTokenEncoder:
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.typecode = "H" if self.dtype.itemsize == 2 else "I"
         self.cache_entries, self.cache = cache_entries, _Cache(self, {})
+        self.counts = _Counts(self, {})
         self.tokenize = self.library.model.tokenize
         self.printable = {byte: char for char, byte in printable_bytes().items()}
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
@@ -77,6 +90,16 @@ class PreTokenEncoder:
             cache = self.cache = _Cache(self, cache)
         return b"".join(map(cache.__getitem__, PRE_TOKEN.findall(text)))
 
+    def count(self, text: str) -> int:
+        """Number of ids of a text; the cache holds numbers, which need less memory than ids."""
+        if not self.is_plain(text):
+            return len(self.whole(text)) // self.dtype.itemsize
+        counts = self.counts
+        if len(counts) >= self.cache_entries:
+            counts.before = {}
+            counts = self.counts = _Counts(self, counts)
+        return sum(map(counts.__getitem__, PRE_TOKEN.findall(text)))
+
     def pre_token(self, word: str) -> bytes:
         """Ids of one pre-token: the library's BPE model takes its bytes as printable characters."""
         if word.isascii() and word[1:].isalpha() and word[0] == " ":  # most of them
