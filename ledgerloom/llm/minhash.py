@@ -9,7 +9,7 @@ Likeness is the share of equal bins, corrected for the 2**-BITS of them that agr
 The next document by id is found without a global sort: documents are dealt into id ranges, each range also gets a
 copy of the first document of the next one, and ``lead`` runs inside the ranges.  Texts are exchanged once.
 
-Edge cases: null texts are empty; a text without words has an empty fingerprint string, which is like another empty
+Edge cases: null texts are empty; very long texts are hashed whole; of equal values in a bin one counts; a text without words has an empty fingerprint string, which is like another empty
 one (1.0) and unlike any other (0.0); null ids sort first; equal ids are ordered by the hash of their texts; a single
 document is its own next one; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
@@ -26,6 +26,8 @@ from .common import id_of, text_of
 SHINGLE, BINS, BITS = 5, 128, 8
 #: Rows of an id range; small enough for a window to buffer in memory.
 RANGE_ROWS = 1000
+#: Ranges that are put in order by one task.
+RANGE_BLOCK = 1000
 #: Id ranges found by percentiles; beyond that each is cut into equal widths.
 MOST_PERCENTILES = 8192
 #: First rows of ranges are broadcast up to this many (16 bytes each), else joined by exchange.
@@ -117,15 +119,25 @@ def id_ranges(docs: DataFrame, range_rows: int = RANGE_ROWS) -> tuple[Column, in
     return top * inside + F.coalesce(F.least(F.lit(inside - 1), F.floor(width * inside)), F.lit(0)).cast("long"), (len(borders) + 1) * inside
 
 
+def _moved(firsts: DataFrame) -> DataFrame:
+    """``from, to, first``: the range before each range (the last one, before the first), which gets a copy of its first row.
+
+    Ranges are ordered inside blocks of RANGE_BLOCK, and the blocks by one row each, a row for RANGE_ROWS * RANGE_BLOCK documents.
+    """
+    blocks = firsts.withColumn("block", F.floor(F.col("range") / RANGE_BLOCK))
+    inside = blocks.withColumn("before", F.lag("range").over(Window.partitionBy("block").orderBy("range")))
+    ends = blocks.groupBy("block").agg(F.max("range").alias("end"))
+    order = Window.orderBy("block")
+    ends = ends.select("block", F.coalesce(F.lag("end").over(order), F.max("end").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("earlier"))
+    return inside.join(ends, "block").select(F.col("range").alias("from"), F.coalesce("before", "earlier").alias("to"), "first")
+
+
 def with_next(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """``doc_id, text`` rows (and copies marked ``extra``) with their ``range``, ``rank`` in it and the ``next_text``."""
     number, ranges = id_ranges(docs.select("doc_id"), range_rows)
     dealt = docs.select(number.alias("range"), "doc_id", "text")
     firsts = docs.select(number.alias("range"), "doc_id").groupBy("range").agg(F.min("doc_id").alias("first"))
-    # A row a range: RANGE_ROWS times fewer than documents.
-    order = Window.orderBy("range")
-    last = F.max("range").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    moved = firsts.select(F.col("range").alias("from"), F.coalesce(F.lag("range").over(order), last).alias("to"), "first")
+    moved = _moved(firsts)
     moved = F.broadcast(moved) if ranges <= BROADCAST_RANGES else moved
     copies = dealt.join(moved, (dealt["range"] == moved["from"]) & dealt["doc_id"].eqNullSafe(moved["first"])).select(F.col("to").alias("range"), "doc_id", "text", F.lit(True).alias("extra"))
     both = dealt.withColumn("extra", F.lit(False)).unionByName(copies)
