@@ -10,9 +10,10 @@ stands before a letter: byte-level BPE splits there whatever the context, so agr
 Scale: texts are exchanged once, by a hash of them; copies of a text collapse before that exchange.  Chunk lists carry
 16-byte hashes only, and ids move only for chunks that occur more than once.
 
-Edge cases: null and empty texts have no ids and decode to the empty text; repeated rows each give their row; a text
-without any chunk cut is one chunk; a null doc_id stays null; an empty table gives an empty result; other columns of
-the input are ignored, whatever their names.
+Edge cases: null and empty texts have no ids and decode to the empty text; a very long text is many chunks, encoded one by
+one; of several uses of a chunk the smallest (text key, chunk number) owns it; repeated rows each
+give their row; a text without any chunk cut is one chunk; a null doc_id stays null; an empty table gives an empty result;
+other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -5,8 +5,9 @@ A text's UTF-8 bytes, filled up with 255 to a positive multiple of 576, become t
 every chunk's CRC-32, inflates the IDAT chunks and undoes all five filter types in numpy.  The feature is a 64-bit
 hash: the samples averaged to 24 x 24, the 8 x 8 lowest frequencies of their cosine transform, each against their median.
 
-Edge cases: null and empty texts are one 24 x 24 image of 255; equal texts give equal values; repeated rows each give
-their row; a null doc_id stays null; an empty table gives an empty result; other columns are ignored.
+Edge cases: null and empty texts are one 24 x 24 image of 255; very long texts are higher images, several IDAT chunks long;
+a coefficient equal to the median is 0; equal texts give equal values; repeated rows each give their row; a null doc_id
+stays null; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
