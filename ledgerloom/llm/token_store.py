@@ -7,12 +7,18 @@ rolling hash over the ids.  The store has three Parquet parts, written by Spark'
   vocabulary allows it), one row per distinct chunk;
 * ``recipes``: documents in ascending (doc_id, recipe hash) order, null ids first, with ``start``, ``n_tokens``, the
   chunk hashes and lengths one after another, and the Merkle root of the chunk hashes;
-* ``manifest``: per recipe range its first start, rows, ids and the Merkle root of its documents, and the store's root.
-
-``read_store`` gives whole id streams back; ``read_digests`` reads every chunk's bytes back, checks their hashes and
-folds the chunks' CRC-32 along the recipes, so ids are not moved to their documents only to be summed up.
-
-Edge cases: a null or empty text is the end id alone; repeated rows each have a recipe and share chunks; a null doc_id
+* ``manifest``: per recipe range its first start, rows, ids and the Merkle root of its documents; a leaf holds a document's
+  id, start in the range, number of ids and chunk root;
+* ``root``: one row with the number of ranges, rows and ids, and the Merkle root of the manifest's rows.
+
+Both readers first hold the manifest against the root and every range of the recipes against the manifest, so a lost,
+added, moved or changed recipe or range raises.  A document's chunks are joined from the recipe's side and held against its
+root, so a lost, swapped or changed chunk raises too.  ``read_store`` gives whole id streams back; ``read_digests`` reads
+every chunk's bytes back, checks their hashes and folds the chunks' CRC-32 along the recipes, so ids are not moved to their
+documents only to be summed up.
+
+Edge cases: a null or empty text is the end id alone; a very long text is many chunks, of at most MOST ids each; repeated
+rows each have a recipe and share chunks; rows of one doc_id stand in the order of their recipes' hashes; a null doc_id
 sorts first; an empty table gives an empty store; other columns of the input are ignored, whatever their names.
 """
 
@@ -36,6 +42,9 @@ END_ID = 0
 #: A cut falls on one id in 2**MASK_BITS; chunks hold LEAST to MOST ids.
 MASK_BITS, LEAST, MOST = 9, 128, 4096
 HASH = 16
+ROOT = "ranges long, rows long, ids long, root binary"
+#: Hashes a task remembers to have sent; chunks that it sends again are dropped after the exchange.
+SENT_HASHES = 200_000
 #: Documents in a recipe range; bounds the rows that one ordering task holds.
 RANGE_ROWS = 20_000
 
@@ -104,7 +113,9 @@ def write_store(docs: DataFrame, path: str, vocab: str | None = None, end_id: in
                 payloads = [raw[a * width : b * width] for a, b in zip([0, *cuts], cuts)]
                 hashes, lengths = [chunk_hash(x) for x in payloads], [b - a for a, b in zip([0, *cuts], cuts)]
                 for h, n, payload in zip(hashes, lengths, payloads):
-                    if h not in sent:  # once per task here, once per store after the exchange by hash
+                    if h not in sent:  # seldom twice from a task, once in the store after the exchange by hash
+                        if len(sent) >= SENT_HASHES:
+                            sent.clear()
                         sent.add(h)
                         kinds.append(1)
                         keys.append(h)
@@ -125,17 +136,16 @@ def write_store(docs: DataFrame, path: str, vocab: str | None = None, end_id: in
     rows = docs.select(id_of(id_col).alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, schema)
 
     def unique(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: set[bytes] = set()
+        before = None
         for batch in batches:
             keep = []
             for kind, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                keep.append(kind == 0 or h not in kept)
-                if kind == 1:
-                    kept.add(h)
+                keep.append(kind == 0 or h != before)
+                before = h if kind == 1 else before
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    # Recipes are spread by document, chunks by hash; at most one copy of a chunk comes from each task.
-    dealt = rows.repartition(F.when(F.col("kind") == 1, F.xxhash64("hash")).otherwise(F.xxhash64("doc_id", "hash", "kind")))
+    # Recipes are spread by document, chunks by hash; equal chunks stand one after another, so no task remembers hashes.
+    dealt = rows.repartition(F.when(F.col("kind") == 1, F.xxhash64("hash")).otherwise(F.xxhash64("doc_id", "hash", "kind"))).sortWithinPartitions("kind", "hash")
     dealt.mapInArrow(unique, schema).write.partitionBy("kind").parquet(f"{path}/parts")
     parts = spark.read.parquet(f"{path}/parts") if _has_rows(spark, f"{path}/parts") else spark.createDataFrame([], "hash binary, doc_id long, n long, body binary, lengths binary, kind int")
     _write_recipes(parts.filter("kind = 0").drop("kind"), path)
@@ -177,19 +187,58 @@ def _write_recipes(recipes: DataFrame, path: str) -> None:
         firsts.append((at, total, ids, rows))
         total += ids
 
+    roots = _range_roots(written).select("range", "root")
+    manifest = spark.createDataFrame(firsts, "range int, first_start long, ids long, rows long").join(roots, "range")
+    manifest.coalesce(1).write.parquet(f"{path}/manifest")
+    rows = _manifest_rows(spark, path)
+    found = [(len(rows), sum(r["rows"] for r in rows), sum(r["ids"] for r in rows), _manifest_root(rows))]
+    spark.createDataFrame(found, ROOT).coalesce(1).write.parquet(f"{path}/root")
+
+
+def _range_roots(recipes: DataFrame) -> DataFrame:
+    """``range, ids, rows, root`` of every range, from its documents' rows; a task holds about RANGE_ROWS of them a range."""
+
     def root_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leaves: dict[int, list] = {}
         for part in batches:
-            for at, within, root in zip(*(c.to_pylist() for c in part.columns)):
-                leaves.setdefault(at, []).append((within, root))
-        yield batch_of(range=pa.array(leaves.keys(), pa.int32()), root=pa.array([merkle_root([r for _, r in sorted(x)]) for x in leaves.values()], pa.binary()))
+            for at, within, n, doc_id, root in zip(*(c.to_pylist() for c in part.columns)):
+                leaves.setdefault(at, []).append((within, n, b"" if doc_id is None else doc_id.to_bytes(8, "little", signed=True), root))
+        found = [(at, sum(x[1] for x in rows), len(rows), merkle_root([b"".join([w.to_bytes(8, "little"), n.to_bytes(8, "little"), root, doc_id]) for w, n, doc_id, root in sorted(rows)])) for at, rows in leaves.items()]
+        at, ids, rows, roots = zip(*found) if found else ((), (), (), ())
+        yield batch_of(range=pa.array(at, pa.int32()), ids=pa.array(ids, pa.int64()), rows=pa.array(rows, pa.int64()), root=pa.array(roots, pa.binary()))
+
+    return recipes.select("range", "within", "n_tokens", "doc_id", "root").repartition(F.col("range")).mapInArrow(root_of, "range int, ids long, rows long, root binary")
+
 
-    manifest = spark.createDataFrame(firsts, "range int, first_start long, ids long, rows long")
-    roots = written.select("range", "within", "root").repartition(F.col("range")).mapInArrow(root_of, "range int, root binary")
-    manifest.join(roots, "range").coalesce(1).write.parquet(f"{path}/manifest")
+def _manifest_rows(spark: SparkSession, path: str) -> list:
+    """The manifest's rows in order, one for RANGE_ROWS documents."""
+    return spark.read.parquet(f"{path}/manifest").orderBy("range").collect()
+
+
+def _manifest_root(rows: list) -> bytes:
+    return merkle_root([b"".join([*(r[k].to_bytes(8, "little") for k in ("range", "first_start", "ids", "rows")), bytes(r["root"])]) for r in rows])
+
+
+def check_manifest(spark: SparkSession, path: str) -> None:
+    """Raise unless the manifest has the store's root and every range of the recipes has the manifest's rows, ids and root."""
+    rows, root = _manifest_rows(spark, path), spark.read.parquet(f"{path}/root").collect()
+    if [(len(rows), sum(r["rows"] for r in rows), sum(r["ids"] for r in rows), _manifest_root(rows))] != [(r["ranges"], r["rows"], r["ids"], bytes(r["root"])) for r in root]:
+        raise ValueError("the manifest does not match the store's root")
+    before = 0
+    for r in rows:
+        if r["first_start"] != before:
+            raise ValueError(f"range {r['range']} does not start where the one before it ends")
+        before += r["ids"]
+    kept = spark.read.parquet(f"{path}/manifest").select("range", F.struct("ids", "rows", "root").alias("kept"))
+    found = _range_roots(spark.read.parquet(f"{path}/recipes")).select("range", F.struct("ids", "rows", "root").alias("found"))
+    wrong = kept.join(found, "range", "full").filter(~F.col("kept").eqNullSafe(F.col("found"))).select("range").limit(10).collect()
+    if wrong:
+        raise ValueError(f"the recipes of the ranges {sorted(r['range'] for r in wrong)} do not match the manifest")
 
 
 def _recipes(spark: SparkSession, path: str) -> DataFrame:
+    """The recipes with their documents' starts, after a check of the whole manifest."""
+    check_manifest(spark, path)
     manifest = spark.read.parquet(f"{path}/manifest").select("range", "first_start")
     recipes = spark.read.parquet(f"{path}/recipes")
     return recipes.join(manifest, "range").withColumn("start", F.col("first_start") + F.col("within")).drop("range", "first_start", "within")
@@ -223,20 +272,24 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
     used = _chunk_refs(recipes).join(checked.hint("merge"), "hash").groupBy("start").agg(F.collect_list(F.struct("number", "hash", "n", "crc")).alias("used"))
 
     def fold(part: pa.RecordBatch) -> pa.RecordBatch:
-        lists = part.column(4)
-        sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        lists = part.column(5)
+        sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         starts = np.cumsum(sizes) - sizes
         number, h, n, crc = (lists.flatten().field(k) for k in range(4))
         order = np.lexsort((number.to_numpy(), np.repeat(np.arange(len(sizes)), sizes)))
         hashes, lengths = h.take(pa.array(order)).to_pylist(), n.to_numpy()[order]
-        whole = np.add.reduceat(lengths, starts) if len(starts) else lengths
-        for at, start, size, expected, root in zip(range(len(sizes)), starts.tolist(), sizes.tolist(), part.column(2).to_pylist(), part.column(3).to_pylist()):
-            if whole[at] != expected or merkle_root(hashes[start : start + size]) != root:
-                raise ValueError(f"the document at {part.column(1)[at].as_py()} does not match its recipe")
-        crcs = crc32_joined(crc.to_numpy()[order], 4 * lengths, starts)
+        for at, start, size, total, root, lens in zip(range(len(sizes)), starts.tolist(), sizes.tolist(), *(part.column(k).to_pylist() for k in (2, 3, 4))):
+            _check_document(part.column(1)[at].as_py(), hashes[start : start + size], lengths[start : start + size], total, root, lens)
+        crcs = crc32_joined(crc.to_numpy()[order], 4 * lengths, starts) if len(starts) else np.empty(0)
         return batch_of(doc_id=part.column(0), start=part.column(1), n_tokens=part.column(2), ids_crc32=pa.array(crcs.astype(np.int64), pa.int64()))
 
-    return map_batches(recipes.join(used, "start").select("doc_id", "start", "n_tokens", "root", "used"), fold, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return map_batches(recipes.join(used, "start", "left").select("doc_id", "start", "n_tokens", "root", "lengths", "used"), fold, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def _check_document(start: int, hashes: list[bytes], lengths: np.ndarray, n_tokens: int, root: bytes, recipe_lengths: bytes) -> None:
+    """Raise unless a document's chunks are those of its recipe, all of them, in order and of the recipe's lengths."""
+    if not hashes or merkle_root(hashes) != root or int(lengths.sum()) != n_tokens or lengths.astype("<u2").tobytes() != recipe_lengths:
+        raise ValueError(f"the document at {start} does not match its recipe")
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
@@ -246,11 +299,13 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
 
     def join(part: pa.RecordBatch) -> pa.RecordBatch:
         streams = []
-        for given in part.column(3).to_pylist():
-            streams.append(np.concatenate([np.frombuffer(x["body"], dtype=f"<u{len(x['body']) // x['n']}") for x in sorted(given, key=lambda x: x["number"])]).astype(np.int32))
+        for given, start, total, root, lens in zip(*(part.column(k).to_pylist() for k in (5, 1, 2, 3, 4))):
+            used = sorted(given or [], key=lambda x: x["number"])
+            _check_document(start, [chunk_hash(x["body"]) for x in used], np.array([x["n"] for x in used], dtype=np.int64), total, root, lens)
+            streams.append(np.concatenate([np.frombuffer(x["body"], dtype=f"<u{len(x['body']) // x['n']}") for x in used]).astype(np.int32))
         return batch_of(doc_id=part.column(0), start=part.column(1), n_tokens=part.column(2), ids=pa.array(streams, pa.list_(pa.int32())))
 
-    return map_batches(recipes.join(parts, "start").select("doc_id", "start", "n_tokens", "parts"), join, "doc_id long, start long, n_tokens long, ids array<int>")
+    return map_batches(recipes.join(parts, "start", "left").select("doc_id", "start", "n_tokens", "root", "lengths", "parts"), join, "doc_id long, start long, n_tokens long, ids array<int>")
 
 
 def op3_token_store(spark, sf_dir: str) -> DataFrame:

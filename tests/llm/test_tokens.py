@@ -95,13 +95,40 @@ def test_op3_empty_and_damage(spark, empty, docs, tmp_path):
     path = token_store.write_store(docs, str(tmp_path / "good"))
     spoiled = spark.read.parquet(f"{path}/parts").withColumn("body", F.expr("if(kind = 1, cast(concat(cast(substring(body, 1, length(body) - 2) AS binary), X'FFFF') AS binary), body)"))
     spoiled.write.partitionBy("kind").parquet(str(tmp_path / "bad" / "parts"))
-    for part in ("recipes", "manifest"):
+    for part in ("recipes", "manifest", "root"):
         spark.read.parquet(f"{path}/{part}").write.parquet(str(tmp_path / "bad" / part))
     with pytest.raises(Exception, match="does not match its hash"):
         token_store.read_digests(spark, str(tmp_path / "bad")).collect()
     assert token_store.merkle_root([b"a", b"b"]) != token_store.merkle_root([b"b", b"a"]) and token_store.merkle_root([]) != token_store.merkle_root([b""])
 
 
+@pytest.mark.parametrize("reader", ["read_digests", "read_store"])
+def test_op3_manifest_finds_every_loss(spark, docs, tmp_path, reader):
+    """A recipe lost, added or renamed, a range lost, a chunk lost or swapped for another, and a changed manifest."""
+    path = token_store.write_store(docs, str(tmp_path / "good"))
+    recipes, parts, manifest = (spark.read.parquet(f"{path}/{part}") for part in ("recipes", "parts", "manifest"))
+    some = recipes.filter("doc_id = 4").first()  # a text of one id and the end id
+    only = bytes(some["hashes"])[: token_store.HASH].hex()
+    other = parts.filter(f"kind = 1 AND hash <> X'{only}' AND n = {some['n_tokens']}").first()
+    changes = {
+        "recipe lost": ("recipes", recipes.filter("doc_id IS NULL OR doc_id <> 4"), "manifest"),
+        "recipe twice": ("recipes", recipes.unionByName(recipes.filter("doc_id = 4")), "manifest"),
+        "id changed": ("recipes", recipes.withColumn("doc_id", F.expr("doc_id + 1000000")), "manifest"),
+        "range lost": ("recipes", recipes.filter("range <> 0"), "manifest"),
+        "range lost everywhere": ("manifest", manifest.filter("false"), "root"),
+        "manifest changed": ("manifest", manifest.withColumn("ids", F.expr("ids + 1")), "root"),
+        "chunk lost": ("parts", parts.filter(f"kind = 0 OR hash <> X'{only}'"), "recipe"),
+        "chunk swapped": ("parts", parts.withColumn("body", F.expr(f"if(kind = 1 AND hash = X'{only}', X'{bytes(other['body']).hex()}', body)")), "hash|recipe"),
+    }
+    for name, (what, changed, message) in changes.items():
+        bad = str(tmp_path / name.replace(" ", "-"))
+        for part in ("recipes", "manifest", "root", "parts"):
+            table = changed if part == what else spark.read.parquet(f"{path}/{part}")
+            (table.write.partitionBy("kind") if part == "parts" else table.write).parquet(f"{bad}/{part}")
+        with pytest.raises(Exception, match=message):
+            getattr(token_store, reader)(spark, bad).collect()
+
+
 def brute_pieces(word: bytes, scores) -> int:
     best = [(0.0, 0)]
     for end in range(1, len(word) + 1):
@@ -113,7 +140,7 @@ def test_op5_equals_plain_dynamic_programming(docs, rows, empty):
     import public_tokenizers
     import regex
 
-    c = trie_counts.UnigramCounter(vocab_path())
+    c = trie_counts.UnigramCounter(vocab_path(), trie_counts.piece_counts(docs).tobytes())
     split = regex.compile(public_tokenizers.PATTERN).findall
     short = {r[0]: r[1] or "" for r in rows if len(r[1] or "") < 5000}
     found = [r for r in trie_counts.count_tokens(docs).collect()]
@@ -125,6 +152,20 @@ def test_op5_equals_plain_dynamic_programming(docs, rows, empty):
     assert trie_counts.count_tokens(empty).count() == 0
 
 
+def test_op5_scores_come_from_the_documents(spark, docs, rows, library):
+    counts = trie_counts.piece_counts(docs)
+    expected = np.zeros(len(counts), dtype=np.int64)
+    for r in rows:
+        np.add.at(expected, ids_of(library, r[1] or ""), 1)
+    assert np.array_equal(counts, expected)
+    scores = trie_counts.unigram_scores([b"x", b"y", b"z", b"<end>"], np.array([8, 0, 2, 99]), frozenset([3]))
+    assert scores == pytest.approx({b"x": np.log(9 / 13), b"y": np.log(1 / 13), b"z": np.log(3 / 13)})
+    one = spark.createDataFrame([(1, "zebra zebra zebra")], "doc_id long, text string")
+    other = spark.createDataFrame([(1, "zebra zebra zebra"), *((2 + i, "z e b r a") for i in range(300))], "doc_id long, text string")
+    n = [trie_counts.count_tokens(t).filter("doc_id = 1").first()["n_tokens"] for t in (one, other)]
+    assert n[0] <= n[1]
+
+
 def test_trie_shares_prefixes():
     t = trie_counts.ForwardTrie({b"a": -1.0, b"b": -1.0, b"ab": -1.5, b"c": -1.0})
     assert t.insert(b"abc") == 2 and len(t.best) == 4
