@@ -274,6 +274,26 @@ def test_metrics_equal_brute_force(spark):
     assert metrics.permutation_p(1.0, [0.0] * 9) == 0.1
 
 
+def test_hashes_and_draws_are_pinned(spark):
+    """Values by the public algorithms alone: keyed BLAKE2b, splitmix64 and the top 53 bits."""
+    def mix(x):
+        m = (1 << 64) - 1
+        z = (x + 0x9E3779B97F4A7C15) & m
+        z = ((z ^ (z >> 30)) * 0xBF58476D1CE4E5B9) & m
+        z = ((z ^ (z >> 27)) * 0x94D049BB133111EB) & m
+        return z ^ (z >> 31)
+
+    names = ["", "000|U1", "é", "a" * 300]
+    df = spark.createDataFrame([(x,) for x in names], "k string").select("k", hashing.keyed_hex("demo", 1)(F.col("k")).alias("hex"), hashing.keyed_uniform("demo", 1, "u")(F.col("k")).alias("u"))
+    key = hashlib.blake2b(b"demo|1", digest_size=32).digest()
+    salt = int.from_bytes(hashlib.blake2b(b"u", digest_size=8).digest(), "little")
+    found = {r["k"]: (r["hex"], r["u"]) for r in df.collect()}
+    for x in names:
+        digest = hashlib.blake2b(x.encode(), digest_size=8, key=key)
+        assert found[x] == (digest.hexdigest(), (mix(int.from_bytes(digest.digest(), "little") ^ salt) >> 11) / 2**53)
+    assert mix(0) == 0xE220A8397B1DCDAF  # the algorithm's published first value
+
+
 def test_hashes_and_draws(spark):
     df = spark.range(2000).select(F.col("id").cast("string").alias("k")).withColumn("u", hashing.keyed_uniform("p", 1, "s")(F.col("k"))).withColumn("c", hashing.choose(F.col("u"), ["x", "y"], [1, 3]))
     got = df.groupBy("c").count().collect()
