@@ -53,8 +53,11 @@ class Scratch:
     def __enter__(self) -> Scratch:
         return self
 
-    def write(self, df: DataFrame) -> DataFrame:
+    def write(self, df: DataFrame, small: bool = False) -> DataFrame:
+        """``small``: the rows are a fraction of those they come from, and need as few files."""
         self.n += 1
+        if small:
+            df = df.coalesce(max(8, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 8))
         df.write.parquet(f"{self.path}/{self.n}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{self.n}")
 

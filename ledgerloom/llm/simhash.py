@@ -126,7 +126,7 @@ def connected_components(edges: DataFrame, task_links: int = TASK_LINKS) -> Data
     round is written, so a lost executor costs no earlier round.
     """
     with Scratch(edges.sparkSession, "links") as scratch:
-        links = scratch.write(edges.filter("a <> b").select("a", "b"))
+        links = scratch.write(edges.filter("a <> b").select("a", "b"), small=True)
         tasks = -(-links.count() // task_links)
         links = scratch.write(_contracted(links, max(1, tasks)))
         links = materialise(links if tasks <= 1 else _starred(links, scratch), "links")
