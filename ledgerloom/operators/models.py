@@ -5,12 +5,13 @@ from __future__ import annotations
 import hashlib
 import json
 import math
-import os
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.files import read_text, write_text
+
 
 def rule_count(fired: DataFrame) -> DataFrame:
     names = [c for c in fired.columns if c.startswith("fired_")]
@@ -114,19 +115,18 @@ def contributions(rows: DataFrame, features: list[str], coefficients: list[float
     return rows.withColumns({f"part_{f}": F.col(f) * F.lit(float(c)) for f, c in zip(features, coefficients)})
 
 
-def save_document(folder: str, document: dict) -> str:
-    """Store a document under the hash of its canonical form."""
+def save_document(spark: SparkSession, folder: str, document: dict) -> str:
+    """Store a document under the hash of its canonical form, in any folder that Spark reaches."""
     body = json.dumps(document, sort_keys=True, separators=(",", ":"))
     name = hashlib.sha256(body.encode()).hexdigest()
-    os.makedirs(folder, exist_ok=True)
-    with open(os.path.join(folder, f"{name}.json"), "w", encoding="utf-8", newline="\n") as f:
-        f.write(body)
+    write_text(spark, f"{folder.rstrip('/')}/{name}.json", body)
     return name
 
 
-def load_document(folder: str, name: str) -> dict:
-    with open(os.path.join(folder, f"{name}.json"), encoding="utf-8", newline="") as f:
-        body = f.read()
+def load_document(spark: SparkSession, folder: str, name: str) -> dict:
+    body = read_text(spark, f"{folder.rstrip('/')}/{name}.json")
+    if body is None:
+        raise FileNotFoundError(f"no document {name} in {folder}")
     if hashlib.sha256(body.encode()).hexdigest() != name:
         raise ValueError(f"document {name} was changed after it was saved")
     return json.loads(body)

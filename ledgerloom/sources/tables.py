@@ -5,7 +5,6 @@ from __future__ import annotations
 import csv
 import hashlib
 import json
-import os
 import re
 from collections.abc import Iterator
 
@@ -13,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.functions.files import read_text, write_text
+
 #: Names of the raw CSV's columns, in order, and their types.
 TRANSACTION = [("timestamp", "timestamp_ntz"), ("from_bank", "string"), ("from_account", "string"), ("to_bank", "string"), ("to_account", "string"), ("amount_received", "double"), ("receiving_currency", "string"), ("amount_paid", "double"), ("payment_currency", "string"), ("payment_format", "string"), ("is_laundering", "tinyint")]
 STORES = {"runtime": ("transactions", "alerts", "account_day_stats", "features", "kyc", "dispositions"), "eval": ("alert_labels", "laundering_legs", "agent_split", "planting")}
@@ -163,13 +164,17 @@ def cache_key(**parts) -> str:
     return hashlib.sha256(json.dumps(parts, sort_keys=True, default=str).encode()).hexdigest()
 
 
-def is_current(folder: str, key: str) -> bool:
-    """Whether a local manifest names this key and is complete; a stale one raises."""
-    path = os.path.join(folder, "manifest.json")
-    if not os.path.exists(path):
+def mark_current(spark: SparkSession, folder: str, key: str, **facts) -> None:
+    """Write a stage's manifest once its tables are complete."""
+    write_text(spark, f"{folder.rstrip('/')}/manifest.json", json.dumps({"key": key, "complete": True, **facts}, sort_keys=True))
+
+
+def is_current(spark: SparkSession, folder: str, key: str) -> bool:
+    """Whether a folder's manifest names this key and is complete; a stale one raises."""
+    text = read_text(spark, f"{folder.rstrip('/')}/manifest.json")
+    if text is None:
         return False
-    with open(path, encoding="utf-8") as f:
-        found = json.load(f)
+    found = json.loads(text)
     if not found.get("complete"):
         return False
     if found.get("key") != key:

@@ -441,11 +441,18 @@ def test_models_and_store(spark, tmp_path):
     scored = models.positive_score(models.fit_model("logistic", ready, names), ready)
     assert metrics.auc_ap(scored.select("score", "y")).first()["auc"] > 0.9
     assert models.rule_weights(rows)["fired_R1"] > 0 and models.rule_count(rows).agg(F.max("score")).first()[0] == 1.0
-    name = models.save_document(str(tmp_path), {"w": [1, 2]})
-    assert models.load_document(str(tmp_path), name) == {"w": [1, 2]}
-    (tmp_path / f"{name}.json").write_text('{"w":[1,3]}')
+    name = models.save_document(spark, str(tmp_path), {"w": [1, 2], "é": "x"})
+    assert models.load_document(spark, str(tmp_path), name) == {"w": [1, 2], "é": "x"}
+    (tmp_path / ("0" * 64 + ".json")).write_text('{"w":[1,3]}')
     with pytest.raises(ValueError):
-        models.load_document(str(tmp_path), name)
+        models.load_document(spark, str(tmp_path), "0" * 64)
+    with pytest.raises(FileNotFoundError):
+        models.load_document(spark, str(tmp_path), "1" * 64)
+    assert not tables.is_current(spark, str(tmp_path), "k")
+    tables.mark_current(spark, str(tmp_path), "k", rows=3)
+    assert tables.is_current(spark, str(tmp_path), "k")
+    with pytest.raises(ValueError, match="other inputs"):
+        tables.is_current(spark, str(tmp_path), "other")
 
 
 CSV = "Timestamp,From Bank,Account,To Bank,Account,Amount Received,Receiving Currency,Amount Paid,Payment Currency,Payment Format,Is Laundering"
