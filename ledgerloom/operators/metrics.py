@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -98,11 +100,11 @@ def tied_auc_ap(score: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[f
 def bootstrap(rows: DataFrame, unit: str, replicates: int = 200, seed: int = 0, score: str = "score", y: str = "y", most_rows: int = 1_000_000) -> DataFrame:
     """``replicate, auc, ap``, resampling units; replicates are spread over tasks, each with the same evaluation rows.
 
-    The evaluation rows of a fold travel with the tasks: their number is checked against ``most_rows`` first.
+    Up to ``most_rows`` evaluation rows travel with the tasks; more are resampled where they are, by ``spread_bootstrap``.
     """
     n = rows.count()
     if n > most_rows:
-        raise ValueError(f"{n} evaluation rows are more than a task may hold ({most_rows})")
+        return spread_bootstrap(rows, unit, replicates, seed, score, y)
     data = rows.select(F.col(unit).cast("string").alias("unit"), F.col(score).cast("double").alias("s"), F.col(y).cast("double").alias("y")).toPandas().sort_values(["unit", "s", "y"])
     codes, _ = pd.factorize(data["unit"])
     s, labels, units = data["s"].to_numpy(), data["y"].to_numpy(), int(codes.max()) + 1 if n else 0
@@ -118,6 +120,27 @@ def bootstrap(rows: DataFrame, unit: str, replicates: int = 200, seed: int = 0,
     return rows.sparkSession.range(replicates).withColumnRenamed("id", "replicate").mapInPandas(run, "replicate long, auc double, ap double")
 
 
+def spread_bootstrap(rows: DataFrame, unit: str, replicates: int = 200, seed: int = 0, score: str = "score", y: str = "y") -> DataFrame:
+    """``replicate, auc, ap`` of any number of rows: every unit's multiplicity in a replicate is a Poisson draw by a hash.
+
+    The draws of units are independent, so the replicates' sizes vary about the sample's; no task holds all rows.
+    """
+    bounds, total, term = [], 0.0, math.exp(-1.0)
+    for k in range(20):
+        total += term
+        bounds.append(total)
+        term /= k + 1
+    u = F.shiftrightunsigned(F.xxhash64(F.col(unit).cast("string"), "replicate", F.lit(seed)), 11) / F.lit(float(1 << 53))
+    drawn = rows.select(F.col(unit), F.col(score).cast("double").alias("score"), F.col(y).cast("double").alias("y"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"))).alias("replicate"))
+    weighted = drawn.withColumn("w", F.size(F.filter(F.lit(bounds), lambda b: u >= b))).filter("w > 0")
+    s = weighted.groupBy("replicate", "score").agg(F.sum(F.col("w") * F.col("y")).alias("pos"), F.sum("w").alias("n"))
+    s = running(s, "score", {"tp": "pos", "flagged": "n"}, "replicate", descending=True)
+    wins = (F.col("n") - F.col("pos")) * (F.col("tp") - F.col("pos") / F.lit(2.0))
+    auc, ap = F.try_divide(F.sum(wins), F.max("all_tp") * (F.max("all_flagged") - F.max("all_tp"))), F.try_divide(F.sum(F.col("pos") * F.col("tp") / F.col("flagged")), F.max("all_tp"))
+    defined = (F.max("all_tp") > 0) & (F.max("all_tp") < F.max("all_flagged"))
+    return s.groupBy("replicate").agg(F.when(defined, auc).otherwise(float("nan")).alias("auc"), F.when(defined, ap).otherwise(float("nan")).alias("ap"))
+
+
 def interval(replicates: DataFrame, column: str = "ap", level: float = 0.95) -> DataFrame:
     half = (1 - level) / 2
     return replicates.filter(~F.isnan(column)).agg(F.percentile(column, F.lit(half)).alias("low"), F.percentile(column, F.lit(1 - half)).alias("high"), F.count(F.lit(1)).alias("n"))

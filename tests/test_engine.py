@@ -272,6 +272,8 @@ def test_metrics_equal_brute_force(spark):
     one, two = metrics.bootstrap(df, "unit", 8).orderBy("replicate").collect(), metrics.bootstrap(df.repartition(3), "unit", 8).orderBy("replicate").collect()
     assert [x["replicate"] for x in one] == list(range(8)) and np.allclose([x["ap"] for x in one], [x["ap"] for x in two])
     assert metrics.permutation_p(1.0, [0.0] * 9) == 0.1
+    held, spread = (metrics.bootstrap(df, "unit", 300, most_rows=n).agg(F.avg("ap").alias("m"), F.stddev("ap").alias("s"), F.avg("auc").alias("a"), F.count("ap").alias("n")).first() for n in (1000, 10))
+    assert held["n"] == spread["n"] == 300 and spread["m"] == pytest.approx(held["m"], abs=0.02) and spread["a"] == pytest.approx(held["a"], abs=0.02) and spread["s"] == pytest.approx(held["s"], rel=0.3)
 
 
 def test_hashes_and_draws_are_pinned(spark):
