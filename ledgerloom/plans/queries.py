@@ -1182,3 +1182,41 @@ _FACTS = {"rows": "n > 0", "times": "null_ts = 0", "banks": "empty_from_bank = 0
 def v08_audit_facts(spark, sf):
     found = contracts.violations(audit.schema_audit(ledger.ledger(spark, sf)), _FACTS)
     return found.select(F.array_join("broken", ",").alias("broken"))
+
+
+# ---- the whole feature table against the oracles of its blocks
+
+_KEYS = "account_key, window_start"
+_BLOCKS = {
+    "behaviour": ORACLES["g02_g03_behaviour"],
+    "pairs": f"WITH {LEGS} SELECT {_KEYS}, count(*)::double AS n_counterparties, round(sum(u * u) / nullif(sum(u) * sum(u), 0), 6) AS cp_hhi, max(n)::double AS max_txn_one_cp FROM (SELECT {_KEYS}, counterparty, sum(usd) AS u, count(*) AS n FROM legs GROUP BY ALL) t GROUP BY 1, 2",
+    "shares": ORACLES["a09_shares"],
+    "dynamics": ORACLES["g04_w04_dynamics"],
+    "peers": f"WITH {STATS} SELECT {_KEYS}, " + ", ".join(f"{_percentile_sql(c, 'window_start')} AS pct_{c}" for c in ("n_txn", "n_distinct_senders", "n_distinct_receivers")) + " FROM stats",
+    "reciprocal": ORACLES["g08_reciprocal"],
+    "cycles": ORACLES["g09_cycles3"],
+    "reach": ORACLES["g10_reach2"],
+    "degrees": ORACLES["g11_neighbour_degrees"],
+    "sizes": ORACLES["g07_components"].rsplit("SELECT window_start, root", 1)[0] + "SELECT window_start, node AS account_key, round(log10(count(*) OVER (PARTITION BY window_start, root)), 6) AS wcc_log10_size FROM (SELECT window_start, node, min(root) AS root FROM walk GROUP BY 1, 2) l",
+    "itself": ORACLES["a08_self_transfers"],
+}
+_ZERO = ("reciprocal_cp", "cycles3", "reach2_out", "reach2_in", "n_self_transfers")
+_COMPARED = {
+    **{c: f"round(a.{c}, 4)" if c.endswith("usd") else f"a.{c}" for c in stats.STATS}, **{f"fired_{r}": f"a.{f}::int" for f, r in _FLAGS.items()}, "n_rules_triggered": "a.n_rules_triggered",
+    **{c: c for c in ("n_in", "n_out", "amt_mean_usd", "amt_median_usd", "amt_min_usd", "amt_std_usd", "amt_log10_std", "amt_cv", "n_currencies", *(f"share_fmt_{features.slug(f)}" for f in features.FORMATS))},
+    **{c: c for c in ("n_counterparties", "cp_hhi", "max_txn_one_cp", "share_near_threshold", "share_round", "share_cross_currency", "net_flow_ratio", "active_hours", "max_txn_per_hour", "span_hours", "median_interarrival_min", "in_to_out_lag_min")},
+    **{c: c for c in ("pct_n_txn", "pct_n_distinct_senders", "pct_n_distinct_receivers", "senders_mean_outdeg", "receivers_mean_indeg", "wcc_log10_size")}, **{c: f"coalesce({c}, 0)" for c in _ZERO},
+    "repeat_share": "round(1 - n_counterparties / a.n_txn, 6)",
+}
+
+
+@query(
+    f"SELECT {_KEYS}, {', '.join(f'coalesce(({v})::double, -1e9) + 0 AS {k}' for k, v in _COMPARED.items())} FROM (SELECT * FROM alerts WHERE n_rules_triggered > 0) a "
+    + " ".join(f"LEFT JOIN ({sql}) {name} USING ({_KEYS})" for name, sql in _BLOCKS.items()),
+    FIRED,
+)
+def d17_j08_feature_values(spark, sf):
+    """Every feature of every alert (undefined: -1e9), but for the two peer percentiles of amounts, which ``g05`` compares."""
+    digits = dict.fromkeys((c for c in stats.STATS if c.endswith("usd")), 4) | {"amt_std_usd": 3, "amt_log10_std": 5, "amt_cv": 5}
+    table = d17_feature_table(spark, sf)
+    return table.select("account_key", "window_start", *[(F.when(F.isnan(c), -1e9).otherwise(F.round(c, digits.get(c, 6))) + 0.0).alias(c) for c in _COMPARED])
