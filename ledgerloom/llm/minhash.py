@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import id_of, text_of
@@ -132,6 +132,13 @@ def _moved(firsts: DataFrame) -> DataFrame:
     return inside.join(ends, "block").select(F.col("range").alias("from"), F.coalesce("before", "earlier").alias("to"), "first")
 
 
+def dealing_keys(spark: SparkSession, parts: int) -> list[int]:
+    """For each of ``parts`` partitions a number whose hash deals it there."""
+    numbers = spark.range(64 * parts).select("id", F.pmod(F.hash("id"), F.lit(parts)).alias("part"))
+    found = {r["part"]: r["id"] for r in numbers.groupBy("part").agg(F.min("id").alias("id")).collect()}
+    return [found.get(part, part) for part in range(parts)]
+
+
 def with_next(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """``doc_id, text`` rows (and copies marked ``extra``) with their ``range``, ``rank`` in it and the ``next_text``."""
     number, ranges = id_ranges(docs.select("doc_id"), range_rows)
@@ -141,8 +148,13 @@ def with_next(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     moved = F.broadcast(moved) if ranges <= BROADCAST_RANGES else moved
     copies = dealt.join(moved, (dealt["range"] == moved["from"]) & dealt["doc_id"].eqNullSafe(moved["first"])).select(F.col("to").alias("range"), "doc_id", "text", F.lit(True).alias("extra"))
     both = dealt.withColumn("extra", F.lit(False)).unionByName(copies)
-    in_order = Window.partitionBy("range").orderBy("extra", F.col("doc_id").asc_nulls_first(), "tie")
-    return both.withColumn("tie", F.xxhash64("text")).withColumn("rank", F.row_number().over(in_order)).withColumn("next_text", F.lead("text").over(in_order))
+    # Ranges are dealt in turn, so no partition gets more of them than others by the chance of a hash.
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    key = F.get(F.lit(dealing_keys(spark, parts)).cast("array<bigint>"), F.pmod("range", F.lit(parts)).cast("int"))
+    in_order = Window.partitionBy("key", "range").orderBy("extra", F.col("doc_id").asc_nulls_first(), "tie")
+    placed = both.withColumns({"tie": F.xxhash64("text"), "key": key}).repartition(parts, "key")
+    return placed.withColumn("rank", F.row_number().over(in_order)).withColumn("next_text", F.lead("text").over(in_order))
 
 
 def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -150,9 +162,9 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = with_next(docs.select(id_of(id_col).alias("doc_id"), text_of(text_col).alias("text")))
     half = F.floor(F.char_length("text") / 2).cast("int")
     edited = F.concat(F.expr("left(text, char_length(text) - int(floor(char_length(text) / 2)))"), F.left(F.coalesce("next_text", F.lit("")), half))
-    rows = rows.select("range", "rank", "extra", "doc_id", "text", F.char_length("text").cast("long").alias("n_chars"), F.when(~F.col("extra"), edited).alias("edited"))
-    rows = rows.select("range", "rank", "extra", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), signature(F.col("text")).alias("bins"), F.when(~F.col("extra"), signature(F.col("edited"))).alias("edited_bins"))
-    rows = rows.withColumn("next_bins", F.lead("bins").over(Window.partitionBy("range").orderBy("rank"))).filter(~F.col("extra"))
+    rows = rows.select("key", "range", "rank", "extra", "doc_id", "text", F.char_length("text").cast("long").alias("n_chars"), F.when(~F.col("extra"), edited).alias("edited"))
+    rows = rows.select("key", "range", "rank", "extra", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), signature(F.col("text")).alias("bins"), F.when(~F.col("extra"), signature(F.col("edited"))).alias("edited_bins"))
+    rows = rows.withColumn("next_bins", F.lead("bins").over(Window.partitionBy("key", "range").orderBy("rank"))).filter(~F.col("extra"))
     return rows.select(
         "doc_id",
         "n_chars",

@@ -232,3 +232,15 @@ def test_pipeline_stages_on_hostile_rows(spark):
     assert found and all(v in set(rows) for v in found.values()) and 900_001 not in found and 900_002 not in found
     placed = corpus_pipeline.best_fit(spark, kept, TINY).collect()
     assert {p["doc_id"] for p in placed} == set(found)
+
+
+def test_op6_ranges_are_dealt_in_turn(spark):
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text of "), F.col("id").cast("string")).alias("text"))
+    placed = minhash.with_next(docs, 50)
+    where = {}
+    for r in placed.withColumn("part", F.spark_partition_id()).select("part", "range").distinct().collect():
+        where.setdefault(r["range"], set()).add(r["part"])
+    assert all(len(p) == 1 for p in where.values())
+    counts = [sum(p == {k} for p in where.values()) for k in range(parts)]
+    assert max(counts) - min(counts) <= 1
