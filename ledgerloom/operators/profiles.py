@@ -21,7 +21,10 @@ GOVERNMENT = "government_public_body"
 
 @dataclass(frozen=True)
 class ProfileRules:
-    """What synthetic profiles are drawn from; weights need not sum to 1.  Sectors and occupations: name -> (weight, risk tier)."""
+    """What synthetic profiles are drawn from; weights need not sum to 1.  Sectors and occupations: name -> (weight, risk tier).
+
+    Fixed values: the defaults.
+    """
 
     sectors: dict[str, tuple[float, str]]
     occupations: dict[str, tuple[float, str]]
