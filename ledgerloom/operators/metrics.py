@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.hashing import mixed
+from ledgerloom.functions.lineage import checkpointed
 from ledgerloom.operators.ranks import running
 
 
@@ -141,6 +143,85 @@ def spread_bootstrap(rows: DataFrame, unit: str, replicates: int = 200, seed: in
     return s.groupBy("replicate").agg(F.when(defined, auc).otherwise(float("nan")).alias("auc"), F.when(defined, ap).otherwise(float("nan")).alias("ap"))
 
 
+def poisson_draw(hashes: np.ndarray, replicate: int, seed: int = 0) -> np.ndarray:
+    """How often each row (a 64-bit hash) is drawn in a replicate: Poisson numbers of mean one; replicate -1 has every row once."""
+    if replicate < 0:
+        return np.ones(len(hashes))
+    u = mixed(hashes ^ mixed(np.array([seed * 1_000_003 + replicate + 1], dtype=np.uint64))[0])
+    found, total, term = np.zeros(len(hashes), dtype=np.uint8), 0.0, math.exp(-1.0)
+    for k in range(20):
+        total += term
+        term /= k + 1
+        more = u >= np.uint64(min(int(total * 2.0**64), 2**64 - 1))
+        if not more.any():
+            break
+        found += more
+    return found.astype(float)
+
+
+def spread_ap(rows: DataFrame, key: str, scores: list[str], replicates: int = 200, seed: int = 0, y: str = "y", range_rows: int = 50_000, most_ranges: int = 256) -> DataFrame:
+    """``replicate, score, ap`` of any number of rows, the same draws for all scores; replicate -1 is the sample itself.
+
+    ``key`` names a row.  Its multiplicity in a replicate is a Poisson draw by a hash, so it can be drawn again wherever
+    the row is needed: first each score's ranges are summed up, then every range goes on from the sums above it.  A value
+    that fills ranges of its own needs its sums only, so ties are dealt to many tasks.  A missing score ranks lowest.
+    """
+    from pyspark.sql import Window
+
+    low = float("-inf")
+    held = checkpointed(rows.select(F.xxhash64(F.col(key).cast("string"), F.lit(seed)).alias("h"), F.col(y).cast("double").alias("y"), *[F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(low)), F.lit(low)).alias(f"s{i}") for i, c in enumerate(scores)]))
+    ranges = min(most_ranges, -(-held.count() // range_rows))
+    cuts = held.approxQuantile([f"s{i}" for i in range(len(scores))], [k / ranges for k in range(1, ranges)], 0.25 / ranges) if ranges > 1 else [[] for _ in scores]
+    bounds = [np.unique(np.array(c)) for c in cuts]
+    alone = [np.array([c.count(v) > 1 for v in b] + [False]) for c, b in zip(cuts, bounds)]
+
+    def places(i: int, values: np.ndarray) -> np.ndarray:
+        """Numbers of the values' ranges, ascending; odd ones hold a single value."""
+        at = np.searchsorted(bounds[i], values)
+        return 2 * at + ((np.append(bounds[i], np.nan)[at] == values) & alone[i][at])
+
+    def add(batches):
+        total = [np.zeros((2, replicates + 1, 2 * len(b) + 2)) for b in bounds]
+        for batch in batches:
+            h, labels = batch["h"].to_numpy().view(np.uint64), batch["y"].to_numpy()
+            at = [places(i, batch[f"s{i}"].to_numpy()) for i in range(len(scores))]
+            some = np.flatnonzero(labels)
+            for r in range(-1, replicates):
+                w = poisson_draw(h, r, seed)
+                for t, a in zip(total, at):
+                    t[0, r + 1] += np.bincount(a[some], w[some] * labels[some], minlength=t.shape[2])
+                    t[1, r + 1] += np.bincount(a, w, minlength=t.shape[2])
+        for i, t in enumerate(total):
+            for a in np.flatnonzero(t[1].any(axis=0)):
+                yield pd.DataFrame({"i": i, "range": a, "replicate": np.arange(-1, replicates), "pos": t[0, :, a], "n": t[1, :, a]})
+
+    tasks = max(1, ranges)
+    by, whole = Window.partitionBy("i", "replicate").orderBy(F.desc("range")), Window.partitionBy("i", "replicate")
+    sums = held.repartition(tasks, "h").mapInPandas(add, "i int, range int, replicate long, pos double, n double").groupBy("i", "range", "replicate").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
+    sums = checkpointed(sums.withColumns({"tp": F.sum("pos").over(by), "flagged": F.sum("n").over(by), "all_pos": F.sum("pos").over(whole), "all_n": F.sum("n").over(whole)}))
+
+    def goes_on(own: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
+        own, above = own.sort_values("s", ascending=False, kind="stable"), above.sort_values("replicate")
+        s, h, labels = own["s"].to_numpy(), own["h"].to_numpy().view(np.uint64), own["y"].to_numpy()
+        last, part = np.append(s[1:] != s[:-1], True), []
+        for r, tp, flagged in zip(above["replicate"], above["tp"] - above["pos"], above["flagged"] - above["n"]):
+            w = poisson_draw(h, r, seed)
+            tps, seen = np.cumsum(w * labels)[last] + tp, np.cumsum(w)[last] + flagged
+            part.append(float(np.sum(np.diff(tps, prepend=tp) * np.divide(tps, seen, out=np.zeros_like(tps), where=seen > 0))))
+        return pd.DataFrame({"i": above["i"], "replicate": above["replicate"], "part": part})
+
+    place = F.pandas_udf(lambda i, s: pd.Series(np.select([i == k for k in range(len(scores))], [places(k, s.to_numpy()) for k in range(len(scores))])), "int")
+    long = held.select("h", "y", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"s{i}").alias("s")) for i in range(len(scores))])).alias("v")).select("h", "y", "v.*").withColumn("range", place("i", "s"))
+    tasks = tasks * len(scores)
+    several, one = "range % 2 = 0", sums.filter("range % 2 = 1")
+    parts = long.filter(several).repartition(tasks, "i", "range").groupBy("i", "range").cogroup(sums.filter(several).repartition(tasks, "i", "range").groupBy("i", "range")).applyInPandas(goes_on, "i int, replicate long, part double")
+    parts = parts.unionByName(one.select("i", "replicate", F.coalesce(F.try_divide(F.col("pos") * F.col("tp"), F.col("flagged")), F.lit(0.0)).alias("part")))
+    ends = sums.groupBy("i", "replicate").agg(F.max("all_pos").alias("p"), F.max("all_n").alias("n"))
+    ap = F.when((F.col("p") > 0) & (F.col("p") < F.col("n")), F.col("part") / F.col("p")).otherwise(float("nan"))
+    found = parts.groupBy("i", "replicate").agg(F.sum("part").alias("part")).join(ends, ["i", "replicate"])
+    return found.select("replicate", F.element_at(F.array(*[F.lit(c) for c in scores]), F.col("i") + 1).alias("score"), ap.alias("ap"))
+
+
 def interval(replicates: DataFrame, column: str = "ap", level: float = 0.95) -> DataFrame:
     half = (1 - level) / 2
     return replicates.filter(~F.isnan(column)).agg(F.percentile(column, F.lit(half)).alias("low"), F.percentile(column, F.lit(1 - half)).alias("high"), F.count(F.lit(1)).alias("n"))

@@ -1,6 +1,7 @@
 """Choosing and comparing models: search space, category codes, paired gains, ceilings, importance and learning curves.
 
-Evaluation rows travel with the bootstrap's tasks, as in ``metrics``: their number is checked first.
+Evaluation rows travel with the bootstrap's tasks, as in ``metrics``: their number is checked first.  Ceilings of more
+rows draw them where they are.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.hashing import keyed_uniform
 from ledgerloom.functions.lineage import checkpointed
-from ledgerloom.operators.metrics import auc_ap, tied_auc_ap
+from ledgerloom.operators.metrics import auc_ap, spread_ap, tied_auc_ap
 
 AUC, AP = 0, 1
 BUCKET_ROWS = 100_000
@@ -107,35 +108,46 @@ def ceilings(rows: DataFrame, checks: dict[str, tuple[str, str | None, float]],
     """``check, value, ceiling, low, high, passes``: average precision of a score, less that of a baseline if one is named.
 
     ``checks``: name -> (score, baseline, multiple); a value must not be over ``multiple`` times the prevalence.  With
-    fewer than ``least_positive`` positives there are no rows.
+    fewer than ``least_positive`` positives there are no rows.  Up to ``most_rows`` rows travel with the tasks; more are
+    resampled where they are, by ``spread_ap``.
     """
     import pandas as pd
 
     schema = "check string, value double, ceiling double, low double, high double, passes boolean"
     names = sorted({c for a, b, _ in checks.values() for c in (a, b) if c})
-    data = _checked(rows, [F.col(key).cast("string").alias("__k"), F.col("y").cast("double").alias("__y"), *[F.col(c).cast("double") for c in names]], ["__k", "__y", *names], most_rows)
-    y, spark = data["__y"].to_numpy(), rows.sparkSession
-    if y.sum() < least_positive:
+    columns, spark, half = [F.col(key).cast("string").alias("__k"), F.col("y").cast("double").alias("__y"), *[F.col(c).cast("double") for c in names]], rows.sparkSession, (1 - level) / 2
+    rows = checkpointed(rows.select(*columns))
+    n, positive = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("__y"), F.lit(0.0))).first()
+    if positive < least_positive:
         return spark.createDataFrame([], schema)
-    scores = {c: data[c].to_numpy() for c in names}
-
-    def values(weight: np.ndarray) -> list[float]:
-        ap = {c: tied_auc_ap(s, y, weight)[AP] for c, s in scores.items()}
-        return [ap[a] - (ap[b] if b else 0.0) for a, b, _ in checks.values()]
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for r in batch["replicate"]:
-                weight = np.random.default_rng([seed, int(r)]).multinomial(len(y), np.full(len(y), 1 / len(y))).astype(float)
-                out += [(n, v) for n, v in zip(checks, values(weight))]
-            yield pd.DataFrame(out, columns=["check", "v"])
-
-    half = (1 - level) / 2
-    drawn = spark.range(replicates).withColumnRenamed("id", "replicate").mapInPandas(run, "check string, v double").filter(~F.isnan("v"))
-    spread = drawn.groupBy("check").agg(F.percentile("v", F.lit(half)).alias("low"), F.percentile("v", F.lit(1 - half)).alias("high"))
-    whole = values(np.ones(len(y)))
-    limits = spark.createDataFrame([(n, float(v), float(m * y.mean()), bool(v <= m * y.mean())) for (n, (_, _, m)), v in zip(checks.items(), whole)], "check string, value double, ceiling double, passes boolean")
+    if n > most_rows:
+        ap = spread_ap(rows, "__k", names, replicates, seed, "__y").groupBy("replicate").pivot("score", names).agg(F.first("ap"))
+        value = [F.struct(F.lit(c).alias("check"), (F.col(a) - F.col(b) if b else F.col(a)).alias("v")) for c, (a, b, _) in checks.items()]
+        found = checkpointed(ap.select("replicate", F.explode(F.array(*value)).alias("s")).select("replicate", "s.*"))
+        drawn = found.filter("replicate >= 0")
+        whole = {r["check"]: r["v"] for r in found.filter("replicate < 0").collect()}
+        whole = [whole[c] for c in checks]
+    else:
+        data = _checked(rows, ["*"], ["__k", "__y", *names], most_rows)
+        y = data["__y"].to_numpy()
+        scores = {c: data[c].to_numpy() for c in names}
+
+        def values(weight: np.ndarray) -> list[float]:
+            ap = {c: tied_auc_ap(s, y, weight)[AP] for c, s in scores.items()}
+            return [ap[a] - (ap[b] if b else 0.0) for a, b, _ in checks.values()]
+
+        def run(batches):
+            for batch in batches:
+                out = []
+                for r in batch["replicate"]:
+                    weight = np.random.default_rng([seed, int(r)]).multinomial(len(y), np.full(len(y), 1 / len(y))).astype(float)
+                    out += [(n, v) for n, v in zip(checks, values(weight))]
+                yield pd.DataFrame(out, columns=["check", "v"])
+
+        drawn = spark.range(replicates).withColumnRenamed("id", "replicate").mapInPandas(run, "check string, v double")
+        whole = values(np.ones(len(y)))
+    spread = drawn.filter(~F.isnan("v")).groupBy("check").agg(F.percentile("v", F.lit(half)).alias("low"), F.percentile("v", F.lit(1 - half)).alias("high"))
+    limits = spark.createDataFrame([(c, float(v), float(m * positive / n), bool(v <= m * positive / n)) for (c, (_, _, m)), v in zip(checks.items(), whole)], "check string, value double, ceiling double, passes boolean")
     return limits.join(F.broadcast(spread), "check", "left").select("check", "value", "ceiling", "low", "high", "passes")
 
 

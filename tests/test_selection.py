@@ -93,6 +93,34 @@ def test_ceilings(spark):
     assert selection.ceilings(rows, {"alone": ("noise", None, 2.0)}, "key", 5, least_positive=1000).count() == 0
 
 
+def test_ceilings_of_more_rows_than_a_task_may_hold(spark):
+    """Rows drawn where they are give the same values, and intervals of the same law, as rows that travel."""
+    rows = scored(spark, 3000).withColumn("noise", F.round("noise", 0)).repartition(3)
+    checks = {"alone": ("noise", None, 2.0), "more": ("good", "noise", 0.1)}
+    held, spread = ({r["check"]: r for r in selection.ceilings(rows, checks, "key", 400, most_rows=n).collect()} for n in (3000, 2999))
+    assert set(held) == set(spread) == set(checks)
+    for c in checks:
+        assert (spread[c]["value"], spread[c]["ceiling"]) == pytest.approx((held[c]["value"], held[c]["ceiling"])) and spread[c]["passes"] == held[c]["passes"]
+        width = held[c]["high"] - held[c]["low"]
+        assert abs(spread[c]["low"] - held[c]["low"]) < 0.15 * width and abs(spread[c]["high"] - held[c]["high"]) < 0.15 * width
+
+
+def test_average_precision_by_ranges_equals_all_rows_at_once(spark):
+    from ledgerloom.operators import metrics
+
+    rows = scored(spark, 2000).withColumn("noise", F.round("noise", 0))
+    found = {(r["score"], r["replicate"]): r["ap"] for r in metrics.spread_ap(rows, "key", ["good", "noise"], 5, seed=3, range_rows=100).collect()}
+    data = rows.withColumn("h", F.xxhash64("key", F.lit(3))).toPandas()
+    hashes, draws = data["h"].to_numpy().view(np.uint64), []
+    for r in range(-1, 5):
+        draws.append(metrics.poisson_draw(hashes, r, 3))
+        for c in ("good", "noise"):
+            assert found[c, r] == pytest.approx(metrics.tied_auc_ap(data[c].to_numpy(), data["y"].to_numpy().astype(float), draws[-1])[1])
+    assert len(found) == 12 and all((a != b).any() for a, b in zip(draws, draws[1:]))
+    many = metrics.poisson_draw(hashes.repeat(50) ^ np.arange(100_000, dtype=np.uint64), 0)
+    assert abs(many.mean() - 1) < 0.02 and abs(many.var() - 1) < 0.04
+
+
 def test_category_codes(spark):
     fit = spark.createDataFrame([("b",), ("a",), (None,), ("b",)], "c string")
     rows = spark.createDataFrame([(0, "a"), (1, "b"), (2, "z"), (3, None)], "i int, c string")
