@@ -8,9 +8,10 @@ blocks one is equal if the segment is (four differences are left at most), of fo
 whose wildcard bit differs (three are left).  All 183 keys of every distinct fingerprint are indexed; equal keys, of
 about 30 bits, meet by an equality join and the whole distance verifies them.
 
-Groups: copies collapse to one fingerprint before the index.  Inside a variant group every member is first compared
-with the group's smallest fingerprint only; the pairs join then emits a pair only if its members are still in
-different components, so a large group of near copies yields links in proportion to its members.
+Groups: copies collapse to one fingerprint before the index.  A first round takes only the 15 keys of equal segments and
+compares every member of a group with the group's smallest fingerprint.  The whole index then keeps only groups that still
+hold different components, so near copies that are joined leave no rows in the other keys; their members are compared
+with the smallest one in turn, and the pairs join emits a pair only if its members are in different components even then.
 
 Fingerprint: A-Z lower-cased, words ``[^\\x20\\x09-\\x0D]+``, four-word shingles joined by a space (all words if fewer),
 XXH64 with seed 42 of each, repeats included; a bit is 1 if set in more than half of them; no words: zero.
@@ -86,10 +87,14 @@ def tables() -> list[dict[str, int]]:
     return made
 
 
-def variants(fp: str) -> Column:
-    """Array of a fingerprint column's keys: table number, then the segment (its wildcard bit cleared, if any), then a block."""
+def variants(fp: str, plain: bool = False) -> Column:
+    """Array of a fingerprint column's keys: table number, then the segment (its wildcard bit cleared, if any), then a block.
+
+    ``plain``: only those of whole segments.
+    """
+    whole = {((1 << width) - 1) for _, width in SEGMENTS}
     wide = {"mask", "raised", "below", "block", "table"}
-    structs = [", ".join(f"'{k}', {v}{'L' if k in wide else ''}" for k, v in t.items()) for t in tables()]
+    structs = [", ".join(f"'{k}', {v}{'L' if k in wide else ''}" for k, v in t.items()) for t in tables() if not plain or t["mask"] in whole]
     listed = "array(" + ", ".join(f"named_struct({x})" for x in structs) + ")"
     rest = f"((shiftleft(shiftrightunsigned({fp}, t.above), t.lowest) & t.raised) | ({fp} & t.below))"
     key = f"t.table | shiftleft(shiftrightunsigned({fp}, t.lowest) & t.mask, t.bits) | (shiftrightunsigned({rest}, t.shift) & t.block)"
@@ -159,24 +164,33 @@ def classes(signed: DataFrame) -> DataFrame:
         return materialise(_classes(signed, scratch), "simhash-classes")
 
 
+def _met(nodes: DataFrame, plain: bool, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """``key, fp, n, centre`` of the groups of ``fp, root`` that hold different roots, and their members' links with the centre."""
+    # Fingerprints are small but become up to 183 rows each, so they are dealt by number and not by size.
+    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    indexed = nodes.repartition(tasks, F.xxhash64("fp")).select("fp", "root", F.explode(variants("fp", plain)).alias("key"))
+    # Sums of a key meet in one task, its members need not: a join deals them again.
+    mixed = scratch.write(indexed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("centre"), F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("key", "n", "centre"))
+    groups = scratch.write(indexed.select("key", "fp").join(mixed.hint("merge"), "key"))
+    links = groups.filter((F.col("fp") != F.col("centre")) & (_apart("fp", "centre") <= DISTANCE)).select(F.col("fp").alias("a"), F.col("centre").alias("b")).distinct()
+    return groups, scratch.write(links, small=True)
+
+
+def _named(distinct: DataFrame, links: DataFrame) -> DataFrame:
+    """``fp, root`` of all fingerprints after some links."""
+    return distinct.join(connected_components(links).withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def _classes(signed: DataFrame, scratch: Scratch) -> DataFrame:
     distinct = scratch.write(signed.select("fp").distinct())
-    # Fingerprints are small but become 183 rows each, so they are dealt by number and not by size.
-    tasks = int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    indexed = distinct.repartition(tasks, F.xxhash64("fp")).select("fp", F.explode(variants("fp")).alias("key"))
-    # Sums of a key meet in one task, its members need not: a join deals them again.
-    crowded = scratch.write(indexed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("centre")).filter("n > 1"))
-    groups = scratch.write(indexed.join(crowded.hint("merge"), "key"))
+    _, links = _met(distinct.select("fp", F.col("fp").alias("root")), True, scratch)
+    groups, more = _met(scratch.write(_named(distinct, links)), False, scratch)
+    links = links.unionByName(more)
     # A group of two needs no more than this comparison.
-    stars = groups.filter((F.col("fp") != F.col("centre")) & (_apart("fp", "centre") <= DISTANCE)).select(F.col("fp").alias("a"), F.col("centre").alias("b")).distinct()
-    starred = connected_components(stars)
-    labelled = groups.filter("n > 2").select("key", "fp").join(starred.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
+    labelled = scratch.write(groups.filter("n > 2").select("key", "fp").join(_named(distinct, links), "fp"))
     left, right = labelled.alias("l"), labelled.alias("r")
     pairs = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.root") < F.col("r.root")) & (_apart("l.fp", "r.fp") <= DISTANCE)).select(F.col("l.root").alias("a"), F.col("r.root").alias("b")).distinct()
-    merged = connected_components(pairs)
-    roots = starred.join(merged.withColumnRenamed("root", "top"), starred["root"] == merged["node"], "left").select(starred["node"].alias("fp"), F.coalesce("top", "root").alias("root"))
-    alone = merged.join(starred, "node", "left_anti").select(F.col("node").alias("fp"), "root")
-    return distinct.join(roots.unionByName(alone), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    return _named(distinct, links.unionByName(pairs))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

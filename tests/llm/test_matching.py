@@ -130,6 +130,27 @@ def test_op9_chain_of_near_copies(spark):
     assert sorted(x["count(fp)"] for x in named) == [40, 120]
 
 
+def test_joined_near_copies_leave_the_index(spark, monkeypatch):
+    """A large group of near copies gives rows in the whole index only where a key still holds different components."""
+    r, written = random.Random(4), []
+    centre = min(r.getrandbits(62) for _ in range(50)) & ~((1 << 8) - 1)
+    copies = [centre] + [centre | 1 << a | 1 << b for a in range(8) for b in range(a)]
+    others = [r.getrandbits(63) for _ in range(100)]
+    signed = spark.createDataFrame([(i, i, fp) for i, fp in enumerate(copies + others)], "doc_id long, tie long, fp long")
+    write = simhash.Scratch.write
+
+    def noted(scratch, df, small=False):
+        made = write(scratch, df, small)
+        written.append(made.count() if "centre" in made.columns and "fp" in made.columns else 0)
+        return made
+
+    monkeypatch.setattr(simhash.Scratch, "write", noted)
+    found = {x["fp"]: x["root"] for x in simhash.classes(signed).collect()}
+    assert {found[fp] for fp in copies} == {min(copies)} and all(found[fp] == fp for fp in others)
+    # the 15 keys of equal segments join all copies, so the others hold none of them
+    assert 0 < sum(written) <= 15 * len(copies)
+
+
 def test_components_of_many_tasks_equal_one(spark):
     """Links beyond what one task contracts: a long path, a star, a clique and stray pairs, in any number of tasks."""
     r = random.Random(2)
