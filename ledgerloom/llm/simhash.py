@@ -9,9 +9,11 @@ whose wildcard bit differs (three are left).  All 183 keys of every distinct fin
 about 30 bits, meet by an equality join and the whole distance verifies them.
 
 Groups: copies collapse to one fingerprint before the index.  A first round takes only the 15 keys of equal segments and
-compares every member of a group with the group's smallest fingerprint.  The whole index then keeps only groups that still
-hold different components, so near copies that are joined leave no rows in the other keys; their members are compared
-with the smallest one in turn, and the pairs join emits a pair only if its members are in different components even then.
+compares every member of a group with the group's smallest fingerprint.  The 168 variant keys then keep only groups that
+still hold different components and both values of the wildcard bit (a pair that agrees on it has an equal segment and met
+in the first round), so neither joined near copies nor chance groups of a crowded neighbourhood leave rows there.  A group
+of two is settled by its sums.  Members of larger ones are compared with the smallest one in turn, and the pairs join emits
+a pair only if its members are in different components even then.
 
 Fingerprint: A-Z lower-cased, words ``[^\\x20\\x09-\\x0D]+``, four-word shingles joined by a space (all words if fewer),
 XXH64 with seed 42 of each, repeats included; a bit is 1 if set in more than half of them; no words: zero.
@@ -69,7 +71,8 @@ def tables() -> list[dict[str, int]]:
     """The index's tables: how a key is taken from a fingerprint.
 
     ``lowest`` and ``mask`` name the segment (its wildcard bit left out of the mask), ``above``, ``below`` and ``raised``
-    bring the bits outside the segment together, ``shift``, ``bits`` and ``block`` name a block of them.
+    bring the bits outside the segment together, ``shift``, ``bits`` and ``block`` name a block of them; ``wild`` is the
+    wildcard bit (0: none).
     """
     made: list[dict[str, int]] = []
     for at, (lowest, width) in enumerate(SEGMENTS):
@@ -83,18 +86,18 @@ def tables() -> list[dict[str, int]]:
                 made.append({
                     "lowest": lowest, "mask": ((1 << width) - 1) & ~(0 if wildcard is None else 1 << wildcard), "above": (lowest + width) % 64,
                     "raised": (1 << (64 - width)) - (1 << lowest) if lowest + width < 64 else 0, "below": (1 << lowest) - 1, "shift": left, "bits": bits, "block": (1 << bits) - 1, "table": len(made) << 40,
+                    "wild": 0 if wildcard is None else 1 << (lowest + wildcard),
                 })
     return made
 
 
-def variants(fp: str, plain: bool = False) -> Column:
+def variants(fp: str, plain: bool | None = None) -> Column:
     """Array of a fingerprint column's keys: table number, then the segment (its wildcard bit cleared, if any), then a block.
 
-    ``plain``: only those of whole segments.
+    ``plain``: only those of whole segments, or (false) only those with a wildcard bit.
     """
-    whole = {((1 << width) - 1) for _, width in SEGMENTS}
     wide = {"mask", "raised", "below", "block", "table"}
-    structs = [", ".join(f"'{k}', {v}{'L' if k in wide else ''}" for k, v in t.items()) for t in tables() if not plain or t["mask"] in whole]
+    structs = [", ".join(f"'{k}', {v}{'L' if k in wide else ''}" for k, v in t.items() if k != "wild") for t in tables() if plain is None or plain == (t["wild"] == 0)]
     listed = "array(" + ", ".join(f"named_struct({x})" for x in structs) + ")"
     rest = f"((shiftleft(shiftrightunsigned({fp}, t.above), t.lowest) & t.raised) | ({fp} & t.below))"
     key = f"t.table | shiftleft(shiftrightunsigned({fp}, t.lowest) & t.mask, t.bits) | (shiftrightunsigned({rest}, t.shift) & t.block)"
@@ -165,32 +168,41 @@ def classes(signed: DataFrame) -> DataFrame:
 
 
 def _met(nodes: DataFrame, plain: bool, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """``key, fp, n, centre`` of the groups of ``fp, root`` that hold different roots, and their members' links with the centre."""
-    # Fingerprints are small but become up to 183 rows each, so they are dealt by number and not by size.
+    """``key, fp, centre`` of the groups of ``fp, root`` that hold different roots, and links of their members.
+
+    A pair that agrees on the wildcard bit of a key has an equal segment and met by it before, so a group of a variant
+    counts only if its members differ in that bit.  Of two members the sums tell the distance: no join has to bring them.
+    """
+    # Fingerprints are small but become up to 168 rows each, so they are dealt by number and not by size.
     tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     indexed = nodes.repartition(tasks, F.xxhash64("fp")).select("fp", "root", F.explode(variants("fp", plain)).alias("key"))
+    sums = indexed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("centre"), F.min("root").alias("least"), F.max("root").alias("most"), F.expr("bit_or(fp) ^ bit_and(fp)").alias("differ"))
+    wild = F.expr("array(" + ", ".join(f"{t['wild']}L" for t in tables()) + ")[int(shiftright(key, 40))]")
+    apart = (F.col("least") < F.col("most")) & ((wild == 0) | (F.col("differ").bitwiseAND(wild) != 0)) & ((F.col("n") > 2) | (F.bit_count("differ") <= DISTANCE))
     # Sums of a key meet in one task, its members need not: a join deals them again.
-    mixed = scratch.write(indexed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("centre"), F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("key", "n", "centre"))
-    groups = scratch.write(indexed.select("key", "fp").join(mixed.hint("merge"), "key"))
-    links = groups.filter((F.col("fp") != F.col("centre")) & (_apart("fp", "centre") <= DISTANCE)).select(F.col("fp").alias("a"), F.col("centre").alias("b")).distinct()
-    return groups, scratch.write(links, small=True)
+    mixed = scratch.write(sums.filter(apart).select("key", "n", "centre", "differ"))
+    groups = scratch.write(indexed.select("key", "fp").join(mixed.filter("n > 2").select("key", "centre").hint("merge"), "key"))
+    twos = mixed.filter("n = 2").select(F.col("centre").bitwiseXOR(F.col("differ")).alias("a"), F.col("centre").alias("b"))
+    stars = groups.filter((F.col("fp") != F.col("centre")) & (_apart("fp", "centre") <= DISTANCE)).select(F.col("fp").alias("a"), F.col("centre").alias("b"))
+    return groups.select("key", "fp"), scratch.write(twos.unionByName(stars).distinct(), small=True)
 
 
-def _named(distinct: DataFrame, links: DataFrame) -> DataFrame:
-    """``fp, root`` of all fingerprints after some links."""
-    return distinct.join(connected_components(links).withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+def _named(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """``fp, root`` of ``nodes`` (``fp, root``) after some more links."""
+    joined = links.unionByName(nodes.filter("fp <> root").select(F.col("fp").alias("a"), F.col("root").alias("b")))
+    return nodes.select("fp").join(connected_components(joined).withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
 def _classes(signed: DataFrame, scratch: Scratch) -> DataFrame:
-    distinct = scratch.write(signed.select("fp").distinct())
-    _, links = _met(distinct.select("fp", F.col("fp").alias("root")), True, scratch)
-    groups, more = _met(scratch.write(_named(distinct, links)), False, scratch)
-    links = links.unionByName(more)
-    # A group of two needs no more than this comparison.
-    labelled = scratch.write(groups.filter("n > 2").select("key", "fp").join(_named(distinct, links), "fp"))
+    nodes = scratch.write(signed.select("fp").distinct().select("fp", F.col("fp").alias("root")))
+    whole, links = _met(nodes, True, scratch)
+    nodes = scratch.write(_named(nodes, links))
+    varied, links = _met(nodes, False, scratch)
+    nodes = scratch.write(_named(nodes, links))
+    labelled = scratch.write(whole.unionByName(varied).join(nodes, "fp"))
     left, right = labelled.alias("l"), labelled.alias("r")
     pairs = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.root") < F.col("r.root")) & (_apart("l.fp", "r.fp") <= DISTANCE)).select(F.col("l.root").alias("a"), F.col("r.root").alias("b")).distinct()
-    return _named(distinct, links.unionByName(pairs))
+    return _named(nodes, pairs)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -213,3 +213,42 @@ def test_op6_contract(spark, empty):
 
 def test_op6_edge_rows(docs, rows):
     assert minhash.edited_pairs(docs).count() == len(rows) and minhash.fingerprints(docs).count() == len(rows)
+
+
+def test_variant_groups_hold_both_values_of_their_bit(spark, monkeypatch):
+    """A crowded neighbourhood of fingerprints: all pairs' components, from groups that only a wildcard bit can still join."""
+    r, written = random.Random(6), []
+    base = r.getrandbits(63)
+    fps = {base}
+    while len(fps) < 160:
+        fp = base
+        for bit in r.sample(range(63), r.randint(1, 7)):
+            fp ^= 1 << bit
+        fps.add(fp)
+    fps = sorted(fps)
+    # no segment of these two is equal: they meet by a wildcard only, in a group of two
+    fps += [1 << 62, (1 << 62) ^ 1 ^ (1 << 21) ^ (3 << 50)]
+    root = {fp: fp for fp in fps}
+    for _ in fps:
+        for a in fps:
+            root[a] = min(root[b] for b in fps if (a ^ b).bit_count() <= 4)
+    write = simhash.Scratch.write
+
+    def noted(scratch, df, small=False):
+        made = write(scratch, df, small)
+        if "centre" in made.columns and "fp" in made.columns:
+            written.append(made.select("key", "fp").collect())
+        return made
+
+    monkeypatch.setattr(simhash.Scratch, "write", noted)
+    found = spark.createDataFrame([(i, i, fp) for i, fp in enumerate(fps)], "doc_id long, tie long, fp long")
+    assert {x["fp"]: x["root"] for x in simhash.classes(found).collect()} == root and len(set(root.values())) > 10
+    wildcards = [b for lowest, width in simhash.SEGMENTS[:2] for b in range(lowest, lowest + width)]
+    plain = lambda key: key >> 40 < 5 or key >> 40 >= 178 or 89 <= key >> 40 < 94
+    groups = {}
+    for key, fp in (x for rows in written for x in rows if not plain(x["key"])):
+        groups.setdefault(key, []).append(fp)
+    assert groups
+    for key, held in groups.items():
+        at = (key >> 40) - (5 if key >> 40 < 89 else 10)
+        assert len(held) > 2 and {fp >> wildcards[at // 4] & 1 for fp in held} == {0, 1}
