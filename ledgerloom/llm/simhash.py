@@ -26,8 +26,6 @@ columns of the input are ignored, whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -36,8 +34,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, batch_of, id_of, map_batches, materialise, text_of
 
 SHINGLE_WORDS, SEED, DISTANCE = 4, 42, 4
-#: Links that one task contracts at most; components of more links also take rounds over all tasks.
-TASK_LINKS = 250_000
+#: Links in a file of a round of the components, and its files at least.
+TASK_LINKS, LEAST_FILES = 250_000, 8
 #: (lowest bit, bits) of the segments
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 
@@ -104,57 +102,34 @@ def variants(fp: str, plain: bool | None = None) -> Column:
     return F.expr(f"transform({listed}, t -> {key})")
 
 
-def _contracted(links: DataFrame, tasks: int) -> DataFrame:
-    """The links of each task as stars: every node with the smallest node that this task connects it to."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parent: dict[int, int] = {}
-
-        def top(x: int) -> int:
-            while (up := parent.setdefault(x, x)) != x:
-                parent[x] = parent[up]
-                x = up
-            return x
-
-        for batch in batches:
-            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                low, high = sorted((top(a), top(b)))
-                parent[high] = low
-        stars = [(x, root) for x in parent if (root := top(x)) != x]
-        yield batch_of(a=pa.array([x for x, _ in stars], pa.int64()), b=pa.array([x for _, x in stars], pa.int64()))
-
-    return links.select("a", "b").coalesce(tasks).mapInArrow(run, "a long, b long")
-
-
 def connected_components(edges: DataFrame, task_links: int = TASK_LINKS) -> DataFrame:
-    """``node, root`` (smallest node) for every node of ``a, b`` links.
+    """``node, root`` (smallest node) for every node of ``a, b`` links, by alternating large and small stars.
 
-    Every task first contracts its own links, at most about ``task_links`` of them.  What is left by several tasks goes on
-    by alternating large and small stars, whose rounds grow with the logarithm of the largest component's diameter; each
-    round is written, so a lost executor costs no earlier round.
+    Any number of links goes through the same rounds over all tasks, until every node hangs on its root; their number grows
+    with the logarithm of the largest component's diameter.  Each round is written, in files of about ``task_links``
+    links, so a lost executor costs no earlier round.
     """
     with Scratch(edges.sparkSession, "links") as scratch:
-        links = scratch.write(edges.filter("a <> b").select("a", "b"), small=True)
-        tasks = -(-links.count() // task_links)
-        links = scratch.write(_contracted(links, max(1, tasks)))
-        links = materialise(links if tasks <= 1 else _starred(links, scratch), "links")
+        links = scratch.write(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), small=True)
+        links = materialise(_starred(links, scratch, task_links), "links")
     return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def _starred(links: DataFrame, scratch: Scratch) -> DataFrame:
-    """Every node of the links with its component's smallest node, by rounds over all tasks."""
-    seen = None
+def _starred(links: DataFrame, scratch: Scratch, task_links: int) -> DataFrame:
+    """Every node of the links, each from the greater to the smaller node, with its component's smallest node."""
     while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        links = scratch.write(small)
-        state = links.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.expr("bit_xor(xxhash64(a, b))"), F.lit(0)).alias("x")).first()
-        if state == seen:
+        ends = both.groupBy("a").agg(F.count_if(F.col("b") < F.col("a")).alias("up"), F.count_if(F.col("b") > F.col("a")).alias("down"))
+        state = ends.agg(F.sum("up").alias("n"), F.count_if((F.col("up") > 1) | (F.col("up") > 0) & (F.col("down") > 0)).alias("unfinished")).first()
+        if not state["unfinished"]:
             return links
-        seen = state
+        files = max(LEAST_FILES, -(-state["n"] // task_links))
+        # Minima are written: a join with a written table deals a hub's links anew or sends the minima, so no task has to hold a hub.
+        least = scratch.write(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).coalesce(files))
+        large = scratch.write(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct().coalesce(files))
+        least = scratch.write(large.groupBy("a").agg(F.min("b").alias("m")).coalesce(files))
+        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(least.select("a", F.col("m").alias("b")))
+        links = scratch.write(small.distinct().coalesce(files))
 
 
 def _apart(a: str, b: str) -> Column:

@@ -252,3 +252,37 @@ def test_variant_groups_hold_both_values_of_their_bit(spark, monkeypatch):
     for key, held in groups.items():
         at = (key >> 40) - (5 if key >> 40 < 89 else 10)
         assert len(held) > 2 and {fp >> wildcards[at // 4] & 1 for fp in held} == {0, 1}
+
+
+def test_components_take_every_star_round_at_the_default_bound(spark, monkeypatch):
+    """Few links go through the same large and small stars as many: each written table equals a plain loop's."""
+    links = {(i + 1, i) for i in range(20)} | {(50, 40), (50, 41), (60, 50), (61, 60)}
+
+    def neighbours(pairs):
+        near = {}
+        for a, b in pairs:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+        return near
+
+    expected, before, at = [], None, links
+    while at != before:
+        before = at
+        large = {(v, min(u, *near)) for u, near in neighbours(at).items() for v in near if v > u}
+        lower = {u: {v for v in near if v < u} for u, near in neighbours(large).items()}
+        at = {(v, min(low)) for u, low in lower.items() if low for v in low | {u} if v != min(low)}
+        expected += [large, at]
+    write, written = simhash.Scratch.write, []
+
+    def noted(scratch, df, small=False):
+        made = write(scratch, df, small)
+        if made.columns == ["a", "b"]:
+            written.append({tuple(x) for x in made.collect()})
+        return made
+
+    monkeypatch.setattr(simhash.Scratch, "write", noted)
+    edges = spark.createDataFrame(sorted(links), "a long, b long").repartition(3)
+    found = {(x["node"], x["root"]) for x in simhash.connected_components(edges).collect()}
+    assert found == {(i, 0) for i in range(21)} | {(i, 40) for i in (40, 41, 50, 60, 61)}
+    # the loop's last round changes nothing
+    assert written == [links, *expected[:-2]] and len(written) > 5
